@@ -1,0 +1 @@
+"""Empty on purpose: the engine has batch operators only (see README, "Not built")."""
