@@ -9,9 +9,10 @@ never fire, and any SQL engine with 64-bit integers gives the same rolls.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from hashlib import sha256
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK = (1 << 31) - 1
@@ -25,20 +26,35 @@ def seed_words(*parts) -> tuple[int, int]:
     return int.from_bytes(digest[:4], "big") & MASK, int.from_bytes(digest[4:8], "big") & MASK
 
 
-def _long(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(int(value)).cast("long")
+def _spread(key: str, one) -> str:
+    return f"(((({key}) & {MASK}L) ^ {one}) * {MULTIPLIERS[0]}L + shiftright({key}, 31) * {MULTIPLIERS[1]}L)"
 
 
-def roll(key: Column, seeds) -> Column:
-    """Uniform integer in [0, 2**31) for a row id and a pair of seed words."""
-    one, two = (_long(s) for s in seeds)
-    m1, m2, m3, m4 = (F.lit(m).cast("long") for m in MULTIPLIERS)
-    mask = F.lit(MASK).cast("long")
-    a = key.bitwiseAND(mask).bitwiseXOR(one) * m1 + F.shiftright(key, 31) * m2
-    b = a.bitwiseXOR(F.shiftright(a, 29)).bitwiseAND(mask).bitwiseXOR(two)
-    c = b * m3
-    d = c.bitwiseXOR(F.shiftright(c, 31)).bitwiseAND(mask) * m4
-    return F.shiftright(d, 22).bitwiseAND(mask)
+def _stir(a: str, two) -> str:
+    return f"((((({a}) ^ shiftright({a}, 29)) & {MASK}L) ^ {two}) * {MULTIPLIERS[2]}L)"
+
+
+def _settle(c: str) -> str:
+    return f"(shiftright(((({c}) ^ shiftright({c}, 31)) & {MASK}L) * {MULTIPLIERS[3]}L, 22) & {MASK}L)"
+
+
+def roll(key: str, seeds) -> Column:
+    """Uniform integer in [0, 2**31) for a bigint expression and two seed words (numbers or expressions)."""
+    return F.expr(_settle(_stir(_spread(key, seeds[0]), seeds[1])))
+
+
+def add_rolls(df: DataFrame, rolls: Mapping[str, tuple]) -> DataFrame:
+    """Many rolls (name -> (key, seeds)) as columns.
+
+    Every step reads the one before it twice; separate projections keep each
+    step evaluated once and the generated code small enough to be compiled.
+    """
+    if not rolls:
+        return df
+    kept = [c for c in df.columns if c not in rolls]
+    first = df.selectExpr(*kept, *[f"{_spread(key, seeds[0])} AS `{name}`" for name, (key, seeds) in rolls.items()])
+    second = first.selectExpr(*kept, *[f"{_stir(name, seeds[1])} AS `{name}`" for name, (_, seeds) in rolls.items()])
+    return second.selectExpr(*kept, *[f"{_settle(name)} AS `{name}`" for name in rolls])
 
 
 def unit(rolled: Column) -> Column:
@@ -53,7 +69,7 @@ def normal(first: Column, second: Column) -> Column:
 
 def pick(high: Column, low: Column, size) -> Column:
     """Uniform integer in [0, size) from 53 bits of two rolls."""
-    size = _long(size)
+    size = size if isinstance(size, Column) else F.lit(int(size)).cast("long")
     share = (high * F.lit(1 << 22) + F.shiftright(low, 9)) / F.lit(float(1 << 53))
     return F.least(F.floor(share * size).cast("long"), size - F.lit(1))
 

@@ -16,13 +16,14 @@ from tarnish.operators.sampling import (
     Stream,
     affected,
     below,
+    find_all_cuts,
     find_cuts,
     multiplicity,
-    multiplicity_cuts,
 )
 from tarnish.sources.star import Star
 
 Values = Mapping[str, Column]
+CYCLE_LIMIT = 64
 
 
 @dataclass(frozen=True)
@@ -126,8 +127,15 @@ def dimension_drift() -> CustomerDefect:
     """A hit customer moves to the next region of the sorted cycle."""
 
     def prepare(customers: DataFrame) -> DataFrame:
-        cycle = next_regions(customers).withColumnRenamed("next_region", "region__dimension_drift")
-        return customers.join(cycle, "region", "left")
+        known = next_regions(customers).limit(CYCLE_LIMIT + 1).collect()
+        if len(known) > CYCLE_LIMIT:
+            cycle = next_regions(customers).withColumnRenamed("next_region", "region__dimension_drift")
+            return customers.join(cycle, "region", "left")
+        # a short catalogue needs no join, and keeps the size estimate of the dimension
+        moved = F.lit(None).cast("string")
+        for row in known:
+            moved = F.when(F.col("region") == row.region, F.lit(row.next_region)).otherwise(moved)
+        return customers.withColumn("region__dimension_drift", moved)
 
     return CustomerDefect("dimension_drift", 50, ("region",), prepare)
 
@@ -200,19 +208,29 @@ def plan_scenarios(
     n_orders = star.orders.count() if rows or copies else 0
     n_customers = star.customers.count() if people else 0
 
-    def cuts_for(ids: DataFrame, key: str, kinds: Sequence[Defect], population: int) -> dict:
-        labels = [(s, r, d.name) for s, r in pairs for d in kinds]
-        streams = [Stream(hit_seeds(master_seed, r, name), affected(s, population)) for s, r, name in labels]
-        return dict(zip(labels, find_cuts(ids, key, streams, population), strict=True)) if streams else {}
-
-    order_ids = star.orders.select("order_id")
-    found = cuts_for(order_ids, "order_id", rows, n_orders)
-    found |= cuts_for(star.customers.select("customer_id"), "customer_id", people, n_customers)
-    copy_labels = [(s, r, d.name) for s, r in pairs for d in copies]
-    draws = [copy_draws(master_seed, r, name, affected(s, n_orders)) for s, r, name in copy_labels]
-    copied = dict(
-        zip(copy_labels, multiplicity_cuts(order_ids, "order_id", draws, n_orders) if draws else [], strict=True)
-    )
+    def streams(kinds: Sequence[Defect], population: int) -> dict[tuple, Stream]:
+        return {
+            (s, r, d.name): Stream(hit_seeds(master_seed, r, d.name), affected(s, population))
+            for s, r in pairs
+            for d in kinds
+        }
+
+    on_orders, on_customers = streams(rows, n_orders), streams(people, n_customers)
+    draws = {
+        (s, r, d.name): copy_draws(master_seed, r, d.name, affected(s, n_orders)) for s, r in pairs for d in copies
+    }
+    found: dict[tuple, Cut] = {}
+    copied: dict[tuple, list[Cut]] = {}
+    if on_orders or draws:
+        cuts, sets = find_all_cuts(
+            star.orders.select("order_id"), "order_id", list(on_orders.values()), list(draws.values()), n_orders
+        )
+        found |= dict(zip(on_orders, cuts, strict=True))
+        copied |= dict(zip(draws, sets, strict=True))
+    if on_customers:
+        ids = star.customers.select("customer_id")
+        cuts = find_cuts(ids, "customer_id", list(on_customers.values()), n_customers)
+        found |= dict(zip(on_customers, cuts, strict=True))
     return [
         Scenario(
             s,
@@ -225,16 +243,15 @@ def plan_scenarios(
     ]
 
 
-def hit(scenario: Scenario, defect: Defect, master_seed: int, key: Column) -> Column:
-    """Is the row with this id hit?"""
-    rolled = dice.roll(key, hit_seeds(master_seed, scenario.repeat, defect.name))
-    return below(rolled, key, scenario.cuts[defect.name])
-
-
-def copies_of(scenario: Scenario, defect: Defect, master_seed: int, key: Column) -> Column:
-    """How many extra copies the order with this id gets."""
-    seeds = copy_draws(master_seed, scenario.repeat, defect.name, scenario.counts[defect.name]).row_seeds
-    return multiplicity(key, seeds, scenario.copies[defect.name])
+def struck(df: DataFrame, name: str, scenario: Scenario, defect: Defect, master_seed: int, key: str) -> DataFrame:
+    """Add the column ``name``: is the row hit, or, for copies, how many does it get?"""
+    if isinstance(defect, CopyDefect):
+        seeds = copy_draws(master_seed, scenario.repeat, defect.name, scenario.counts[defect.name]).row_seeds
+        value = multiplicity(name, key, scenario.copies[defect.name])
+    else:
+        seeds = hit_seeds(master_seed, scenario.repeat, defect.name)
+        value = below(name, key, scenario.cuts[defect.name])
+    return dice.add_rolls(df, {name: (key, seeds)}).withColumn(name, F.expr(value))
 
 
 def damaged_star(star: Star, defects: Sequence[Defect], scenario: Scenario, master_seed: int) -> Star:
@@ -242,30 +259,32 @@ def damaged_star(star: Star, defects: Sequence[Defect], scenario: Scenario, mast
     orders, customers = star.orders, star.customers
     for defect in in_order(checked(defects)):
         if isinstance(defect, OrderDefect):
-            key = F.col("order_id")
-            rolls = {
-                s: dice.roll(key, stream_seeds(master_seed, scenario.repeat, defect.name, s)) for s in defect.streams
+            columns = orders.columns
+            ready = struck(orders, "_hit", scenario, defect, master_seed, "order_id")
+            words = {
+                f"_{s}": ("order_id", stream_seeds(master_seed, scenario.repeat, defect.name, s))
+                for s in defect.streams
             }
-            row = {c: F.col(c) for c in orders.columns}
-            struck = hit(scenario, defect, master_seed, key)
-            new = defect.rewrite(row, rolls)
-            orders = orders.select(
-                *[F.when(struck, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in orders.columns]
+            ready = dice.add_rolls(ready, words)
+            new = defect.rewrite({c: F.col(c) for c in columns}, {s: F.col(f"_{s}") for s in defect.streams})
+            orders = ready.select(
+                *[F.when(F.col("_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in columns]
             )
         elif isinstance(defect, CustomerDefect):
-            struck = hit(scenario, defect, master_seed, F.col("customer_id"))
-            ready = defect.prepare(customers)
+            columns = customers.columns
+            ready = defect.prepare(struck(customers, "_hit", scenario, defect, master_seed, "customer_id"))
             customers = ready.select(
                 *[
-                    F.when(struck, F.col(defect.damaged(c))).otherwise(F.col(c)).alias(c)
+                    F.when(F.col("_hit"), F.col(defect.damaged(c))).otherwise(F.col(c)).alias(c)
                     if c in defect.writes
                     else F.col(c)
-                    for c in customers.columns
+                    for c in columns
                 ]
             )
         else:
-            times = copies_of(scenario, defect, master_seed, F.col("order_id"))
-            orders = orders.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), times))).drop("_copy")
+            ready = struck(orders, "_times", scenario, defect, master_seed, "order_id")
+            copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times")))
+            orders = ready.withColumn("_copy", copies).drop("_copy", "_times")
     return star.with_tables(orders=orders, customers=customers)
 
 
@@ -286,7 +305,7 @@ def impacted(star: Star, defects: Sequence[Defect], scenarios: Sequence[Scenario
     """
     people = [d for d in defects if isinstance(d, CustomerDefect)]
     known = star.customers.select("customer_id").distinct()
-    orders = star.orders.join(known, "customer_id", "left_semi")
+    orders = star.orders.join(known, "customer_id", "left_semi").select("order_id", "customer_id")
     parts = []
     for i, s in enumerate(scenarios):
         for d in people:
@@ -296,9 +315,13 @@ def impacted(star: Star, defects: Sequence[Defect], scenarios: Sequence[Scenario
             ]
             lost = F.lit(False)
             for x in cutters:
-                lost = lost | hit(s, x, master_seed, F.col("order_id"))
-            struck = hit(s, d, master_seed, F.col("customer_id"))
-            parts.append((i, d.name, struck, struck & ~lost))
+                name = f"lost_{i}_{x.name}"
+                if name not in orders.columns:
+                    orders = struck(orders, name, s, x, master_seed, "order_id")
+                lost = lost | F.col(name)
+            orders = struck(orders, f"hit_{i}_{d.name}", s, d, master_seed, "customer_id")
+            reached = F.col(f"hit_{i}_{d.name}")
+            parts.append((i, d.name, reached, reached & ~lost))
     sums = [F.sum(c.cast("long")).alias(f"c{n}_{k}") for n, (_, _, a, b) in enumerate(parts) for k, c in enumerate((a, b))]
     totals = orders.agg(*sums) if sums else None
     schema = "scenario int, channel string, impacted_orders long, linked_orders long"

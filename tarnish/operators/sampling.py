@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,38 +68,30 @@ def find_cuts(ids: DataFrame, key: str, streams: list[Stream], population: int)
             if cuts[i] is None:
                 low, high = _bracket(s.count, population, width)
                 slots.append((i, s, low, high))
-        table = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("slot"),
-                    F.lit(s.seeds[0]).cast("long").alias("one"),
-                    F.lit(s.seeds[1]).cast("long").alias("two"),
-                    F.lit(low).cast("long").alias("low"),
-                    F.lit(high).cast("long").alias("high"),
-                    F.lit(s.count).cast("long").alias("want"),
-                )
-                for i, s, low, high in slots
-            ]
+        fields = ", ".join(
+            f"named_struct('slot', {i}, 'one', {s.seeds[0]}L, 'two', {s.seeds[1]}L,"
+            f" 'low', {low}L, 'high', {high}L, 'want', {s.count}L)"
+            for i, s, low, high in slots
         )
-        rolled = ids.select(F.col(key).cast("long").alias("k"), F.explode(table).alias("s")).select(
-            "k", "s.slot", "s.low", "s.high", "s.want", dice.roll(F.col("k"), (F.col("s.one"), F.col("s.two"))).alias("h")
-        )
-        near = F.col("h") >= F.col("low")
+        slotted = ids.selectExpr(f"cast(`{key}` AS bigint) AS k", f"inline(array({fields}))")
+        rolled = dice.add_rolls(slotted, {"h": ("k", ("one", "two"))})
+        # rows outside the bracket fall into one group below and one above it; a filter
+        # instead would make the optimizer evaluate the rolls a second time
         counted = (
-            rolled.filter(F.col("h") < F.col("high"))
-            .groupBy(
+            rolled.selectExpr(
                 "slot",
                 "want",
-                F.when(near, F.col("h")).otherwise(F.lit(-1)).alias("h"),
-                F.when(near, F.col("k")).otherwise(F.lit(-1)).alias("k"),
+                f"CASE WHEN h < low THEN -1L WHEN h < high THEN h ELSE {RANGE}L END AS h",
+                "if(h >= low AND h < high, k, -1L) AS k",
             )
+            .groupBy("slot", "want", "h", "k")
             .count()
         )
         upto = F.sum("count").over(W.partitionBy("slot").orderBy("h", "k"))
         found = (
             counted.withColumn("upto", upto)
             .filter((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("count") < F.col("want")))
-            .filter("h >= 0")
+            .filter(f"h >= 0 AND h < {RANGE}")
             .select("slot", "h", "k")
             .collect()
         )
@@ -111,10 +103,10 @@ def find_cuts(ids: DataFrame, key: str, streams: list[Stream], population: int)
     return cuts  # type: ignore[return-value]
 
 
-def below(rolled: Column, key: Column, cut: tuple[Column | int, Column | int]) -> Column:
-    """Is this row among those up to the cut?"""
-    high, last = (c if isinstance(c, Column) else F.lit(c).cast("long") for c in cut)
-    return (rolled < high) | ((rolled == high) & (key <= last))
+def below(rolled: str, key: str, cut: tuple) -> str:
+    """SQL test: is this row among those up to the cut (numbers or expressions)?"""
+    high, last = cut
+    return f"({rolled} < {high} OR ({rolled} = {high} AND {key} <= {last}))"
 
 
 def exact_sample(df: DataFrame, key: str, seeds: tuple[int, int], n: int, population: int | None = None) -> DataFrame:
@@ -123,8 +115,7 @@ def exact_sample(df: DataFrame, key: str, seeds: tuple[int, int], n: int, popula
     if n > population:
         raise ValueError(f"only {population} rows available; requested {n}")
     (cut,) = find_cuts(df.select(key), key, [Stream(seeds, n)], population)
-    k = F.col(key).cast("long")
-    return df.filter(below(dice.roll(k, seeds), k, cut))
+    return dice.add_rolls(df, {"_roll": (f"cast(`{key}` AS bigint)", seeds)}).filter(below("_roll", key, cut)).drop("_roll")
 
 
 @dataclass(frozen=True)
@@ -156,40 +147,30 @@ def occupancy(spark: SparkSession, draws: list[Draws], population: int) -> list[
     result: list[list[int]] = [[] for _ in draws]
     if not live:
         return result
-    words = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("set"),
-                F.lit(d.count).cast("long").alias("n"),
-                *[F.lit(w).cast("long").alias(f"w{p}{q}") for p, pair in enumerate(d.seeds) for q, w in enumerate(pair)],
-            )
-            for i, d in live
-        ]
+    words = ", ".join(
+        f"named_struct('set', {i}, 'n', {d.count}L, "
+        + ", ".join(f"'w{p}{q}', {w}L" for p, pair in enumerate(d.seeds) for q, w in enumerate(pair))
+        + ")"
+        for i, d in live
     )
 
-    def rolls(key: Column, high: int, low: int) -> tuple[Column, Column]:
-        return (
-            dice.roll(key, (F.col(f"s.w{high}0"), F.col(f"s.w{high}1"))),
-            dice.roll(key, (F.col(f"s.w{low}0"), F.col(f"s.w{low}1"))),
-        )
+    def place(key: str, first: int) -> dict[str, tuple]:
+        return {f"_{side}": (key, (f"s.w{first + side}0", f"s.w{first + side}1")) for side in (0, 1)}
 
-    drawn = (
-        spark.range(max(d.count for _, d in live))
-        .select("id", F.explode(words).alias("s"))
-        .filter("id < s.n")
-        .select("s", dice.pick(*rolls(F.col("id"), 0, 1), population).alias("p"))
-        .select("s", F.expr(f"(p * {blocks}L) div {population}L").alias("block"))
-        .groupBy("s", "block")
-        .count()
-    )
+    drawn = dice.add_rolls(
+        spark.range(max(d.count for _, d in live)).selectExpr("id", f"explode(array({words})) AS s").filter("id < s.n"),
+        place("id", 0),
+    ).select("s", dice.pick(F.col("_0"), F.col("_1"), population).alias("p"))
+    counted = drawn.selectExpr("s", f"(p * {blocks}L) div {population}L AS block").groupBy("s", "block").count()
     start = f"(block * {population}L + {blocks - 1}L) div {blocks}L"
     stop = f"((block + 1) * {population}L + {blocks - 1}L) div {blocks}L"
-    placed = (
-        drawn.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (count - 1) div {CHUNK}L)")))
-        .withColumn("i", F.explode(F.expr(f"sequence(chunk * {CHUNK}L, least(count, (chunk + 1) * {CHUNK}L) - 1)")))
-        .withColumn("key", F.expr("shiftleft(block, 40) + i"))
-        .withColumn("width", F.expr(f"{stop} - {start}"))
-        .select("s", "block", dice.pick(*rolls(F.col("key"), 2, 3), F.col("width")).alias("place"))
+    unrolled = (
+        counted.selectExpr("s", "block", "count", f"explode(sequence(0L, (count - 1) div {CHUNK}L)) AS chunk")
+        .selectExpr("s", "block", f"explode(sequence(chunk * {CHUNK}L, least(count, (chunk + 1) * {CHUNK}L) - 1)) AS i")
+        .selectExpr("s", "block", "shiftleft(block, 40) + i AS key", f"{stop} - {start} AS width")
+    )
+    placed = dice.add_rolls(unrolled, place("key", 2)).select(
+        "s", "block", dice.pick(F.col("_0"), F.col("_1"), F.col("width")).alias("place")
     )
     times = placed.groupBy("s", "block", "place").count().groupBy("s.set", F.col("count").alias("times")).count()
     for row in times.collect():
@@ -200,41 +181,43 @@ def occupancy(spark: SparkSession, draws: list[Draws], population: int) -> list[
     return result
 
 
-def multiplicity_cuts(ids: DataFrame, key: str, draws: list[Draws], population: int) -> list[list[Cut]]:
-    """Cuts c1 >= c2 >= ... per draw set: a row is drawn once for every cut it is below.
+def find_all_cuts(
+    ids: DataFrame, key: str, streams: list[Stream], draws: list[Draws], population: int
+) -> tuple[list[Cut], list[list[Cut]]]:
+    """Cuts of choices without and of draws with replacement, in one pass over the ids.
+
+    A draw set has cuts c1 >= c2 >= ...: a row is drawn once for every cut it is below.
 
     Under sampling with replacement all rows are alike, so given how many rows
     are drawn once, twice, ... any random assignment of rows to those counts
     has the right distribution; ranking rows by a hash is one, and needs no join.
     """
     levels = occupancy(ids.sparkSession, draws, population)
-    streams, owner = [], []
+    first, streams, owner = len(streams), list(streams), []
     for i, (d, counts) in enumerate(zip(draws, levels, strict=True)):
         for count in counts:
             streams.append(Stream(d.row_seeds, count))
             owner.append(i)
     cuts: list[list[Cut]] = [[] for _ in draws]
-    for i, cut in zip(owner, find_cuts(ids, key, streams, population), strict=True):
+    found = find_cuts(ids, key, streams, population)
+    for i, cut in zip(owner, found[first:], strict=True):
         cuts[i].append(cut)
-    return cuts
+    return found[:first], cuts
 
 
-def multiplicity(key: Column, seeds, cuts) -> Column:
-    """How often a row was drawn."""
-    rolled = dice.roll(key, seeds)
-    total = F.lit(0).cast("long")
-    for cut in cuts:
-        total = total + below(rolled, key, cut).cast("long")
-    return total
+def multiplicity(rolled: str, key: str, cuts: list[Cut]) -> str:
+    """SQL value: how often a row was drawn, from its roll."""
+    return " + ".join([f"cast({below(rolled, key, cut)} AS bigint)" for cut in cuts] or ["0L"])
 
 
 def sample_with_replacement(df: DataFrame, key: str, label: tuple, n: int, population: int | None = None) -> DataFrame:
     """Rows drawn at least once, with the number of ``times``; the times add up to n."""
     population = df.count() if population is None else population
     draws = Draws(label, n)
-    (cuts,) = multiplicity_cuts(df.select(key), key, [draws], population)
-    times = multiplicity(F.col(key).cast("long"), draws.row_seeds, cuts)
-    return df.withColumn("times", times).filter("times > 0")
+    _, (cuts,) = find_all_cuts(df.select(key), key, [], [draws], population)
+    rolled = dice.add_rolls(df, {"_roll": (f"cast(`{key}` AS bigint)", draws.row_seeds)})
+    counted = rolled.withColumn("times", F.expr(multiplicity("_roll", key, cuts))).drop("_roll")
+    return counted.filter("times > 0")
 
 
 def hash_sample(df: DataFrame, key: str, seeds: tuple[int, int], n: int) -> DataFrame:

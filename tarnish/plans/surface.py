@@ -33,11 +33,11 @@ from tarnish.operators.defects import (
     copy_draws,
     damaged_star,
     diagnostics,
-    hit,
     hit_seeds,
     in_order,
     plan_scenarios,
     stream_seeds,
+    struck,
 )
 from tarnish.operators.loss import answer_loss, relative_error, weighted_risk
 from tarnish.operators.sampling import NOTHING, below
@@ -180,79 +180,49 @@ def _contribution_plan(
     m = len(defects)
     if (4**m) * max(1, len(queries)) > PLAN_ROW_LIMIT * 4:
         raise ValueError("too many defects for the exact one-pass surface; use the direct surface or sampling")
-    digits = [F.shiftright("id", 2 * c).bitwiseAND(F.lit(3)) for c in range(m)]
-    zero = F.lit(0).cast("long")
+    digit = [f"(shiftright(id, {2 * c}) & 3)" for c in range(m)]
 
-    def packed(test) -> Column:
-        total = zero
-        for c, digit in enumerate(digits):
-            total = total + test(digit).cast("long") * F.lit(1 << c)
-        return total
+    def packed(test: str) -> str:
+        return " + ".join([f"if({d} {test}, {1 << c}L, 0L)" for c, d in enumerate(digit)] or ["0L"])
 
-    parity = zero
-    for d in digits:
-        parity = parity + (d == 2).cast("long")
-    slots = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("q"),
-                F.lit(relevant_mask(defects, q)).cast("long").alias("rel"),
-                F.lit(needs[i]).cast("long").alias("need"),
-            )
-            for i, q in queries
-        ]
+    odd = " + ".join([f"if({d} = 2, 1, 0)" for d in digit] or ["0"])
+    slots = ", ".join(
+        f"named_struct('q', {i}, 'rel', {relevant_mask(defects, q)}L, 'need', {needs[i]}L)" for i, q in queries
     )
-    grid = spark.range(4**m).select(
-        packed(lambda d: d > 0).alias("h"),
-        packed(lambda d: d > 1).alias("t"),
-        packed(lambda d: d == 3).alias("u"),
-        F.when(parity % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("sign"),
-        F.explode(slots).alias("s"),
+    grid = spark.range(4**m).selectExpr(
+        f"{packed('> 0')} AS h",
+        f"{packed('> 1')} AS t",
+        f"{packed('= 3')} AS u",
+        f"if(({odd}) % 2 = 0, 1.0D, -1.0D) AS sign",
+        f"inline(array({slots}))",
     )
-    delta = grid.filter((F.col("t") != 0) & (F.col("t").bitwiseAND(F.bitwise_not(F.col("s.rel"))) == 0))
-    delta = delta.select("h", "s.q", "t", "u", "sign", "s.need")
-    clean = spark.range(1).select(F.explode(slots).alias("s")).select(
-        F.lit(-1).cast("long").alias("h"), "s.q", zero.alias("t"), zero.alias("u"), F.lit(1.0).alias("sign"), "s.need"
-    )
-    return clean.unionByName(delta)
-
+    delta = grid.filter("t != 0 AND (t & ~rel) = 0").drop("rel")
+    clean = spark.range(1).selectExpr("-1L AS h", "0L AS t", "0L AS u", "1.0D AS sign", f"inline(array({slots}))")
+    return clean.drop("rel").unionByName(delta)
 
-def _scenario_table(
-    defects: Sequence[Defect], scenarios: Sequence[Scenario], master_seed: int
-) -> tuple[Column, dict[str, int]]:
-    """The clean pass and all scenarios as one literal array, with seeds and cuts as fields."""
-    depth = {
-        d.name: max([len(s.copies[d.name]) for s in scenarios] + [0]) for d in defects if isinstance(d, CopyDefect)
-    }
 
-    def fields(n: int, s: Scenario | None) -> Column:
-        out = [F.lit(n).alias("n")]
-
-        def put(name: str, value: int) -> None:
-            out.append(F.lit(int(value)).cast("long").alias(name))
+def _scenario_table(defects: Sequence[Defect], scenarios: Sequence[Scenario], master_seed: int) -> str:
+    """SQL text: the clean pass (n = -1) and all scenarios as one array of seeds and cuts."""
 
+    def fields(n: int, s: Scenario | None) -> str:
+        out = [f"'n', {n}"]
         for i, d in enumerate(defects):
             if isinstance(d, CopyDefect):
                 seeds = copy_draws(master_seed, s.repeat, d.name, 1).row_seeds if s else (0, 0)
-                cuts = list(s.copies[d.name]) if s else []
-                cuts += [NOTHING] * (depth[d.name] - len(cuts))
-                for level, cut in enumerate(cuts):
-                    put(f"h{i}_{level}", cut[0])
-                    put(f"k{i}_{level}", cut[1])
+                cuts = (s.copies[d.name] if s else ()) or (NOTHING,)
+                first = cuts[0]
+                more = ", ".join(f"named_struct('h', {h}L, 'k', {k}L)" for h, k in (*cuts[1:], NOTHING))
+                out.append(f"'more{i}', array({more})")
             else:
                 seeds = hit_seeds(master_seed, s.repeat, d.name) if s else (0, 0)
-                cut = s.cuts[d.name] if s else NOTHING
-                put(f"h{i}", cut[0])
-                put(f"k{i}", cut[1])
+                first = s.cuts[d.name] if s else NOTHING
                 for stream in d.streams if isinstance(d, OrderDefect) else ():
                     a, b = stream_seeds(master_seed, s.repeat, d.name, stream) if s else (0, 0)
-                    put(f"{stream}{i}_a", a)
-                    put(f"{stream}{i}_b", b)
-            put(f"a{i}", seeds[0])
-            put(f"b{i}", seeds[1])
-        return F.struct(*out)
+                    out.append(f"'{stream}{i}_a', {a}L, '{stream}{i}_b', {b}L")
+            out.append(f"'a{i}', {seeds[0]}L, 'b{i}', {seeds[1]}L, 'h{i}', {first[0]}L, 'k{i}', {first[1]}L")
+        return f"named_struct({', '.join(out)})"
 
-    return F.array(fields(-1, None), *[fields(n, s) for n, s in enumerate(scenarios)]), depth
+    return f"array({', '.join([fields(-1, None), *[fields(n, s) for n, s in enumerate(scenarios)]])})"
 
 
 def _prepared_customers(star: Star, defects: Sequence[Defect]) -> DataFrame:
@@ -293,26 +263,32 @@ def _sum_cells(
         passed = passed + F.when(F.expr(where), F.lit(1 << i)).otherwise(F.lit(0))
     rows = rows.withColumn("_passed", passed)
 
-    table, depth = _scenario_table(defects, scenarios, master_seed)
-    rows = rows.withColumn("z", F.explode(table))
-    z = lambda name: F.col(f"z.{name}")
-    order_key = F.col("order_id")
-    struck = F.lit(0).cast("long")
-    extra = F.lit(0).cast("long")
+    table = _scenario_table(defects, scenarios, master_seed)
+    rows = rows.selectExpr("*", f"explode({table}) AS z")
+    keys = ["customer_id" if isinstance(d, CustomerDefect) else "order_id" for d in defects]
+    rolls = {}
+    for i, d in enumerate(defects):
+        rolls[f"_r{i}"] = (keys[i], (f"z.a{i}", f"z.b{i}"))
+        for stream in d.streams if isinstance(d, OrderDefect) else ():
+            rolls[f"_{stream}{i}"] = (keys[i], (f"z.{stream}{i}_a", f"z.{stream}{i}_b"))
+    rows = dice.add_rolls(rows, rolls)
+    bits, extra = "0L", "0L"
     for i, d in enumerate(defects):
+        first = below(f"_r{i}", keys[i], (f"z.h{i}", f"z.k{i}"))
+        bits += f" + if({first}, {1 << i}L, 0L)"
         if isinstance(d, CopyDefect):
-            rolled = dice.roll(order_key, (z(f"a{i}"), z(f"b{i}")))
-            times = F.lit(0).cast("long")
-            for level in range(depth[d.name]):
-                times = times + below(rolled, order_key, (z(f"h{i}_{level}"), z(f"k{i}_{level}"))).cast("long")
-            extra = times
-            bit = times > 0
-        else:
-            key = F.col("customer_id") if isinstance(d, CustomerDefect) else order_key
-            bit = below(dice.roll(key, (z(f"a{i}"), z(f"b{i}"))), key, (z(f"h{i}"), z(f"k{i}")))
-        struck = struck + F.when(bit, F.lit(1 << i)).otherwise(F.lit(0))
-    rows = rows.withColumn("_extra", extra)
-    rows = rows.withColumn("_h", F.when(z("n") < 0, F.lit(-1)).otherwise(struck)).filter("_h != 0")
+            # an interpreted array filter: it runs on hit rows only, and as it stays out of the
+            # fused loop, the roll half and the aggregation half are compiled as separate methods
+            again = f"filter(z.more{i}, c -> {below(f'_r{i}', keys[i], ('c.h', 'c.k'))})"
+            extra = f"if({first}, 1L + size({again}), 0L)"
+    kept = [c for c in rows.columns if c not in rolls or c.strip("_0123456789") not in ("r",)]
+    rows = rows.selectExpr(
+        *[c for c in kept if c != "z"],
+        "z.n AS n",
+        f"if(z.n < 0, -1L, {bits}) AS _h",
+        f"{extra} AS _extra",
+    )
+    # rows that nothing hits have no partner in the plan; the join drops them
 
     plan = _contribution_plan(spark, defects, queries, needs)
     # bounded by 4**defects x queries, whatever the size of the data
@@ -336,14 +312,12 @@ def _sum_cells(
         else:
             if d.unlinks in linked:
                 linked[d.unlinks] = linked[d.unlinks] & ~on
-            rolls = {s: dice.roll(order_key, (z(f"{s}{i}_a"), z(f"{s}{i}_b"))) for s in d.streams}
-            new = d.rewrite(current, rolls)
+            new = d.rewrite(current, {s: F.col(f"_{s}{i}") for s in d.streams})
             for c, value in new.items():
                 if c in current and c != "customer_id":
                     current[c] = F.when(on, value).otherwise(current[c])
-    plain = [c for c in rows.columns if not c.startswith("_") and "__" not in c and c != "z"]
+    plain = [c for c in rows.columns if not c.startswith("_") and "__" not in c]
     rows = rows.select(
-        z("n").alias("n"),
         *[current[c].alias(c) for c in plain],
         (F.col("sign") * weight).alias("w"),
         *[ok.alias(f"linked_{j}") for j, ok in linked.items()],
@@ -363,20 +337,14 @@ def _sum_cells(
 
     ok = by_query(lambda q: _all_linked(q.joins), F.lit(True))
     late = by_query(lambda q: F.expr(q.where) if q.where and q.where not in early else None, F.lit(True))
-    measures: dict[str, list[int]] = {}
-    for i, q in queries:
-        measures.setdefault("1.0D" if q.aggregate == "count" else q.measure, []).append(i)
-    value = None
-    for text, owners in measures.items():
-        test = F.col("q").isin(owners)
-        amount = F.expr(text).cast("double")
-        value = F.when(test, amount) if value is None else value.when(test, amount)
-    text_key = by_query(lambda q: F.expr(q.key).cast("string") if q.kind == "text" else None, F.lit(None))
-    day_key = by_query(
-        lambda q: F.unix_date(F.expr(q.key).cast("date")) if q.kind == "date" else None, F.lit(None).cast("int")
+    measures = {i: "1.0D" if q.aggregate == "count" else q.measure for i, q in queries}
+    value = _by_text(measures, lambda text: F.expr(text).cast("double"))
+    text_key = _by_text({i: q.key for i, q in queries if q.kind == "text"}, lambda k: F.expr(k).cast("string"))
+    day_key = _by_text(
+        {i: q.key for i, q in queries if q.kind == "date"}, lambda k: F.unix_date(F.expr(k).cast("date"))
     )
     kept = rows.filter(ok & late).select(
-        "n", "q", "t", text_key.cast("string").alias("text"), day_key.alias("day"), "w", value.alias("v")
+        "n", "q", "t", text_key.cast("string").alias("text"), day_key.cast("int").alias("day"), "w", value.alias("v")
     )
     return (
         kept.filter("v IS NOT NULL")
@@ -385,6 +353,18 @@ def _sum_cells(
     )
 
 
+def _by_text(texts: Mapping[int, str], build) -> Column:
+    """One CASE over queries in which equal expressions share a branch."""
+    owners: dict[str, list[int]] = {}
+    for i, text in texts.items():
+        owners.setdefault(text, []).append(i)
+    chosen = None
+    for text, group in owners.items():
+        test = F.col("q").isin(group)
+        chosen = F.when(test, build(text)) if chosen is None else chosen.when(test, build(text))
+    return F.lit(None) if chosen is None else chosen
+
+
 def _all_linked(joins: tuple[str, ...]) -> Column | None:
     ok = None
     for j in joins:
@@ -455,32 +435,37 @@ def _distinct_losses(
     combos = [c for c in _subsets(cutter_mask) if c]
     words = -(-len(scenarios) // SCENARIOS_PER_WORD)
 
+    orders = star.orders.select("customer_id", "order_id")
+    for n, s in enumerate(scenarios):
+        for i, d in cutters:
+            orders = struck(orders, f"lost_{n}_{i}", s, d, master_seed, "order_id")
+
     def packed(word: int, combo: int) -> Column:
         total = F.lit(0).cast("long")
-        for n, s in enumerate(scenarios):
-            if n // SCENARIOS_PER_WORD != word:
-                continue
+        for n in range(word * SCENARIOS_PER_WORD, min(len(scenarios), (word + 1) * SCENARIOS_PER_WORD)):
             lost = F.lit(False)
-            for i, d in cutters:
+            for i, _ in cutters:
                 if combo >> i & 1:
-                    lost = lost | hit(s, d, master_seed, F.col("order_id"))
+                    lost = lost | F.col(f"lost_{n}_{i}")
             total = total + F.when(lost, F.lit(1 << (n % SCENARIOS_PER_WORD))).otherwise(F.lit(0))
         return total
 
     marks = [(w, c, f"gone_{w}_{c}") for w in range(words) for c in combos]
-    orders = star.orders.select("customer_id", *[packed(w, c).alias(name) for w, c, name in marks])
+    orders = orders.select("customer_id", *[packed(w, c).alias(name) for w, c, name in marks])
     if marks:
         present = orders.groupBy("customer_id").agg(*[F.bit_and(name).alias(name) for _, _, name in marks])
     else:
         present = orders.distinct()
     people = present.join(_prepared_customers(star, defects), "customer_id")
+    for n, s in enumerate(scenarios):
+        for i, d in movers:
+            people = struck(people, f"moved_{n}_{i}", s, d, master_seed, "customer_id")
 
     pieces = None
     for q_index, q in queries:
         rel = relevant_mask(defects, q)
         rows = []
-        for n, s in enumerate(scenarios):
-            moved = {i: hit(s, d, master_seed, F.col("customer_id")) for i, d in movers if rel >> i & 1}
+        for n in range(len(scenarios)):
             for s_mask in _subsets(rel):
                 combo = s_mask & cutter_mask
                 here = F.lit(True)
@@ -490,7 +475,7 @@ def _distinct_losses(
                 key = F.expr(q.key)
                 for i, d in movers:
                     if s_mask >> i & 1 and set(d.writes) & q.reads(q.key):
-                        key = F.when(moved[i], F.col(d.damaged(q.key))).otherwise(key)
+                        key = F.when(F.col(f"moved_{n}_{i}"), F.col(d.damaged(q.key))).otherwise(key)
                 rows.append(
                     F.struct(
                         F.lit(n).alias("n"),
