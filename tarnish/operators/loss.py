@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnish.operators.quantiles import exact_quantiles
 from tarnish.plans.workload import Query, SqlQuery, keys_of, query_weights, values_of
 
 GUARD = 1e-12
@@ -90,24 +91,27 @@ def workload_risk(
     return weighted_risk(query_losses(reference, observed, workload), resolved)
 
 
+def label_scale(rows: DataFrame, label: str = "label") -> float:
+    """Spread of the true labels: interquartile range, else standard deviation, else 1."""
+    low, high = exact_quantiles(rows, [label], [0.25, 0.75])[label]
+    if low is not None and high - low > GUARD:
+        return high - low
+    deviation = rows.agg(F.stddev_pop(label)).first()[0]
+    return deviation if deviation is not None and deviation > GUARD else 1.0
+
+
 def prediction_loss(
-    predictions: DataFrame, task: str, label: str = "label", prediction: str = "prediction", groups: Sequence[str] = ()
+    predictions: DataFrame,
+    task: str,
+    label: str = "label",
+    prediction: str = "prediction",
+    scale: float | None = None,
 ) -> DataFrame:
-    """Share of wrong classes, or mean absolute error in units of the labels' spread, at most 1 per row.
-
-    The spread is the interquartile range, else the standard deviation, else 1.
-    """
+    """One row: share of wrong classes, or mean error in units of the labels' spread, at most 1 per row."""
     if task not in TASKS:
         raise ValueError(f"task must be one of {TASKS}")
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     if task == "classification":
-        return predictions.groupBy(*groups).agg(F.avg((y != p).cast("double")).alias("loss"))
-    quartiles = F.percentile(y, F.array(F.lit(0.25), F.lit(0.75)))
-    spread = predictions.groupBy(*groups).agg(quartiles.alias("_q"), F.stddev_pop(y).alias("_sd"))
-    width = F.element_at("_q", 2) - F.element_at("_q", 1)
-    spread = spread.select(
-        *groups,
-        F.when(width > GUARD, width).when(F.col("_sd") > GUARD, F.col("_sd")).otherwise(F.lit(1.0)).alias("_scale"),
-    )
-    joined = predictions.join(spread, list(groups)) if groups else predictions.crossJoin(F.broadcast(spread))
-    return joined.groupBy(*groups).agg(F.avg(F.least(F.abs(p - y) / F.col("_scale"), F.lit(1.0))).alias("loss"))
+        return predictions.agg(F.avg((y != p).cast("double")).alias("loss"))
+    scale = label_scale(predictions, label) if scale is None else scale
+    return predictions.agg(F.avg(F.least(F.abs(p - y) / F.lit(scale), F.lit(1.0))).alias("loss"))
