@@ -128,7 +128,7 @@ class Surface:
                 mask_key(mask, self.channels).alias("coalition_key"),
                 F.bit_count(mask).cast("int").alias("coalition_size"),
                 "loss",
-                F.lit(self.star.orders.count()).alias("orders"),
+                F.lit(self.star.orders.count()).cast("long").alias("orders"),
                 "query_losses",
                 F.map_from_entries(
                     F.transform(taken, lambda x: F.struct(x["channel"].alias("k"), described(x, mask).alias("v")))
