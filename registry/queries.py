@@ -280,7 +280,7 @@ def drift_impact(spark, sf):
     star = lines(spark, sf)
     drift = [dfx.dimension_drift()]
     (scenario,) = dfx.plan_scenarios(star, drift, [cfg.SEVERITY], [0], cfg.MASTER)
-    moved = dfx.struck(star.customers, "hit", scenario, drift[0], cfg.MASTER, "customer_id").filter("hit")
+    moved = dfx.struck(star.customers, {"hit": (scenario, drift[0])}, cfg.MASTER, dfx.KEYS).filter("hit")
     touched = star.orders.join(moved, "customer_id", "left_semi")
     return touched.agg(F.count("*").alias("impacted_orders"), F.count_distinct("customer_id").alias("customers_with_orders"))
 
@@ -646,13 +646,13 @@ def _sampled(spark, sf, antithetic: bool) -> permutations.Sampled:
 @register("permutation_shapley")
 def permutation_shapley(spark, sf):
     told = _sampled(spark, sf, False)
-    return rounded(told.values.drop("idx").crossJoin(told.summary.select("hoeffding_radius")))
+    return rounded(told.values.select("player", "value", "standard_error", F.lit(told.radius).alias("hoeffding_radius")))
 
 
 @register("antithetic_shapley")
 def antithetic_shapley(spark, sf):
     told = _sampled(spark, sf, True)
-    return rounded(told.values.drop("idx").crossJoin(told.summary.select("hoeffding_radius")))
+    return rounded(told.values.select("player", "value", "standard_error", F.lit(told.radius).alias("hoeffding_radius")))
 
 
 @register("permutation_coverage")
@@ -660,7 +660,7 @@ def permutation_coverage(spark, sf):
     """Coverage of the surface by the sampled orders, with the share of the total risk seen."""
     told = _sampled(spark, sf, False)
     seen = _visited_part(spark, sf, _walk(spark)).agg(F.sum("value").alias("seen_value"))
-    return rounded(told.summary.drop("hoeffding_radius", "antithetic").crossJoin(seen))
+    return rounded(game.side_by_side([told.summary.drop("hoeffding_radius", "antithetic"), seen]))
 
 
 def _trials(spark, sf) -> DataFrame:
@@ -736,13 +736,13 @@ def ml_all_composed(spark, sf):
 
 @register("split_random")
 def split_random(spark, sf):
-    return models.splits(prices(spark, sf), cfg.SPLITS, cfg.TEST_SIZE, cfg.MODEL_MASTER)
+    return models.splits(prices(spark, sf), cfg.SPLITS, cfg.TEST_SIZE, cfg.MODEL_MASTER).all()
 
 
 @register("split_stratified")
 def split_stratified(spark, sf):
     table = features.document_quality(spark, sf)
-    return models.splits(table, cfg.SPLITS, cfg.TEST_SIZE, cfg.MODEL_MASTER)
+    return models.splits(table, cfg.SPLITS, cfg.TEST_SIZE, cfg.MODEL_MASTER).all()
 
 
 @register("impute_scale")

@@ -56,8 +56,13 @@ def mask_of(names, players) -> int:
     return sum(1 << players.index(n) for n in set(names))
 
 
-def player_table(spark: SparkSession, players) -> DataFrame:
-    return spark.createDataFrame([(i, 1 << i, p) for i, p in enumerate(players)], "idx int, bit long, player string")
+def with_players(df: DataFrame, players) -> DataFrame:
+    """One row per row and player, with the player's idx, bit and name."""
+    rows = [
+        F.struct(F.lit(i).alias("idx"), F.lit(1 << i).cast("long").alias("bit"), F.lit(p).alias("player"))
+        for i, p in enumerate(players)
+    ]
+    return df.select("*", F.inline(F.array(*rows)))
 
 
 def shapley_size_weight(size: int, m: int) -> float:
@@ -74,7 +79,7 @@ def shapley_weights(spark: SparkSession, players) -> DataFrame:
     m = len(players)
     inside = [0.0] + [shapley_size_weight(s - 1, m) for s in range(1, m + 1)]
     outside = [-shapley_size_weight(s, m) for s in range(m)] + [0.0]
-    grid = all_masks(spark, m).crossJoin(F.broadcast(player_table(spark, players)))
+    grid = with_players(all_masks(spark, m), players)
     weight = F.when(F.col("mask").bitwiseAND(F.col("bit")) != 0, _by_size(F.col("size"), inside)).otherwise(
         _by_size(F.col("size"), outside)
     )
@@ -84,7 +89,7 @@ def shapley_weights(spark: SparkSession, players) -> DataFrame:
 def banzhaf_weights(spark: SparkSession, players) -> DataFrame:
     m = len(players)
     share = 1.0 / (1 << max(m - 1, 0))
-    grid = all_masks(spark, m).crossJoin(F.broadcast(player_table(spark, players)))
+    grid = with_players(all_masks(spark, m), players)
     weight = F.when(F.col("mask").bitwiseAND(F.col("bit")) != 0, F.lit(share)).otherwise(F.lit(-share))
     return grid.select("mask", "idx", "player", weight.alias("weight"))
 
@@ -93,13 +98,22 @@ def interaction_weights(spark: SparkSession, players) -> DataFrame:
     """Linear map (mask, left, right, weight) to pairwise Shapley interactions."""
     m = len(players)
     pairs = [
-        (i, j, (1 << i) | (1 << j), players[i], players[j]) for i in range(m) for j in range(i + 1, m)
+        F.struct(
+            F.lit(i).alias("left_idx"),
+            F.lit(j).alias("right_idx"),
+            F.lit((1 << i) | (1 << j)).cast("long").alias("both"),
+            F.lit(players[i]).alias("left"),
+            F.lit(players[j]).alias("right"),
+        )
+        for i in range(m)
+        for j in range(i + 1, m)
     ]
-    table = spark.createDataFrame(pairs, "left_idx int, right_idx int, both long, left string, right string")
-    table = all_masks(spark, m).crossJoin(F.broadcast(table))
+    if not pairs:
+        schema = "mask long, left_idx int, right_idx int, left string, right string, weight double"
+        return spark.createDataFrame([], schema)
+    table = all_masks(spark, m).select("*", F.inline(F.array(*pairs)))
     hit = F.bit_count(F.col("mask").bitwiseAND(F.col("both")))
     others = F.col("size") - hit
-    share = [factorial(s) * factorial(m - s - 2) / factorial(m - 1) for s in range(max(m - 1, 0))]
-    weight = _by_size(others, share) if share else F.lit(0.0)
+    weight = _by_size(others, [factorial(s) * factorial(m - s - 2) / factorial(m - 1) for s in range(m - 1)])
     signed = F.when(hit == 1, -weight).otherwise(weight)
     return table.select("mask", "left_idx", "right_idx", "left", "right", signed.alias("weight"))

@@ -243,15 +243,28 @@ def plan_scenarios(
     ]
 
 
-def struck(df: DataFrame, name: str, scenario: Scenario, defect: Defect, master_seed: int, key: str) -> DataFrame:
-    """Add the column ``name``: is the row hit, or, for copies, how many does it get?"""
-    if isinstance(defect, CopyDefect):
-        seeds = copy_draws(master_seed, scenario.repeat, defect.name, scenario.counts[defect.name]).row_seeds
-        value = multiplicity(name, key, scenario.copies[defect.name])
-    else:
-        seeds = hit_seeds(master_seed, scenario.repeat, defect.name)
-        value = below(name, key, scenario.cuts[defect.name])
-    return dice.add_rolls(df, {name: (key, seeds)}).withColumn(name, F.expr(value))
+def struck(df: DataFrame, marks: Mapping[str, tuple[Scenario, Defect]], master_seed: int, keys: Mapping[str, str]) -> DataFrame:
+    """Add a column per mark: is the row hit, or, for copies, how many does it get?
+
+    ``keys`` names the id column for orders and for customers.
+    """
+    rolls, tests = {}, {}
+    for name, (scenario, defect) in marks.items():
+        if isinstance(defect, CopyDefect):
+            key = keys["orders"]
+            seeds = copy_draws(master_seed, scenario.repeat, defect.name, scenario.counts[defect.name]).row_seeds
+            test = multiplicity(name, key, list(scenario.copies[defect.name]))
+        else:
+            key = keys["customers" if isinstance(defect, CustomerDefect) else "orders"]
+            seeds = hit_seeds(master_seed, scenario.repeat, defect.name)
+            test = below(name, key, scenario.cuts[defect.name])
+        rolls[name], tests[name] = (key, seeds), test
+    rolled = dice.add_rolls(df, rolls)
+    kept = [c for c in df.columns if c not in tests]
+    return rolled.selectExpr(*kept, *[f"{test} AS `{name}`" for name, test in tests.items()])
+
+
+KEYS = {"orders": "order_id", "customers": "customer_id"}
 
 
 def damaged_star(star: Star, defects: Sequence[Defect], scenario: Scenario, master_seed: int) -> Star:
@@ -260,7 +273,7 @@ def damaged_star(star: Star, defects: Sequence[Defect], scenario: Scenario, mast
     for defect in in_order(checked(defects)):
         if isinstance(defect, OrderDefect):
             columns = orders.columns
-            ready = struck(orders, "_hit", scenario, defect, master_seed, "order_id")
+            ready = struck(orders, {"_hit": (scenario, defect)}, master_seed, KEYS)
             words = {
                 f"_{s}": ("order_id", stream_seeds(master_seed, scenario.repeat, defect.name, s))
                 for s in defect.streams
@@ -272,7 +285,7 @@ def damaged_star(star: Star, defects: Sequence[Defect], scenario: Scenario, mast
             )
         elif isinstance(defect, CustomerDefect):
             columns = customers.columns
-            ready = defect.prepare(struck(customers, "_hit", scenario, defect, master_seed, "customer_id"))
+            ready = defect.prepare(struck(customers, {"_hit": (scenario, defect)}, master_seed, KEYS))
             customers = ready.select(
                 *[
                     F.when(F.col("_hit"), F.col(defect.damaged(c))).otherwise(F.col(c)).alias(c)
@@ -282,7 +295,7 @@ def damaged_star(star: Star, defects: Sequence[Defect], scenario: Scenario, mast
                 ]
             )
         else:
-            ready = struck(orders, "_times", scenario, defect, master_seed, "order_id")
+            ready = struck(orders, {"_times": (scenario, defect)}, master_seed, KEYS)
             copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times")))
             orders = ready.withColumn("_copy", copies).drop("_copy", "_times")
     return star.with_tables(orders=orders, customers=customers)
@@ -306,22 +319,19 @@ def impacted(star: Star, defects: Sequence[Defect], scenarios: Sequence[Scenario
     people = [d for d in defects if isinstance(d, CustomerDefect)]
     known = star.customers.select("customer_id").distinct()
     orders = star.orders.join(known, "customer_id", "left_semi").select("order_id", "customer_id")
-    parts = []
+    parts, marks = [], {}
     for i, s in enumerate(scenarios):
         for d in people:
-            cutters = [
-                x for x in defects
-                if isinstance(x, OrderDefect) and x.unlinks == "customers" and (x.priority, x.name) < (d.priority, d.name)
-            ]
             lost = F.lit(False)
-            for x in cutters:
-                name = f"lost_{i}_{x.name}"
-                if name not in orders.columns:
-                    orders = struck(orders, name, s, x, master_seed, "order_id")
-                lost = lost | F.col(name)
-            orders = struck(orders, f"hit_{i}_{d.name}", s, d, master_seed, "customer_id")
+            for x in defects:
+                early = isinstance(x, OrderDefect) and (x.priority, x.name) < (d.priority, d.name)
+                if early and x.unlinks == "customers":
+                    marks[f"lost_{i}_{x.name}"] = (s, x)
+                    lost = lost | F.col(f"lost_{i}_{x.name}")
+            marks[f"hit_{i}_{d.name}"] = (s, d)
             reached = F.col(f"hit_{i}_{d.name}")
             parts.append((i, d.name, reached, reached & ~lost))
+    orders = struck(orders, marks, master_seed, KEYS)
     sums = [F.sum(c.cast("long")).alias(f"c{n}_{k}") for n, (_, _, a, b) in enumerate(parts) for k, c in enumerate((a, b))]
     totals = orders.agg(*sums) if sums else None
     schema = "scenario int, channel string, impacted_orders long, linked_orders long"

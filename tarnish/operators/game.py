@@ -20,8 +20,8 @@ from tarnish.functions.coalitions import (
     banzhaf_weights,
     check_players,
     interaction_weights,
-    player_table,
     shapley_weights,
+    with_players,
 )
 from tarnish.operators.bootstrap import paired_draws
 
@@ -42,10 +42,12 @@ ESTIMATE_COLUMNS = (
 
 def coalition_gaps(game: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """Coalitions that are missing from, or do not belong to, a complete game."""
-    spark = game.sparkSession
     given = game.select(*groups, "mask").distinct()
-    every = F.broadcast(all_masks(spark, len(players)).select("mask"))
-    wanted = game.select(*groups).distinct().crossJoin(every) if groups else every
+    if groups:
+        masks = F.expr(f"explode(sequence(0L, {(1 << len(players)) - 1}L)) AS mask")
+        wanted = game.select(*groups).distinct().select(*groups, masks)
+    else:
+        wanted = all_masks(game.sparkSession, len(players)).select("mask")
     missing = wanted.join(given, [*groups, "mask"], "left_anti").withColumn("problem", F.lit("missing"))
     extra = given.join(wanted, [*groups, "mask"], "left_anti").withColumn("problem", F.lit("extra"))
     return missing.unionByName(extra)
@@ -94,8 +96,7 @@ def banzhaf_values(game: DataFrame, players: Sequence[str], groups: Sequence[str
 
 def marginal_contributions(game: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """Gain of every player over every coalition without the player: v(S + i) - v(S)."""
-    table = F.broadcast(player_table(game.sparkSession, check_players(players)))
-    without = game.crossJoin(table).filter(F.col("mask").bitwiseAND(F.col("bit")) == 0)
+    without = with_players(game, check_players(players)).filter(F.col("mask").bitwiseAND(F.col("bit")) == 0)
     grown = game.select(*groups, F.col("mask").alias("grown"), F.col("value").alias("grown_value"))
     return (
         without.withColumn("grown", F.col("mask").bitwiseOR(F.col("bit")))
@@ -137,9 +138,8 @@ def singletons_and_gains(game: DataFrame, players: Sequence[str], groups: Sequen
     """Effect of each defect alone, and what removing it from the full damage would gain."""
     players = check_players(players)
     full = (1 << len(players)) - 1
-    table = F.broadcast(player_table(game.sparkSession, players))
     mask, bit, value = F.col("mask"), F.col("bit"), F.col("value")
-    picked = game.crossJoin(table).filter(mask.isin(0, full) | (mask == bit) | (mask == F.lit(full) - bit))
+    picked = with_players(game, players).filter(mask.isin(0, full) | (mask == bit) | (mask == F.lit(full) - bit))
 
     def at(test: Column) -> Column:
         return F.max(F.when(test, value))
@@ -159,12 +159,8 @@ def debt_accounting(game: DataFrame, players: Sequence[str], groups: Sequence[st
     )
     debts = shapley_values(game, players, groups).groupBy(*groups).agg(F.sum("debt").alias("_debt"))
     shares = banzhaf_values(game, players, groups).groupBy(*groups).agg(F.sum("banzhaf").alias("_banzhaf"))
-
-    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, list(groups)) if groups else left.crossJoin(right)
-
     total = F.col("full_risk") - F.col("clean_risk")
-    return beside(beside(ends, debts), shares).select(
+    return side_by_side([ends, debts, shares], groups).select(
         *groups,
         "full_risk",
         "clean_risk",
@@ -174,6 +170,16 @@ def debt_accounting(game: DataFrame, players: Sequence[str], groups: Sequence[st
     )
 
 
+def side_by_side(tables: Sequence[DataFrame], groups: Sequence[str] = ()) -> DataFrame:
+    """Join tables with one row per group; without groups, tables of one row each."""
+    keys = list(groups) or ["_one"]
+    out = None
+    for table in tables:
+        keyed = table if groups else table.withColumn("_one", F.lit(1))
+        out = keyed if out is None else out.join(keyed, keys)
+    return out.drop("_one")
+
+
 def concentration_radius(n_channels: int, repeats: int, delta: float = 0.05) -> float:
     """Simultaneous Hoeffding radius for debts of losses in [0, 1]."""
     if n_channels < 1 or repeats < 1 or not 0 < delta < 1:
@@ -336,9 +342,8 @@ def study_summary(
         F.max_by("channel", order).alias("top_channel"), F.max_by("rank_1_probability", order).alias("top_probability")
     )
     strongest = result.interactions.groupBy(*groups).agg(F.max(F.abs("interaction")).alias("max_abs_interaction"))
-    out = result.accounting
-    for part in (repeats, top, strongest, repair_decisions(result.means, players, groups)):
-        out = out.join(part, groups) if groups else out.crossJoin(part)
+    decisions = repair_decisions(result.means, players, groups)
+    out = side_by_side([result.accounting, repeats, top, strongest, decisions], groups)
     half = math.log(2 ** (len(players) + 1) / delta)
     radius = F.least(F.lit(2.0), F.lit(2.0) * F.sqrt(F.lit(half) / (F.lit(2.0) * F.col("repeats"))))
     return out.withColumn("coalitions", F.lit(1 << len(players)).cast("long")).withColumn("hoeffding_radius", radius)

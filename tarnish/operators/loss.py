@@ -17,10 +17,11 @@ TASKS = ("classification", "regression")
 def align_answers(reference: DataFrame, observed: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Full outer alignment on the keys as text; a missing side or value counts as 0."""
     if not keys:
-        left = reference.select(*[F.col(v).alias(f"{v}_ref") for v in values])
-        right = observed.select(*[F.col(v).alias(f"{v}_obs") for v in values])
-        # answers without keys have one row each
-        joined = left.limit(1).crossJoin(right.limit(1))
+        # answers without keys have one row each: put both into one row
+        left = reference.select(*[F.col(v).cast("double").alias(f"{v}_ref") for v in values])
+        right = observed.select(*[F.col(v).cast("double").alias(f"{v}_obs") for v in values])
+        both = left.unionByName(right, allowMissingColumns=True)
+        joined = both.agg(*[F.max(c).alias(c) for c in both.columns])
         heads = []
     else:
         left = reference.select(

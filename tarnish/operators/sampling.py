@@ -39,10 +39,15 @@ def affected(severity: float, population: int) -> int:
 
 @dataclass(frozen=True)
 class Stream:
-    """Choose ``count`` rows by the hash stream with these seed words."""
+    """Choose ``count`` rows by the hash stream with these seed words.
+
+    With a ``group`` only rows of that group count, of which there are ``population``.
+    """
 
     seeds: tuple[int, int]
     count: int
+    group: str | None = None
+    population: int | None = None
 
 
 def _bracket(count: int, population: int, width: float) -> tuple[int, int]:
@@ -53,27 +58,41 @@ def _bracket(count: int, population: int, width: float) -> tuple[int, int]:
     return low, high
 
 
-def find_cuts(ids: DataFrame, key: str, streams: list[Stream], population: int) -> list[Cut]:
-    """The cut of every stream, in one pass over the unique integer column ``key``."""
+def find_cuts(
+    ids: DataFrame, key: str, streams: list[Stream], population: int, group: str | None = None
+) -> list[Cut]:
+    """The cut of every stream, in one pass over the unique integer column ``key``.
+
+    ``group`` names the column whose text the streams' groups refer to.
+    """
     cuts: list[Cut | None] = [None] * len(streams)
+    sizes = [population if s.population is None else s.population for s in streams]
     for i, s in enumerate(streams):
         if s.count <= 0:
             cuts[i] = NOTHING
-        elif s.count >= population:
+        elif s.count >= sizes[i]:
             cuts[i] = EVERYTHING
     width = 8.0
     while any(c is None for c in cuts):
         slots = []
         for i, s in enumerate(streams):
             if cuts[i] is None:
-                low, high = _bracket(s.count, population, width)
+                low, high = _bracket(s.count, sizes[i], width)
                 slots.append((i, s, low, high))
-        fields = ", ".join(
-            f"named_struct('slot', {i}, 'one', {s.seeds[0]}L, 'two', {s.seeds[1]}L,"
-            f" 'low', {low}L, 'high', {high}L, 'want', {s.count}L)"
-            for i, s, low, high in slots
-        )
-        slotted = ids.selectExpr(f"cast(`{key}` AS bigint) AS k", f"inline(array({fields}))")
+        if group is None:
+            fields = ", ".join(
+                f"named_struct('slot', {i}, 'one', {s.seeds[0]}L, 'two', {s.seeds[1]}L,"
+                f" 'low', {low}L, 'high', {high}L, 'want', {s.count}L)"
+                for i, s, low, high in slots
+            )
+            slotted = ids.selectExpr(f"cast(`{key}` AS bigint) AS k", f"inline(array({fields}))")
+        else:
+            rows = [(s.group, i, *s.seeds, low, high, s.count) for i, s, low, high in slots]
+            schema = "g string, slot int, one long, two long, low long, high long, want long"
+            # one row per stream, not per group member
+            table = F.broadcast(ids.sparkSession.createDataFrame(rows, schema))
+            named = ids.selectExpr(f"cast(`{key}` AS bigint) AS k", f"cast(`{group}` AS string) AS g")
+            slotted = named.join(table, "g").drop("g")
         rolled = dice.add_rolls(slotted, {"h": ("k", ("one", "two"))})
         # rows outside the bracket fall into one group below and one above it; a filter
         # instead would make the optimizer evaluate the rolls a second time

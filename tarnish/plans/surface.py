@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tarnish.functions import dice
 from tarnish.functions.coalitions import EXACT_LIMIT, mask_key, members
 from tarnish.operators.defects import (
+    KEYS,
     CopyDefect,
     CustomerDefect,
     Defect,
@@ -53,7 +54,7 @@ from tarnish.plans.workload import (
 )
 from tarnish.sources.star import Star
 
-PLAN_ROW_LIMIT = 2_000_000
+PLAN_ROW_LIMIT = 200_000
 SCENARIOS_PER_WORD = 60
 
 
@@ -169,17 +170,28 @@ def _check_rewritable(defects: Sequence[Defect], workload: Sequence[Query]) -> N
             raise ValueError(f"{q.name}: only distinct customers by a customer column are rewritable")
 
 
+def _plan_rows(defects: Sequence[Defect], queries: Sequence[tuple[int, Query]], by_query: bool) -> int:
+    m, rows = len(defects), 0
+    for _, q in queries:
+        k = relevant_mask(defects, q).bit_count()
+        rows += 4**k if by_query else 2 ** (m - k) * 4**k
+    return rows
+
+
 def _contribution_plan(
-    spark: SparkSession, defects: Sequence[Defect], queries: Sequence[tuple[int, Query]], needs: Mapping[int, int]
+    spark: SparkSession,
+    defects: Sequence[Defect],
+    queries: Sequence[tuple[int, Query]],
+    needs: Mapping[int, int],
+    by_query: bool,
 ) -> DataFrame:
     """(h, q, t, u, sign, need): what a row hit by exactly h adds; h = -1 is the clean pass.
 
     Its size depends on the number of defects and queries only. Each defect is
     in one of four states: not hit, hit but not in T, in T but not in U, in U.
+    ``by_query`` lists only the defects that matter to the query in h.
     """
     m = len(defects)
-    if (4**m) * max(1, len(queries)) > PLAN_ROW_LIMIT * 4:
-        raise ValueError("too many defects for the exact one-pass surface; use the direct surface or sampling")
     digit = [f"(shiftright(id, {2 * c}) & 3)" for c in range(m)]
 
     def packed(test: str) -> str:
@@ -196,7 +208,7 @@ def _contribution_plan(
         f"if(({odd}) % 2 = 0, 1.0D, -1.0D) AS sign",
         f"inline(array({slots}))",
     )
-    delta = grid.filter("t != 0 AND (t & ~rel) = 0").drop("rel")
+    delta = grid.filter(f"t != 0 AND ({'h' if by_query else 't'} & ~rel) = 0").drop("rel")
     clean = spark.range(1).selectExpr("-1L AS h", "0L AS t", "0L AS u", "1.0D AS sign", f"inline(array({slots}))")
     return clean.drop("rel").unionByName(delta)
 
@@ -290,12 +302,18 @@ def _sum_cells(
     )
     # rows that nothing hits have no partner in the plan; the join drops them
 
-    plan = _contribution_plan(spark, defects, queries, needs)
-    # bounded by 4**defects x queries, whatever the size of the data
-    rows = rows.join(
-        F.broadcast(plan),
-        (F.col("_h") == F.col("h")) & (F.col("_passed").bitwiseAND(F.col("need")) == F.col("need")),
-    )
+    by_query = _plan_rows(defects, queries, False) > PLAN_ROW_LIMIT
+    plan = _contribution_plan(spark, defects, queries, needs, by_query)
+    meets = (F.col("_h") == F.col("h")) & (F.col("_passed").bitwiseAND(F.col("need")) == F.col("need"))
+    if by_query:
+        # many defects: look up only those that matter to each query
+        slots = ", ".join(f"named_struct('_q', {i}, '_rel', {relevant_mask(defects, q)}L)" for i, q in queries)
+        rows = rows.selectExpr("*", f"inline(array({slots}))").withColumn("_h", F.expr("if(n < 0, -1L, _h & _rel)"))
+        meets = meets & (F.col("_q") == F.col("q"))
+    if _plan_rows(defects, queries, by_query) <= PLAN_ROW_LIMIT:
+        # sized by the number of defects and queries, whatever the size of the data
+        plan = F.broadcast(plan)
+    rows = rows.join(plan, meets)
 
     current = {c: F.col(c) for c in rows.columns}
     linked = {j: F.col(f"_{j}").isNotNull() for j in DIMENSION_KEYS if f"_{j}" in rows.columns}
@@ -435,65 +453,65 @@ def _distinct_losses(
     combos = [c for c in _subsets(cutter_mask) if c]
     words = -(-len(scenarios) // SCENARIOS_PER_WORD)
 
-    orders = star.orders.select("customer_id", "order_id")
-    for n, s in enumerate(scenarios):
-        for i, d in cutters:
-            orders = struck(orders, f"lost_{n}_{i}", s, d, master_seed, "order_id")
-
-    def packed(word: int, combo: int) -> Column:
-        total = F.lit(0).cast("long")
-        for n in range(word * SCENARIOS_PER_WORD, min(len(scenarios), (word + 1) * SCENARIOS_PER_WORD)):
-            lost = F.lit(False)
-            for i, _ in cutters:
-                if combo >> i & 1:
-                    lost = lost | F.col(f"lost_{n}_{i}")
-            total = total + F.when(lost, F.lit(1 << (n % SCENARIOS_PER_WORD))).otherwise(F.lit(0))
-        return total
-
-    marks = [(w, c, f"gone_{w}_{c}") for w in range(words) for c in combos]
-    orders = orders.select("customer_id", *[packed(w, c).alias(name) for w, c, name in marks])
+    lost = {f"lost_{n}_{i}": (s, d) for n, s in enumerate(scenarios) for i, d in cutters}
+    orders = struck(star.orders.select("customer_id", "order_id"), lost, master_seed, KEYS)
+
+    def packed(word: int, flags: Mapping[int, str]) -> str:
+        """SQL value: the flags of a word's scenarios, one bit each."""
+        first = word * SCENARIOS_PER_WORD
+        bits = [f"if({flags[n]}, {1 << (n - first)}L, 0L)" for n in range(first, min(len(scenarios), first + SCENARIOS_PER_WORD))]
+        return " + ".join(bits)
+
+    def any_lost(combo: int) -> dict[int, str]:
+        chosen = [i for i, _ in cutters if combo >> i & 1]
+        return {n: "(" + " OR ".join(f"lost_{n}_{i}" for i in chosen) + ")" for n in range(len(scenarios))}
+
+    marks = {f"gone_{c}_{w}": packed(w, any_lost(c)) for c in combos for w in range(words)}
+    orders = orders.selectExpr("customer_id", *[f"{text} AS {name}" for name, text in marks.items()])
     if marks:
-        present = orders.groupBy("customer_id").agg(*[F.bit_and(name).alias(name) for _, _, name in marks])
+        present = orders.groupBy("customer_id").agg(*[F.bit_and(name).alias(name) for name in marks])
     else:
         present = orders.distinct()
     people = present.join(_prepared_customers(star, defects), "customer_id")
-    for n, s in enumerate(scenarios):
-        for i, d in movers:
-            people = struck(people, f"moved_{n}_{i}", s, d, master_seed, "customer_id")
+    moved = {f"moved_{n}_{i}": (s, d) for n, s in enumerate(scenarios) for i, d in movers}
+    kept = people.columns
+    people = struck(people, moved, master_seed, KEYS).selectExpr(
+        *kept,
+        *[
+            f"{packed(w, {n: f'moved_{n}_{i}' for n in range(len(scenarios))})} AS moved_{i}_{w}"
+            for i, _ in movers
+            for w in range(words)
+        ],
+    )
+
+    def bit(name: str) -> str:
+        """SQL test: the bit of scenario n in a packed column."""
+        listed = ", ".join(f"{name}_{w}" for w in range(words))
+        return f"(shiftright(element_at(array({listed}), cast(n div {SCENARIOS_PER_WORD} AS int) + 1), n % {SCENARIOS_PER_WORD}) & 1L) = 1L"
 
     pieces = None
     for q_index, q in queries:
         rel = relevant_mask(defects, q)
-        rows = []
-        for n in range(len(scenarios)):
-            for s_mask in _subsets(rel):
-                combo = s_mask & cutter_mask
-                here = F.lit(True)
-                if combo:
-                    gone = F.col(f"gone_{n // SCENARIOS_PER_WORD}_{combo}")
-                    here = F.shiftright(gone, n % SCENARIOS_PER_WORD).bitwiseAND(F.lit(1)) == 0
-                key = F.expr(q.key)
-                for i, d in movers:
-                    if s_mask >> i & 1 and set(d.writes) & q.reads(q.key):
-                        key = F.when(F.col(f"moved_{n}_{i}"), F.col(d.damaged(q.key))).otherwise(key)
-                rows.append(
-                    F.struct(
-                        F.lit(n).alias("n"),
-                        F.lit(q_index).alias("q"),
-                        F.lit(s_mask).cast("long").alias("s_mask"),
-                        F.expr(q.key).alias("clean_key"),
-                        F.when(here, key).alias("key"),
-                    )
-                )
-        told = people.select(F.inline(F.array(*rows)))
-        # one signed unit for the clean answer, one for the observed one
-        sides = F.array(
-            F.struct(F.col("clean_key").alias("k"), F.lit(1.0).alias("ref"), F.lit(0.0).alias("obs"), F.lit(True).alias("live")),
-            F.struct(F.col("key").alias("k"), F.lit(0.0).alias("ref"), F.lit(1.0).alias("obs"), F.col("here").alias("live")),
+        subsets = ", ".join(f"{x}L" for x in _subsets(rel))
+        each = people.selectExpr("*", f"explode(sequence(0, {len(scenarios) - 1})) AS n").selectExpr(
+            "*", f"explode(array({subsets})) AS s_mask"
+        )
+        here = "true"
+        for combo in _subsets(cutter_mask & rel):
+            if combo:
+                here = f"if((s_mask & {cutter_mask}L) = {combo}L, NOT ({bit(f'gone_{combo}')}), {here})"
+        key = q.key
+        for i, d in movers:
+            if rel >> i & 1:
+                key = f"if((s_mask & {1 << i}L) != 0 AND ({bit(f'moved_{i}')}), {d.damaged(q.key)}, {key})"
+        # one unit for the clean answer, one for the observed one
+        sides = (
+            "inline(array("
+            f"named_struct('k', {q.key}, 'ref', 1.0D, 'obs', 0.0D, 'live', true),"
+            f" named_struct('k', {key}, 'ref', 0.0D, 'obs', 1.0D, 'live', {here})))"
         )
         counted = (
-            told.withColumn("here", F.col("key").isNotNull() | F.col("clean_key").isNull())
-            .select("n", "q", "s_mask", F.inline(sides))
+            each.selectExpr("n", f"{q_index} AS q", "s_mask", sides)
             .filter("live")
             .groupBy("n", "q", "s_mask", "k")
             .agg(F.sum("ref").alias("ref"), F.sum("obs").alias("obs"))

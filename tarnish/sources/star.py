@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnish.functions import dice
 from tarnish.operators.sampling import dense_ids, hash_sample
+from tarnish.session import stored
 
 CUSTOMER_COLUMNS = ("customer_id", "region", "segment")
 PRODUCT_COLUMNS = ("product_id", "category", "base_price")
@@ -105,11 +106,14 @@ def line_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_star(spark: SparkSession, folder: str) -> Star:
-    """The retail star: ``lineitem`` as fact, ``customer`` and ``part`` as dimensions."""
+    """The retail star: ``lineitem`` as fact, ``customer`` and ``part`` as dimensions.
+
+    The customers are written once, so that joins with them are planned by their real size.
+    """
     numbered = dense_ids(line_facts(spark, folder), [*LINE_KEY, "_tie"], "order_id")
     return Star(
         "retail_lines",
-        customers_of(spark, folder),
+        stored(customers_of(spark, folder), "customers"),
         products_of(spark, folder),
         numbered.select(*ORDER_COLUMNS),
         "given",
@@ -120,16 +124,10 @@ def event_star(spark: SparkSession, folder: str) -> Star:
     """The events log as a second population: users and event types as dimensions."""
     events = read(spark, folder, "events")
     kinds = events.select("event_type").distinct()
-    # product ids are ranks of the event type names; the catalogue of types is small
-    ranked = (
-        kinds.alias("a")
-        .join(kinds.alias("b"), F.col("b.event_type") <= F.col("a.event_type"))
-        .groupBy(F.col("a.event_type").alias("category"))
-        .agg(F.count("*").alias("rank"))
-        .select((F.col("rank") - 1).alias("product_id"), "category", F.lit(1.0).alias("base_price"))
-    )
+    numbered = dense_ids(kinds, ["event_type"], "product_id")
+    goods = stored(numbered.select("product_id", F.col("event_type").alias("category"), F.lit(1.0).alias("base_price")), "goods")
     labelled = mapped_orders(
-        events.join(ranked, F.col("event_type") == F.col("category")),
+        events.join(goods, F.col("event_type") == F.col("category")),
         {
             "order_id": F.col("event_id"),
             "customer_id": F.col("user_id"),
@@ -146,8 +144,8 @@ def event_star(spark: SparkSession, folder: str) -> Star:
     segment = F.element_at(F.array(*[F.lit(f"tier_{i}") for i in range(3)]), (F.col("customer_id") % 3 + 1).cast("int"))
     return Star(
         "events",
-        users.select("customer_id", region.alias("region"), segment.alias("segment")),
-        ranked,
+        stored(users.select("customer_id", region.alias("region"), segment.alias("segment")), "users"),
+        goods,
         labelled,
         "events",
     )
