@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from threading import Lock
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,7 @@ class Dice:
         self.n_rows = clean.rows.count()
         self.n_cells = self.n_rows * len(clean.columns)
         self._cuts: dict = {}
+        self._lock = Lock()
 
     def seeds(self, name: str, stream: str = "hit") -> tuple[int, int]:
         return dice.seed_words("features", self.master_seed, self.repeat, name, stream)
@@ -63,19 +65,27 @@ class Dice:
     def draws(self, name: str) -> Draws:
         return Draws(("features", self.master_seed, self.repeat, name), affected(self.severity, self.n_rows))
 
+    def _once(self, name: str, find):
+        with self._lock:
+            if name not in self._cuts:
+                self._cuts[name] = find()
+            return self._cuts[name]
+
     def cut(self, name: str, cells: bool):
-        if name not in self._cuts:
-            size = self.n_cells if cells else self.n_rows
+        size = self.n_cells if cells else self.n_rows
+        stream = Stream(self.seeds(name), affected(self.severity, size))
+
+        def find():
             ids, key = (self.clean.cells(), "cell") if cells else (self.clean.rows, self.clean.key)
-            stream = Stream(self.seeds(name), affected(self.severity, size))
-            (self._cuts[name],) = find_cuts(ids.select(key), key, [stream], size)
-        return self._cuts[name]
+            return find_cuts(ids.select(key), key, [stream], size)[0]
+
+        return self._once(name, find)
 
     def copies(self, name: str):
-        if name not in self._cuts:
-            ids = self.clean.rows.select(self.clean.key)
-            _, (self._cuts[name],) = find_all_cuts(ids, self.clean.key, [], [self.draws(name)], self.n_rows)
-        return self._cuts[name]
+        ids = self.clean.rows.select(self.clean.key)
+        return self._once(
+            name, lambda: find_all_cuts(ids, self.clean.key, [], [self.draws(name)], self.n_rows)[1][0]
+        )
 
     def hit_cells(self, table: Features, name: str) -> DataFrame:
         """Adds a boolean ``_hit_<column>`` per feature."""
