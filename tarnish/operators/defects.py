@@ -30,8 +30,9 @@ CYCLE_LIMIT = 64
 class OrderDefect:
     """Rewrites columns of exactly ``severity`` of the orders.
 
-    ``streams`` names the extra dice a rewrite needs. ``unlinks`` names the
-    dimension whose key the rewrite destroys: a hit order joins no row of it.
+    ``streams`` names the extra dice a rewrite needs, ``reads`` the columns it
+    looks at beyond those it writes. ``unlinks`` names the dimension whose key
+    the rewrite destroys: a hit order joins no row of it.
     """
 
     name: str
@@ -39,6 +40,7 @@ class OrderDefect:
     writes: tuple[str, ...]
     rewrite: Callable[[Values, Values], Mapping[str, Column]]
     streams: tuple[str, ...] = ()
+    reads: tuple[str, ...] = ()
     unlinks: str | None = None
     facts: Mapping[str, float] = field(default_factory=dict)
 

@@ -138,26 +138,39 @@ class Surface:
         )
 
 
-def touches(defect: Defect, query: Query) -> bool:
+def needed_columns(defects: Sequence[Defect], query: Query) -> set[str]:
+    """Columns the answer depends on, directly or through the rewrites of other defects."""
+    needed = query.reads() | {DIMENSION_KEYS[j] for j in query.joins}
+    while True:
+        more = {c for d in defects if isinstance(d, OrderDefect) and set(d.writes) & needed for c in d.reads}
+        if more <= needed:
+            return needed
+        needed |= more
+
+
+def touches(defect: Defect, query: Query, needed: set[str]) -> bool:
     """Can the defect change this query's answer?"""
     if isinstance(defect, CopyDefect):
         return query.aggregate != "distinct"
-    if isinstance(defect, CustomerDefect):
-        return "customers" in query.joins and bool(set(defect.writes) & query.reads())
-    joined = {DIMENSION_KEYS[j] for j in query.joins}
-    return bool(set(defect.writes) & (query.reads() | joined))
+    if isinstance(defect, CustomerDefect) and "customers" not in query.joins:
+        return False
+    return bool(set(defect.writes) & needed)
 
 
 def relevant_mask(defects: Sequence[Defect], query: Query) -> int:
-    return sum(1 << i for i, d in enumerate(defects) if touches(d, query))
+    needed = needed_columns(defects, query)
+    return sum(1 << i for i, d in enumerate(defects) if touches(d, query, needed))
 
 
 def _check_rewritable(defects: Sequence[Defect], workload: Sequence[Query]) -> None:
+    moved = [c for d in defects if isinstance(d, CustomerDefect) for c in d.writes]
+    if len(moved) != len(set(moved)):
+        raise ValueError("two customer defects on one column need the direct surface")
     for q in workload:
         if isinstance(q, SqlQuery):
             raise ValueError(f"{q.name}: SQL text needs the direct surface")
-        for d in defects:
-            if not isinstance(d, OrderDefect) or not touches(d, q):
+        for i, d in enumerate(defects):
+            if not isinstance(d, OrderDefect) or not relevant_mask(defects, q) >> i & 1:
                 continue
             joined = {DIMENSION_KEYS[j] for j in q.joins}
             if set(d.writes) & joined and (d.unlinks not in q.joins or set(d.writes) & joined != {DIMENSION_KEYS[d.unlinks]}):
@@ -257,8 +270,7 @@ def _sum_cells(
     written = {c for d in defects if not isinstance(d, CopyDefect) for c in d.writes}
     early = sorted({q.where for _, q in queries if q.where and not (q.reads(q.where) & written)})
     needs = {i: (1 << early.index(q.where)) if q.where in early else 0 for i, q in queries}
-    used = {c for _, q in queries for c in q.reads()} | written | {"order_id"}
-    used |= {DIMENSION_KEYS[j] for _, q in queries for j in q.joins}
+    used = {c for _, q in queries for c in needed_columns(defects, q)} | written | {"order_id"}
 
     rows = star.orders.select(*[c for c in star.orders.columns if c in used or c == "customer_id"])
     if any("customers" in q.joins for _, q in queries):

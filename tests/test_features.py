@@ -164,7 +164,7 @@ def test_csv_audit_writes_a_report(spark, tmp_path):
     source, output = tmp_path / "data.csv", tmp_path / "report"
     source.write_text("\n".join(lines) + "\n")
     studies.audit_csv(
-        spark, str(source), "target", "classification", str(output), model="logistic", repeats=2, bootstrap_samples=100
+        spark, str(source), "target", "classification", str(output), model="logistic", repeats=2, bootstrap_samples=100, parallelism=8
     )
     text = "".join(p.read_text() for p in output.glob("part-*"))
     payload = json.loads(text)
