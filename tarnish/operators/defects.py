@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from tarnish.operators.sampling import (
     find_cuts,
     multiplicity,
 )
+from tarnish.session import small_table
 from tarnish.sources.star import Star
 
 Values = Mapping[str, Column]
@@ -191,6 +194,11 @@ def copy_draws(master_seed: int, repeat: int, name: str, count: int) -> Draws:
     return Draws(("copies", master_seed, repeat, name), count)
 
 
+def _together(spark, *jobs: Callable) -> list:
+    with ThreadPool(len(jobs)) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs)
+
+
 def plan_scenarios(
     star: Star,
     defects: Sequence[Defect],
@@ -207,8 +215,11 @@ def plan_scenarios(
     rows = [d for d in defects if isinstance(d, OrderDefect)]
     people = [d for d in defects if isinstance(d, CustomerDefect)]
     copies = [d for d in defects if isinstance(d, CopyDefect)]
-    n_orders = star.orders.count() if rows or copies else 0
-    n_customers = star.customers.count() if people else 0
+    n_orders, n_customers = _together(
+        star.orders.sparkSession,
+        lambda: star.orders.count() if rows or copies else 0,
+        lambda: star.customers.count() if people else 0,
+    )
 
     def streams(kinds: Sequence[Defect], population: int) -> dict[tuple, Stream]:
         return {
@@ -221,18 +232,22 @@ def plan_scenarios(
     draws = {
         (s, r, d.name): copy_draws(master_seed, r, d.name, affected(s, n_orders)) for s, r in pairs for d in copies
     }
-    found: dict[tuple, Cut] = {}
-    copied: dict[tuple, list[Cut]] = {}
-    if on_orders or draws:
-        cuts, sets = find_all_cuts(
-            star.orders.select("order_id"), "order_id", list(on_orders.values()), list(draws.values()), n_orders
-        )
-        found |= dict(zip(on_orders, cuts, strict=True))
-        copied |= dict(zip(draws, sets, strict=True))
-    if on_customers:
-        ids = star.customers.select("customer_id")
-        cuts = find_cuts(ids, "customer_id", list(on_customers.values()), n_customers)
-        found |= dict(zip(on_customers, cuts, strict=True))
+    def of_orders() -> tuple[list, list]:
+        if not (on_orders or draws):
+            return [], []
+        ids = star.orders.select("order_id")
+        return find_all_cuts(ids, "order_id", list(on_orders.values()), list(draws.values()), n_orders)
+
+    def of_customers() -> list:
+        if not on_customers:
+            return []
+        return find_cuts(star.customers.select("customer_id"), "customer_id", list(on_customers.values()), n_customers)
+
+    # two independent passes
+    order_cuts, customer_cuts = _together(star.orders.sparkSession, of_orders, of_customers)
+    found: dict[tuple, Cut] = dict(zip(on_orders, order_cuts[0], strict=True))
+    found |= dict(zip(on_customers, customer_cuts, strict=True))
+    copied = dict(zip(draws, order_cuts[1], strict=True))
     return [
         Scenario(
             s,
@@ -366,7 +381,8 @@ def diagnostics(
             kind = {OrderDefect: "orders", CustomerDefect: "customers", CopyDefect: "added"}[type(d)]
             setting = next(iter(d.facts.values()), None) if isinstance(d, OrderDefect) else None
             rows.append((i, s.severity, s.repeat, d.name, kind, s.counts[d.name], s.counts[d.name] / max(1, size), setting))
-    base = spark.createDataFrame(
+    base = small_table(
+        spark,
         rows,
         "scenario int, severity double, repeat int, channel string, kind string, affected long,"
         " realized_rate double, setting double",

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnish.functions import dice
-from tarnish.session import stored
+from tarnish.session import small_table, stored
 
 RANGE = 1 << 31
 BLOCKS = 4096
@@ -90,7 +90,7 @@ def find_cuts(
             rows = [(s.group, i, *s.seeds, low, high, s.count) for i, s, low, high in slots]
             schema = "g string, slot int, one long, two long, low long, high long, want long"
             # one row per stream, not per group member
-            table = F.broadcast(ids.sparkSession.createDataFrame(rows, schema))
+            table = F.broadcast(small_table(ids.sparkSession, rows, schema))
             named = ids.selectExpr(f"cast(`{key}` AS bigint) AS k", f"cast(`{group}` AS string) AS g")
             slotted = named.join(table, "g").drop("g")
         rolled = dice.add_rolls(slotted, {"h": ("k", ("one", "two"))})
@@ -265,7 +265,8 @@ def dense_ids(df: DataFrame, keys: list[str], name: str = "row_id") -> DataFrame
     for row in sizes:
         starts.append((row._part, total))
         total += row["count"]
-    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    # one row per written partition
+    offsets = F.broadcast(small_table(df.sparkSession, starts, "_part int, _start long"))
     return (
         placed.withColumn("_part", part)
         .join(offsets, "_part")

@@ -52,6 +52,7 @@ from tarnish.plans.workload import (
     star_workload,
     values_of,
 )
+from tarnish.session import small_table
 from tarnish.sources.star import Star
 
 PLAN_ROW_LIMIT = 200_000
@@ -421,7 +422,7 @@ def _sum_losses(
         for s in _subsets(relevant_mask(defects, q)):
             spread += [(i, t, s) for t in _subsets(s)]
     # bounded by 3**defects x queries
-    spread_table = F.broadcast(spark.createDataFrame(spread, "q int, t long, s_mask long"))
+    spread_table = F.broadcast(small_table(spark, spread, "q int, t long, s_mask long"))
     numbers = F.sequence(F.lit(0), F.lit(n_scenarios - 1))
     clean = cells.filter("n < 0").drop("n").withColumn("n", F.explode(numbers))
     each = clean.unionByName(cells.filter("n >= 0")).join(spread_table, ["q", "t"])
@@ -567,10 +568,10 @@ def risk_surface(
         more = _distinct_losses(star, defects, scenarios, master_seed, distinct)
         parts = more if parts is None else parts.unionByName(more)
     expansion = [(i, s, s & relevant_mask(defects, q)) for i, q in numbered for s in range(1 << len(defects))]
-    spread = F.broadcast(spark.createDataFrame(expansion, "q int, mask long, s_mask long"))
-    names = F.broadcast(spark.createDataFrame([(i, q.name) for i, q in numbered], "q int, query string"))
+    spread = F.broadcast(small_table(spark, expansion, "q int, mask long, s_mask long"))
+    names = F.broadcast(small_table(spark, [(i, q.name) for i, q in numbered], "q int, query string"))
     pairs = F.broadcast(
-        spark.createDataFrame([(n, s.severity, s.repeat) for n, s in enumerate(scenarios)], "n int, severity double, repeat int")
+        small_table(spark, [(n, s.severity, s.repeat) for n, s in enumerate(scenarios)], "n int, severity double, repeat int")
     )
     losses = parts.join(spread, ["q", "s_mask"]).join(names, "q").join(pairs, "n")
     if masks is not None:

@@ -64,3 +64,29 @@ def stored_once(spark: SparkSession, key: tuple, build) -> DataFrame:
     if full not in _written:
         _written[full] = write_table(build(), str(key[0]))
     return spark.read.parquet(_written[full])
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, int):
+        return f"{value}L"
+    if isinstance(value, float):
+        return f"{value!r}D"
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'"
+
+
+INLINE_ROWS = 5_000
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of parameters. Inline values have a known size, so joins with them need no hint and no job."""
+    if not rows or len(rows) > INLINE_ROWS:
+        return spark.createDataFrame(rows, schema)
+    fields = [part.split() for part in schema.split(",")]
+    values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(f'`{name}`' for name, _ in fields)})")
+    return table.selectExpr(*[f"cast(`{name}` AS {kind}) AS `{name}`" for name, kind in fields])
