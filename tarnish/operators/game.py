@@ -24,6 +24,7 @@ from tarnish.functions.coalitions import (
     with_players,
 )
 from tarnish.operators.bootstrap import paired_draws
+from tarnish.session import stored
 
 ESTIMATE_COLUMNS = (
     "channel",
@@ -255,11 +256,16 @@ def interval_table(boot: DataFrame, groups: Sequence[str], confidence: float) ->
     )
 
 
-def check_observations(observations: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> list[int]:
-    """Reject anything but a full paired design; returns the repeats."""
+def kept(observations: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """The observations as a stored table: they are small, are read several times, and may be the end of a long job."""
     needed = {"repeat", "mask", "loss", *groups}
     if not needed <= set(observations.columns):
         raise ValueError(f"observations must contain {sorted(needed)}")
+    return stored(observations.select(*groups, "repeat", "mask", "loss"), "observations")
+
+
+def check_observations(observations: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> list[int]:
+    """Reject anything but a full paired design; returns the repeats."""
     repeats = [r.repeat for r in observations.select("repeat").distinct().orderBy("repeat").collect()]
     if len(repeats) < 2:
         raise ValueError("at least two paired repeats are required")
@@ -288,6 +294,7 @@ def attribute_debt(
         raise ValueError("bootstrap_samples must be at least 100")
     if not 0 < confidence < 1:
         raise ValueError("confidence must be in (0, 1)")
+    observations = kept(observations, groups)
     repeats = check_observations(observations, players, groups)
     game = mean_game(observations, groups)
     boot = bootstrap_effects(per_repeat_effects(observations, players, groups), groups, repeats, bootstrap_samples, seed)
@@ -335,6 +342,7 @@ def study_summary(
 ) -> DataFrame:
     """One row per group: risk, debt, residuals, strongest interaction, top defect, repair choices."""
     groups = list(groups)
+    observations = kept(observations, groups)
     result = attribute_debt(observations, players, bootstrap_samples=bootstrap_samples, seed=seed, groups=groups)
     repeats = observations.groupBy(*groups).agg(F.count_distinct("repeat").alias("repeats"))
     order = F.struct(F.col("debt"), -F.expr(_position("channel", players)))

@@ -22,6 +22,7 @@ from tarnish.session import small_table, stored
 RANGE = 1 << 31
 BLOCKS = 4096
 CHUNK = 32768
+DRAWS_PER_TASK = 2_000_000
 
 Cut = tuple[int, int]
 NOTHING: Cut = (-1, -1)
@@ -183,8 +184,11 @@ def occupancy(spark: SparkSession, draws: list[Draws], population: int) -> list[
     counted = drawn.selectExpr("s", f"(p * {blocks}L) div {population}L AS block").groupBy("s", "block").count()
     start = f"(block * {population}L + {blocks - 1}L) div {blocks}L"
     stop = f"((block + 1) * {population}L + {blocks - 1}L) div {blocks}L"
+    # the counts are tiny but the draws they stand for are not: spread them by the draws
+    tasks = max(1, min(len(live) * blocks, sum(d.count for _, d in live) // DRAWS_PER_TASK + 1))
     unrolled = (
-        counted.selectExpr("s", "block", "count", f"explode(sequence(0L, (count - 1) div {CHUNK}L)) AS chunk")
+        counted.repartition(tasks, "s", "block")
+        .selectExpr("s", "block", "count", f"explode(sequence(0L, (count - 1) div {CHUNK}L)) AS chunk")
         .selectExpr("s", "block", f"explode(sequence(chunk * {CHUNK}L, least(count, (chunk + 1) * {CHUNK}L) - 1)) AS i")
         .selectExpr("s", "block", "shiftleft(block, 40) + i AS key", f"{stop} - {start} AS width")
     )

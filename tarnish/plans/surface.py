@@ -52,7 +52,7 @@ from tarnish.plans.workload import (
     star_workload,
     values_of,
 )
-from tarnish.session import small_table
+from tarnish.session import small_table, stored
 from tarnish.sources.star import Star
 
 PLAN_ROW_LIMIT = 200_000
@@ -423,9 +423,9 @@ def _sum_losses(
             spread += [(i, t, s) for t in _subsets(s)]
     # bounded by 3**defects x queries
     spread_table = F.broadcast(small_table(spark, spread, "q int, t long, s_mask long"))
-    numbers = F.sequence(F.lit(0), F.lit(n_scenarios - 1))
-    clean = cells.filter("n < 0").drop("n").withColumn("n", F.explode(numbers))
-    each = clean.unionByName(cells.filter("n >= 0")).join(spread_table, ["q", "t"])
+    # the clean cells join every scenario; one expression, so that the pass over the facts runs once
+    numbers = f"explode(if(n < 0, sequence(0, {n_scenarios - 1}), array(n))) AS n"
+    each = cells.selectExpr("q", "t", "text", "day", "s", "c", numbers).join(spread_table, ["q", "t"])
     is_clean = F.col("t") == 0
     sums = each.groupBy("n", "q", "s_mask", "text", "day").agg(
         F.sum(F.when(is_clean, F.col("s"))).alias("ref_s"),
@@ -615,7 +615,8 @@ def direct_surface(
     workload = tuple(workload or star_workload())
     resolved = query_weights([q.name for q in workload], weights)
     scenarios = plan_scenarios(star, defects, [severity], repeats, master_seed)
-    reference = execute_workload(star, workload)
+    # every comparison reads the clean answers
+    reference = {name: stored(answer, "answer") for name, answer in execute_workload(star, workload).items()}
     losses = None
     for s in scenarios:
         for mask in range(1 << len(defects)) if masks is None else masks:

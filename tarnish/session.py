@@ -20,6 +20,7 @@ def local_session(app: str = "tarnish", cores: str = "*", **conf: str) -> SparkS
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.host", "127.0.0.1")
