@@ -26,6 +26,8 @@ from tarnish.functions.coalitions import (
 from tarnish.operators.bootstrap import paired_draws
 from tarnish.session import stored
 
+HINT_PLAYERS = 12
+DRAW_ROWS = 1_000_000
 ESTIMATE_COLUMNS = (
     "channel",
     "debt",
@@ -78,21 +80,25 @@ def design_problems(observations: DataFrame, players: Sequence[str], groups: Seq
     )
 
 
+def hinted(weights: DataFrame, m: int) -> DataFrame:
+    """Weight tables grow with the number of players only; hint while they are surely small."""
+    return F.broadcast(weights) if m <= HINT_PLAYERS else weights
+
+
 def _allocate(game: DataFrame, weights: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
-    # weight tables hold 2**players x players rows, whatever the size of the data
-    joined = game.join(F.broadcast(weights), "mask")
+    joined = game.join(weights, "mask")
     return joined.groupBy(*groups, "idx", "player").agg(F.sum(F.col("weight") * F.col(value)).alias(name))
 
 
 def shapley_values(game: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """Exact Shapley values (groups..., idx, player, debt) of a complete game."""
     players = check_players(players)
-    return _allocate(game, shapley_weights(game.sparkSession, players), groups, "value", "debt")
+    return _allocate(game, hinted(shapley_weights(game.sparkSession, players), len(players)), groups, "value", "debt")
 
 
 def banzhaf_values(game: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     players = check_players(players)
-    return _allocate(game, banzhaf_weights(game.sparkSession, players), groups, "value", "banzhaf")
+    return _allocate(game, hinted(banzhaf_weights(game.sparkSession, players), len(players)), groups, "value", "banzhaf")
 
 
 def marginal_contributions(game: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
@@ -126,7 +132,7 @@ def shapley_by_definition(game: DataFrame, players: Sequence[str], groups: Seque
 def shapley_interactions(game: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """Pairwise interaction index (groups..., left, right, interaction), largest first."""
     players = check_players(players)
-    joined = game.join(F.broadcast(interaction_weights(game.sparkSession, players)), "mask")
+    joined = game.join(hinted(interaction_weights(game.sparkSession, players), len(players)), "mask")
     return (
         joined.groupBy(*groups, "left_idx", "right_idx", "left", "right")
         .agg(F.sum(F.col("weight") * F.col("value")).alias("interaction"))
@@ -212,7 +218,7 @@ def per_repeat_effects(observations: DataFrame, players: Sequence[str], groups:
     weights = shapley_weights(spark, players).withColumn("gain_weight", gain)
     return (
         observations.select(*groups, "repeat", "mask", "loss")
-        .join(F.broadcast(weights), "mask")
+        .join(hinted(weights, len(players)), "mask")
         .groupBy(*groups, "repeat", "idx", "player")
         .agg(
             F.sum(F.col("weight") * F.col("loss")).alias("debt"),
@@ -225,8 +231,9 @@ def bootstrap_effects(
     effects: DataFrame, groups: Sequence[str], repeats: Sequence[int], samples: int, seed: int
 ) -> DataFrame:
     """Debt and gain per paired bootstrap draw; all groups share the draws."""
-    # samples x repeats rows, set by the caller and not by the data
-    draws = F.broadcast(paired_draws(effects.sparkSession, repeats, samples, seed))
+    draws = paired_draws(effects.sparkSession, repeats, samples, seed)
+    if samples * len(repeats) <= DRAW_ROWS:
+        draws = F.broadcast(draws)
     return (
         effects.join(draws, "repeat")
         .groupBy(*groups, "draw", "idx", "player")
