@@ -47,10 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
-def write_table(df: DataFrame, name: str) -> str:
+def write_table(df: DataFrame, name: str, compression: str | None = None) -> str:
     """Write a derived table to the shared folder and return its path."""
     path = f"{shared_folder(df.sparkSession)}/tarnish/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return path
 
 
