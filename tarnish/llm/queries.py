@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnish.llm import licences, quality_rules, url_rules
+from tarnish.llm import licences, quality_rules, token_files, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +45,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return url_rules.url_verdicts(table(spark, sf, "pages"), url_rules.rule_table(spark, URL_RULES))
 
 
+@register("op8_token_files")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.token_digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 @register("op9_licences")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf, "documents"))
