@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnish.llm import licences, packing, quality_rules, token_files, url_rules
+from tarnish.llm import classifier, licences, packing, quality_rules, token_files, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,6 +45,11 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf, "documents"))
 
 
+@register("op5_classifier")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return classifier.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @register("op6_url_rules")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return url_rules.url_verdicts(table(spark, sf, "pages"), url_rules.rule_table(spark, URL_RULES))
