@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnish.llm import classifier, licences, packing, quality_rules, token_files, url_rules
+from tarnish.llm import classifier, licences, packing, quality_rules, simhash, token_files, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,6 +55,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return url_rules.url_verdicts(table(spark, sf, "pages"), url_rules.rule_table(spark, URL_RULES))
 
 
+@register("op7_simhash")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
 @register("op8_token_files")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
