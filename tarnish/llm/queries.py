@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnish.llm import classifier, licences, packing, quality_rules, simhash, token_files, url_rules
+from tarnish.llm.oracles import ORACLES as ORACLES
+from tarnish.llm import classifier, decontamination, licences, packing, quality_rules, simhash, token_files, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+
 
 #: The rules of the url query.
 URL_RULES = [
@@ -35,6 +36,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@register("op2_decontamination")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @register("op3_packing")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
