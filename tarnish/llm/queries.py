@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnish.llm.oracles import ORACLES as ORACLES
-from tarnish.llm import classifier, decontamination, licences, packing, quality_rules, simhash, token_files, url_rules
+from tarnish.llm import classifier, decontamination, licences, packing, quality_rules, simhash, suffix_array, suffix_trees, token_files, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@register("op1_substring_dedup")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_trees.dedup_words(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @register("op2_decontamination")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -74,3 +79,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @register("op9_licences")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf, "documents"))
+
+
+@register("op10_suffix_array")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_array.dedup_bytes(table(spark, sf, "documents"))
