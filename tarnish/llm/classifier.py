@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnish.llm.texts import BASE, mixed, per_text, span_hashes, word_hashes
+from tarnish.llm.texts import BASE, mixed, per_text, span_hashes, unused, word_hashes
 
 
 @dataclass(frozen=True)
@@ -188,3 +188,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Set
     model = train(docs, labels, settings)
     scored = per_text(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), lambda texts: {"score": model.scores(texts)}, "score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The documents, all columns, that score 0.5 or more; texts are scored as in ``score_documents``."""
+    model = train(docs, labels, settings)
+    copy, score = unused(docs, "scored_text"), unused(docs, "score")
+    scored = per_text(docs.withColumn(copy, F.coalesce("text", F.lit(""))), lambda texts: {score: model.scores(texts)}, f"{score} double", text=copy)
+    return scored.where(F.col(score) >= 0.5).select(*docs.columns)

@@ -76,9 +76,20 @@ def contained_items(docs: DataFrame, items: DataFrame, contained: float = CONTAI
 
     ``contained`` is the least share of an item's distinct 5-word shingles (A-Z lower-cased).
     Items of fewer than five words match nothing, nor do null texts. Null ids stay; rows that
-    repeat a document or hold one id with several texts are documents of their own, items that
-    repeat are one item; other columns are ignored.
+    repeat both id and text have one row per item, rows that hold one id with several texts are
+    documents of their own, items that repeat are one item; other columns are ignored.
     """
+    found = _proven(docs, items, contained)
+    return found.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+
+
+def documents_without_items(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
+    """The documents, all columns, that contain no item."""
+    found = _proven(docs, items, contained).select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("c_id")) & (F.xxhash64(docs["text"]) == F.col("c_key")), "left_anti")
+
+
+def _proven(docs: DataFrame, items: DataFrame, contained: float) -> DataFrame:
     wanted = stored(item_shingles(items, SHINGLE), "items")
     sketch = stored(sketches(wanted, contained), "sketches")
     if sketch.count() <= BROADCAST_ROWS:
@@ -88,13 +99,11 @@ def contained_items(docs: DataFrame, items: DataFrame, contained: float = CONTAI
     hashes = coded.select("doc_id", "text_key", F.explode(shingle_hashes("codes", SHINGLE)).alias("hash"))
     hits = hashes.join(sketch, "hash").groupBy("doc_id", "text_key", "item", "needed").agg(F.count_distinct("hash").alias("hits")).where("hits >= needed")
     # the guess at a document's items is small beside the documents, which are read again for the proof
-    candidates = hits.select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "item")
-    guessed = keyed.join(candidates, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key"))).select("doc_id", "text", "item")
-    proof = (
-        guessed.join(wanted, "item")
-        .select("doc_id", "item_id", "n", "shingles", folded_words(F.col("text")).alias("words"))
-        .select("doc_id", "item_id", F.col("n").alias("n_shingles"), F.size(F.array_intersect("shingles", shingle_texts("words", SHINGLE))).cast("long").alias("n_shared"))
-    )
+    guess = hits.groupBy("doc_id", "text_key").agg(F.collect_set("item").alias("guessed")).select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "guessed")
+    near = keyed.join(guess, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key")))
+    one_each = near.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.first("guessed").alias("guessed"))
+    shingled = one_each.select("doc_id", "text_key", "guessed", folded_words(F.col("text")).alias("words")).select("doc_id", "text_key", F.explode("guessed").alias("item"), shingle_texts("words", SHINGLE).alias("own"))
+    shared = shingled.join(wanted, "item").select("doc_id", "text_key", "item_id", F.col("n").alias("n_shingles"), F.size(F.array_intersect("shingles", "own")).cast("long").alias("n_shared"))
     # a filter on top would be pushed into the shingling, where the words are split once per element
-    proof = stored(proof, "shared")
-    return proof.where(F.col("n_shared") >= F.ceil(F.lit(contained) * F.col("n_shingles") - 1e-9)).withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    shared = stored(shared, "shared")
+    return shared.where(F.col("n_shared") >= F.ceil(F.lit(contained) * F.col("n_shingles") - 1e-9))

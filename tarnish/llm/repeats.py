@@ -142,12 +142,12 @@ def anchors(codes: list[np.ndarray], alphabet: Alphabet) -> tuple[np.ndarray, ..
     return document, anchor - (ends - lengths)[document], anchor - low, high - low, runs[anchor], context
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ka, kb): the text is never null, the key never either."""
+def with_key(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """(row, text, ka, kb): the carried columns, the text and a key, of which the last three are never null."""
     whole = isinstance(docs.schema["doc_id"].dataType, (T.LongType, T.IntegerType, T.ShortType))
     text = F.coalesce("text", F.lit(""))
     ka = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")) if whole else F.xxhash64("doc_id")
-    return docs.select("doc_id", text.alias("text"), ka.alias("ka"), F.xxhash64(text, F.col("doc_id").isNull()).alias("kb"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), text.alias("text"), ka.alias("ka"), F.xxhash64(text, F.col("doc_id").isNull()).alias("kb"))
 
 
 def _table(arrays: list, schema: str) -> pa.RecordBatch:
@@ -282,8 +282,8 @@ def _crowded_spans(crowded: DataFrame, solve: Callable, alphabet: Alphabet) -> D
     return found
 
 
-def repeated_spans(keyed: DataFrame, alphabet: Alphabet, solve: Callable) -> tuple[DataFrame, DataFrame]:
-    """(documents, spans): the documents that spans are in with their texts, the others with what a document is without spans."""
+def repeated_spans(keyed: DataFrame, alphabet: Alphabet, solve: Callable, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, spans): documents that may hold spans with their texts, the others with their digest (or text, on request)."""
     rows = anchor_table(keyed, alphabet)
     again = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     survivors = stored(rows.join(again, "h", "left_semi"), "anchors")
@@ -295,10 +295,8 @@ def repeated_spans(keyed: DataFrame, alphabet: Alphabet, solve: Callable) -> tup
     lists = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("h", "at", "left", "more", "crowd")).alias("w"))
     touched = survivors.join(same.where("c > 1").select("h", "context"), ["h", "context"], "left_semi").select(*KEY).distinct()
     notes = lists.join(touched.withColumn("touched", F.lit(True)), KEY, "full")
-    documents = stored(_documents(keyed.join(notes, KEY, "left"), alphabet), "documents")
-    contexts = documents.where("size(h) > 0").select(
-        *KEY, F.explode(F.arrays_zip("h", "at", "left", "content", "crowd")).alias("c")
-    ).select(*KEY, "c.*")
+    documents = stored(_documents(keyed.join(notes, KEY, "left"), alphabet, with_text), "documents")
+    contexts = documents.where("size(h) > 0").select(*KEY, F.explode(F.arrays_zip("h", "at", "left", "content", "crowd")).alias("c")).select(*KEY, "c.*")
     spans = whole.unionByName(_sorted_groups(contexts.where("NOT crowd"), solve, alphabet))
     crowded = contexts.where("crowd")
     if not different.where(F.col("d") > CROWDED).isEmpty():
@@ -306,9 +304,9 @@ def repeated_spans(keyed: DataFrame, alphabet: Alphabet, solve: Callable) -> tup
     return documents, spans
 
 
-def _documents(noted: DataFrame, alphabet: Alphabet) -> DataFrame:
+def _documents(noted: DataFrame, alphabet: Alphabet, with_text: bool) -> DataFrame:
     """Texts and contexts of documents that may hold repeats; of the others, what the result needs."""
-    kind = noted.schema["doc_id"].dataType.simpleString()
+    kind = noted.schema["row"].dataType.simpleString()
     rest = "ka long, kb long, text string, n long, digest string, h array<long>, at array<long>, left array<long>, content array<binary>, crowd array<boolean>"
     names = [name for name, _ in fields_of("ka long, kb long, text string, n long, digest string")]
 
@@ -320,7 +318,7 @@ def _documents(noted: DataFrame, alphabet: Alphabet) -> DataFrame:
                     raw = text.encode()
                     if not wanted and not touched:
                         n, _, _, left = alphabet.kept(raw, [])
-                        texts.append(None)
+                        texts.append(text if with_text else None)
                         counts.append(n)
                         digests.append(hashlib.sha256(left).hexdigest())
                         lists.append(([], [], [], [], []))
@@ -339,28 +337,27 @@ def _documents(noted: DataFrame, alphabet: Alphabet) -> DataFrame:
                             [w["crowd"] for w in wanted],
                         )
                     )
-                arrays = [part.column("doc_id"), part.column("ka"), part.column("kb"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())]
+                arrays = [part.column("row"), part.column("ka"), part.column("kb"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
                 arrays += [pa.array([x[j] for x in lists], pa.list_(kinds[j])) for j in range(5)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *names, "h", "at", "left", "content", "crowd"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", *names, "h", "at", "left", "content", "crowd"])
 
-    ddl = f"doc_id {kind}, {rest}".replace("array<long>", "array<bigint>")
-    return noted.select("doc_id", "text", *KEY, "w", "touched").mapInArrow(run, ddl)
+    return noted.select("row", "text", *KEY, "w", "touched").mapInArrow(run, f"row {kind}, {rest}")
 
 
-def without_repeats(docs: DataFrame, alphabet: Alphabet, solve: Callable, with_text: bool = False) -> DataFrame:
-    """(doc_id, n, n_removed, n_spans, digest[, kept]) of each document after every repeated window is cut out.
+def without_repeats(docs: DataFrame, alphabet: Alphabet, solve: Callable, carried: list[str], with_text: bool = False) -> DataFrame:
+    """(row, n, n_removed, n_spans, digest, kept) of each document after every repeated window is cut out.
 
-    ``digest`` is the SHA-256 of what is left, in lowercase hex. ``kept``, on request, is what is
-    left as bytes, null for documents that lose nothing.
+    ``row`` holds the carried columns, ``digest`` the SHA-256 of what is left, in lowercase hex,
+    and ``kept``, on request, what is left as bytes.
     """
-    keyed = _with_key(docs)
-    documents, spans = repeated_spans(keyed, alphabet, solve)
-    # copies of a row are in ``documents`` each, and their spans are the same: once per text is enough
-    lists = spans.select(*KEY, "start", "stop").distinct().groupBy(*KEY).agg(F.collect_list("start").alias("starts"), F.collect_list(F.struct("start", "stop")).alias("spans"))
-    hurt = documents.where("text IS NOT NULL").select("doc_id", *KEY, "text").join(lists.select(*KEY, "spans"), KEY, "left")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "n_removed", "n_spans", "digest", "kept"]
+    documents, spans = repeated_spans(with_key(docs, carried), alphabet, solve, with_text)
+    # rows that repeat a document have the same spans, so once per key is enough
+    lists = spans.select(*KEY, "start", "stop").distinct().groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    hurt = documents.where("digest IS NULL").select("row", *KEY, "text").join(lists, KEY, "left")
+    kind = documents.schema["row"].dataType.simpleString()
+    made = "n long, n_removed long, n_spans long, digest string, kept binary"
+    fields = fields_of(made)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,12 +365,11 @@ def without_repeats(docs: DataFrame, alphabet: Alphabet, solve: Callable, with_t
                 found = []
                 for text, held in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
                     n, removed, runs, left = alphabet.kept(text.encode(), [(s["start"], s["stop"]) for s in held or []])
-                    found.append((n, removed, runs, hashlib.sha256(left).hexdigest(), left if with_text and removed else None))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array([f[j] for f in found], kinds[j]) for j in range(5)]], names=names)
+                    found.append((n, removed, runs, hashlib.sha256(left).hexdigest(), left if with_text else None))
+                arrays = [pa.array([f[j] for f in found], t) for j, (_, t) in enumerate(fields)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), *arrays], names=["row", *[name for name, _ in fields]])
 
-    done = hurt.select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n long, n_removed long, n_spans long, digest string, kept binary")
+    done = hurt.select("row", "text", "spans").mapInArrow(cut, f"row {kind}, {made}")
     zero = F.lit(0).cast("long")
-    plain = documents.where("text IS NULL").select("doc_id", "n", zero.alias("n_removed"), zero.alias("n_spans"), "digest", F.lit(None).cast("binary").alias("kept"))
-    result = done.unionByName(plain)
-    return result if with_text else result.drop("kept")
+    plain = documents.where("digest IS NOT NULL").select("row", "n", zero.alias("n_removed"), zero.alias("n_spans"), "digest", F.col("text").cast("binary").alias("kept"))
+    return done.unionByName(plain)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnish.llm.components import component_roots
+from tarnish.llm.repeats import KEY, with_key
 from tarnish.llm.texts import per_text
 from tarnish.session import stored
 
@@ -52,13 +53,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return sum(1 << b for b in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
+def signed(texts: list[str]) -> np.ndarray:
+    """Fingerprints as signed 64-bit numbers."""
+    return np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number; a null text has no words."""
 
-    def find(texts: list[str]) -> dict:
-        return {"fp": np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)}
-
-    return per_text(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), find, "fp long")
+    return per_text(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), lambda texts: {"fp": signed(texts)}, "fp long")
 
 
 def segment_counts(fp: Column) -> Column:
@@ -176,6 +179,12 @@ def fingerprint_links(points: DataFrame) -> DataFrame:
     return links
 
 
+def named_components(points: DataFrame) -> DataFrame:
+    """(fp, root): a fingerprint of the same component for each distinct ``fp``."""
+    roots = component_roots(fingerprint_links(points.select("fp")))
+    return points.select("fp").join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each document.
 
@@ -186,8 +195,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     marked = stored(fingerprints(docs), "fingerprints")
     points = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    roots = component_roots(fingerprint_links(points.select("fp")))
-    named = points.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(named_components(points), "components")
+    ids = named.join(points, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def documents_without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, one of each component: that of the smallest id, null ids last, then of the smallest text hash.
+
+    Of rows that repeat both id and text, one stays.
+    """
+    keyed = with_key(docs, docs.columns)
+    marked = stored(per_text(keyed.select("text", *KEY, F.col("row.doc_id").isNull().alias("last")), lambda texts: {"fp": signed(texts)}, "fp long"), "fingerprints")
+    named = named_components(marked.select("fp").distinct())
+    first = marked.join(named, "fp").groupBy("root").agg(F.min(F.struct("last", *KEY)).alias("one")).select("one.ka", "one.kb")
+    return keyed.join(first, KEY, "left_semi").groupBy(*KEY).agg(F.first("row").alias("row")).select("row.*")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tarnish.llm import repeats
 from tarnish.llm.suffix_trees import Spans, _rows, left_partners, ordered, shared_lengths
@@ -80,13 +81,30 @@ def _judge(spans: Spans, nodes: list[tuple[int, int, int]], suffixes: np.ndarray
     spans.widen(member[deep], best[deep], depth[node][deep])
 
 
-def dedup_bytes(docs: DataFrame, width: int = WIDTH, k: int = K, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) after cutting every byte that a repeated string covers.
+def dedup_bytes(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) after cutting every byte that a repeated string covers.
 
     A string is ``width`` bytes of a text's UTF-8 form; it is repeated if it also starts anywhere
     else, in the same text too. ``n_spans`` counts the maximal runs that are cut. A null text has
     no bytes, repeated rows are documents of their own (and so repeat each other), null ids stay,
     other columns are ignored.
     """
-    found = repeats.without_repeats(docs, repeats.Alphabet("bytes", width, k), solve, with_text)
-    return found.withColumnsRenamed({"n": "n_bytes", "digest": "kept_sha256"})
+    found = repeats.without_repeats(docs, repeats.Alphabet("bytes", width, k), solve, ["doc_id"])
+    return found.select("row.doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", F.col("digest").alias("kept_sha256"))
+
+
+def documents_without_repeats(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
+    """The documents, all columns, with what ``dedup_bytes`` leaves of their texts.
+
+    A character of which a byte is cut goes as a whole, ``n_chars`` (if there is one) follows the
+    text, and a null text comes back empty.
+    """
+    carried = [c for c in docs.columns if c != "text"]
+    found = repeats.without_repeats(docs, repeats.Alphabet("bytes", width, k), solve, carried, with_text=True)
+    # bytes that are no UTF-8 any more stem from characters cut in part
+    text = F.try_validate_utf8(F.col("kept").cast("string"))
+    whole = F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
+    of = {c: F.col(f"row.`{c}`") for c in carried} | {"text": F.when(F.col("n_removed") > 0, whole).otherwise(F.col("kept").cast("string"))}
+    if "n_chars" in carried:
+        of["n_chars"] = F.char_length(of["text"]).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[of[c].alias(c) for c in docs.columns])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tarnish.llm import repeats
 from tarnish.llm.texts import word_hashes
@@ -123,13 +124,13 @@ def _judge(spans: Spans, node: np.ndarray, member: np.ndarray, depth: int, forks
     spans.widen(m[deep], best[deep], np.full(deep.sum(), depth))
 
 
-def dedup_words(docs: DataFrame, width: int = WIDTH, k: int = K, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, n_spans, kept_sha256[, kept]) after cutting every word that a repeated window covers.
+def dedup_words(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
+    """(doc_id, n_words, n_removed, n_spans, kept_sha256) after cutting every word that a repeated window covers.
 
     A window is ``width`` consecutive words of a text; it is repeated if its words also start
     anywhere else, in the same text too. Words stand between space characters; what is left is
     joined by single spaces. A null text has no words, repeated rows are documents of their own
     (and so repeat each other), null ids stay, other columns are ignored.
     """
-    found = repeats.without_repeats(docs, repeats.Alphabet("words", width, k), solve, with_text)
-    return found.withColumnsRenamed({"n": "n_words", "digest": "kept_sha256"})
+    found = repeats.without_repeats(docs, repeats.Alphabet("words", width, k), solve, ["doc_id"])
+    return found.select("row.doc_id", F.col("n").alias("n_words"), "n_removed", "n_spans", F.col("digest").alias("kept_sha256"))

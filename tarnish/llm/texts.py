@@ -46,6 +46,14 @@ def per_text(df: DataFrame, work: Callable[[list[str]], dict], schema: str, text
     return df.mapInArrow(run, ddl)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _odd(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
