@@ -14,7 +14,7 @@ from tarnish.operators import bootstrap, defects as dfx, feature_defects as ffx,
 from tarnish.plans import models, studies, workload
 from tarnish.plans.surface import risk_surface
 from tarnish.session import stored, stored_once
-from tarnish.sources import features, generator, sinks
+from tarnish.sources import features, sinks
 from tarnish.sources.star import LINE_KEY, ORDER_COLUMNS, Star, customers_of, event_star, line_star, products_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,8 +126,8 @@ def star_events(spark, sf):
 @register("table_fingerprint")
 def table_fingerprint(spark, sf):
     parts = None
-    for name, columns in cfg.FINGERPRINTS.items():
-        part = sinks.table_fingerprint(read(spark, sf, name), columns).select(F.lit(name).alias("table_name"), "*")
+    for name in cfg.FINGERPRINTS:
+        part = sinks.table_fingerprint(read(spark, sf, name)).select(F.lit(name).alias("table_name"), "*")
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
@@ -144,31 +144,6 @@ def observation_records(spark, sf):
     return sinks.observation_records(base).select("repeat", "mask", "coalition_key", "record")
 
 
-def _generated(spark, sf) -> int:
-    return max(generator.MIN_ORDERS, read(spark, sf, "lineitem").count())
-
-
-@register("gen_customers")
-def gen_customers(spark, sf):
-    return generator.generate_star(spark, _generated(spark, sf), seed=cfg.GENERATOR_SEED).customers
-
-
-@register("gen_products")
-def gen_products(spark, sf):
-    return rounded(generator.generate_star(spark, _generated(spark, sf), seed=cfg.GENERATOR_SEED).products)
-
-
-def _generated_orders(regime: str) -> Query:
-    def query(spark, sf):
-        star = generator.generate_star(spark, _generated(spark, sf), regime=regime, seed=cfg.GENERATOR_SEED)
-        return rounded(star.orders.withColumn("order_date", F.date_format("order_date", "yyyy-MM-dd")))
-
-    return query
-
-
-for _regime in generator.REGIMES:
-    REGISTRY[f"gen_orders_{_regime}"] = _generated_orders(_regime)
-
 
 # ---- workload and joins ------------------------------------------------------
 
@@ -514,8 +489,7 @@ def query_attribution(spark, sf):
     result = game.attribute_debt(
         line_losses(spark, sf), cfg.CHANNELS, bootstrap_samples=cfg.DRAWS, seed=cfg.SEED, groups=["query"]
     )
-    # ranks among equal debts are decided by rounding errors, so the rank column stays out
-    return rounded(result.estimates.drop("rank_1_probability", "probability_harmful"))
+    return rounded(result.estimates)
 
 
 @register("repair_decision")

@@ -7,8 +7,7 @@ DRAWS = 200
 SEED = 7
 DOSES = (0.05, 0.10, 0.20, 0.30)
 DOSE_REPEATS = 2
-DOSE_CHANNELS = ("missing_measures", "orphan_foreign_keys", "duplicate_facts")
-EVENT_REPEATS = 2
+EVENT_REPEATS = REPEATS
 CHANNELS = (
     "missing_measures",
     "value_noise",
@@ -17,6 +16,7 @@ CHANNELS = (
     "dimension_drift",
     "duplicate_facts",
 )
+DOSE_CHANNELS = CHANNELS
 HASH_SAMPLE = 500
 ORDERS = 40
 TRIALS = 10
@@ -34,18 +34,28 @@ EVIDENCE = (
     ("status_copies", ">", 0.0999),
     ("missing_on_status", "==", 0.0),
 )
+#: Every column of every given table, by how its values are written for a fingerprint.
 FINGERPRINTS = {
-    "region": ("r_regionkey", "r_name"),
-    "nation": ("n_nationkey", "n_name", "n_regionkey"),
-    "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"),
-    "supplier": ("s_suppkey", "s_name", "s_nationkey"),
-    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"),
-    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
-    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"),
-    "events": ("event_id", "user_id", "event_type", "props"),
-    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
-    "labels": ("doc_id", "quality", "toxic"),
-    "pages": ("page_id", "url", "html"),
-    "benchmark": ("item_id", "text"),
-    "conversations": ("conv_id", "turn", "role", "text"),
+    "region": {"text": ("r_regionkey", "r_name")},
+    "nation": {"text": ("n_nationkey", "n_name", "n_regionkey")},
+    "customer": {"text": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "number": ("c_acctbal",)},
+    "supplier": {"text": ("s_suppkey", "s_name", "s_nationkey"), "number": ("s_acctbal",)},
+    "part": {"text": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "number": ("p_retailprice",)},
+    "orders": {
+        "text": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
+        "number": ("o_totalprice",),
+        "time": ("o_orderdate",),
+    },
+    "lineitem": {
+        "text": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"),
+        "number": ("l_quantity", "l_extendedprice", "l_discount", "l_tax"),
+        "time": ("l_shipdate",),
+    },
+    "events": {"text": ("event_id", "user_id", "event_type", "props"), "number": ("value",), "time": ("ts",)},
+    "documents": {"text": ("doc_id", "text", "lang", "source", "n_chars")},
+    "embeddings": {"text": ("vec_id", "label"), "vector": ("embedding",)},
+    "labels": {"text": ("doc_id", "quality", "toxic")},
+    "pages": {"text": ("page_id", "url", "html")},
+    "benchmark": {"text": ("item_id", "text")},
+    "conversations": {"text": ("conv_id", "turn", "role", "text")},
 }

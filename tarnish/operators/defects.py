@@ -8,7 +8,6 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnish.functions import dice
@@ -18,15 +17,15 @@ from tarnish.operators.sampling import (
     Stream,
     affected,
     below,
+    dense_ids,
     find_all_cuts,
     find_cuts,
     multiplicity,
 )
-from tarnish.session import small_table
+from tarnish.session import small_table, stored
 from tarnish.sources.star import Star
 
 Values = Mapping[str, Column]
-CYCLE_LIMIT = 64
 
 
 @dataclass(frozen=True)
@@ -119,28 +118,19 @@ def stale_timestamps(days: int = 365) -> OrderDefect:
 
 def next_regions(customers: DataFrame) -> DataFrame:
     """Every region with the next one in sorted order, the last with the first."""
-    regions = customers.select("region").distinct()
-    # one row per region name: the catalogue of regions, not the customers, is windowed
-    everything = W.partitionBy(F.lit(0)).orderBy("region").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    following = F.lead("region").over(W.partitionBy(F.lit(0)).orderBy("region"))
-    return regions.select(
-        F.col("region"), F.coalesce(following, F.first("region").over(everything)).alias("next_region")
-    )
+    placed = dense_ids(customers.select("region").where("region IS NOT NULL").distinct(), ["region"], "_at")
+    size = F.lit(max(1, placed.count()))
+    following = placed.select(F.pmod(F.col("_at") - 1, size).alias("_at"), F.col("region").alias("next_region"))
+    return placed.join(following, "_at").select("region", "next_region")
 
 
 def dimension_drift() -> CustomerDefect:
     """A hit customer moves to the next region of the sorted cycle."""
 
     def prepare(customers: DataFrame) -> DataFrame:
-        known = next_regions(customers).limit(CYCLE_LIMIT + 1).collect()
-        if len(known) > CYCLE_LIMIT:
-            cycle = next_regions(customers).withColumnRenamed("next_region", "region__dimension_drift")
-            return customers.join(cycle, "region", "left")
-        # a short catalogue needs no join, and keeps the size estimate of the dimension
-        moved = F.lit(None).cast("string")
-        for row in known:
-            moved = F.when(F.col("region") == row.region, F.lit(row.next_region)).otherwise(moved)
-        return customers.withColumn("region__dimension_drift", moved)
+        cycle = next_regions(customers).withColumnRenamed("next_region", "region__dimension_drift")
+        # written, so that later joins know the dimension's size
+        return stored(customers.join(cycle, "region", "left"), "drifting-customers")
 
     return CustomerDefect("dimension_drift", 50, ("region",), prepare)
 

@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnish.functions import dice
 from tarnish.operators.loss import GUARD, TASKS
-from tarnish.operators.sampling import Draws, Stream, affected, below, find_all_cuts, find_cuts, multiplicity
-
-CLASS_LIMIT = 10_000
+from tarnish.operators.sampling import Draws, Stream, affected, below, dense_ids, find_all_cuts, find_cuts, multiplicity
 
 
 @dataclass(frozen=True)
@@ -163,16 +161,18 @@ class TargetNoise:
         hit = dice_.hit_rows(table, self.name)
         y = F.col(table.label)
         if table.task == "classification":
-            known = table.rows.select(y.alias("y")).distinct().orderBy("y").limit(CLASS_LIMIT + 1).collect()
-            classes = [r.y for r in known]
-            if len(classes) < 2:
-                raise ValueError("target noise requires at least two classes")
-            if len(classes) > CLASS_LIMIT:
-                raise ValueError(f"more than {CLASS_LIMIT} classes: is this a regression?")
+            # every class by its place among the sorted ones; the catalogue of classes is a table, whatever its size
+            named = table.rows.select(y.alias("_class")).where("_class IS NOT NULL").distinct()
+            classes = dense_ids(named, ["_class"], "_at")
+            others = classes.count() - 1
+            if others < 1:
+                raise ValueError("flipping labels needs two classes or more")
             hit = dice.add_rolls(hit, {"_pick": (table.key, dice_.seeds(self.name, "class"))})
-            others = F.array_remove(F.array(*[F.lit(v) for v in classes]), y)
-            place = F.expr(f"cast(shiftright(_pick * {len(classes) - 1}L, 31) AS int) + 1")
-            new, magnitude = F.element_at(others, place), "class_flip"
+            hit = hit.join(classes.withColumnRenamed("_class", table.label), table.label, "left")
+            pick = F.expr(f"shiftright(_pick * {others}L, 31)")
+            hit = hit.withColumn("_to", F.when(F.col("_hit"), pick + (pick >= F.col("_at")).cast("long")))
+            hit = hit.join(classes.select(F.col("_at").alias("_to"), F.col("_class").alias("_new")), "_to", "left")
+            new, magnitude = F.col("_new"), "class_flip"
         else:
             spread = table.rows.agg(F.stddev_pop(y)).first()[0]
             words = {f"_{s}": (table.key, dice_.seeds(self.name, s)) for s in ("radius", "angle")}

@@ -20,13 +20,14 @@ from tarnish.functions.coalitions import (
     banzhaf_weights,
     check_players,
     interaction_weights,
-    shapley_weights,
     with_players,
 )
 from tarnish.operators.bootstrap import paired_draws
 from tarnish.session import stored
 
 HINT_PLAYERS = 12
+#: Digits after the point to which debts are compared.
+TIE_DIGITS = 12
 DRAW_ROWS = 1_000_000
 ESTIMATE_COLUMNS = (
     "channel",
@@ -90,10 +91,35 @@ def _allocate(game: DataFrame, weights: DataFrame, groups: Sequence[str], value:
     return joined.groupBy(*groups, "idx", "player").agg(F.sum(F.col("weight") * F.col(value)).alias(name))
 
 
+def paired_marginals(game: DataFrame, players: Sequence[str], keys: Sequence[str], value: str) -> DataFrame:
+    """(keys..., idx, player, size, marginal): v(S + i) - v(S), added up from both sides so that equal values leave exactly 0."""
+    sided = with_players(game.select(*keys, "mask", F.col(value).alias("_value")), check_players(players))
+    inside = F.col("mask").bitwiseAND(F.col("bit")) != 0
+    return (
+        sided.select(
+            *keys,
+            "idx",
+            "player",
+            F.when(inside, F.col("mask") - F.col("bit")).otherwise(F.col("mask")).alias("_base"),
+            F.when(inside, F.col("_value")).otherwise(-F.col("_value")).alias("_signed"),
+        )
+        .groupBy(*keys, "idx", "player", "_base")
+        .agg(F.sum("_signed").alias("marginal"))
+        .select(*keys, "idx", "player", F.bit_count("_base").cast("int").alias("size"), "marginal")
+    )
+
+
+def _size_weights(m: int) -> Column:
+    """The share of orders in which so many players come before a given one."""
+    shares = [math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)]
+    return F.element_at(F.array(*[F.lit(share) for share in shares]), F.col("size") + 1)
+
+
 def shapley_values(game: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """Exact Shapley values (groups..., idx, player, debt) of a complete game."""
+    """Exact Shapley values (groups..., idx, player, debt) of a complete game; exactly 0 for a player that changes nothing."""
     players = check_players(players)
-    return _allocate(game, hinted(shapley_weights(game.sparkSession, players), len(players)), groups, "value", "debt")
+    paired = paired_marginals(game, players, groups, "value")
+    return paired.groupBy(*groups, "idx", "player").agg(F.sum(_size_weights(len(players)) * F.col("marginal")).alias("debt"))
 
 
 def banzhaf_values(game: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
@@ -120,10 +146,8 @@ def marginal_contributions(game: DataFrame, players: Sequence[str], groups: Sequ
 
 
 def shapley_by_definition(game: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """Shapley values as weighted marginals; equals ``shapley_values``."""
-    m = len(players)
-    share = F.array(*[F.lit(math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m)) for s in range(m)])
-    weighted = F.element_at(share, F.col("size") + 1) * F.col("marginal")
+    """Shapley values as weighted marginals from a join; equals ``shapley_values``."""
+    weighted = _size_weights(len(players)) * F.col("marginal")
     return marginal_contributions(game, players, groups).groupBy(*groups, "idx", "player").agg(
         F.sum(weighted).alias("debt")
     )
@@ -205,24 +229,18 @@ class Attribution:
 
 
 def per_repeat_effects(observations: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """Shapley value and repair gain of every repeat; both are linear, so means of these are exact."""
-    spark = observations.sparkSession
+    """Shapley value and repair gain of every repeat; both are linear, so means of these are exact.
+
+    A defect that changes no answer of a repeat has exactly 0 there, and so in every draw.
+    """
     players = check_players(players)
-    full = (1 << len(players)) - 1
-    shift = F.expr("shiftleft(1L, idx)")
-    gain = (
-        F.when(F.col("mask") == full, F.lit(1.0))
-        .when(F.col("mask") == F.lit(full) - shift, F.lit(-1.0))
-        .otherwise(F.lit(0.0))
-    )
-    weights = shapley_weights(spark, players).withColumn("gain_weight", gain)
+    m = len(players)
     return (
-        observations.select(*groups, "repeat", "mask", "loss")
-        .join(hinted(weights, len(players)), "mask")
+        paired_marginals(observations, players, [*groups, "repeat"], "loss")
         .groupBy(*groups, "repeat", "idx", "player")
         .agg(
-            F.sum(F.col("weight") * F.col("loss")).alias("debt"),
-            F.sum(F.col("gain_weight") * F.col("loss")).alias("gain"),
+            F.sum(_size_weights(m) * F.col("marginal")).alias("debt"),
+            F.max(F.when(F.col("size") == m - 1, F.col("marginal"))).alias("gain"),
         )
     )
 
@@ -245,9 +263,12 @@ def bootstrap_effects(
 
 
 def interval_table(boot: DataFrame, groups: Sequence[str], confidence: float) -> DataFrame:
-    """Percentile intervals, P(debt > 0) and P(rank 1) over the draws."""
+    """Percentile intervals, P(debt > 0) and P(rank 1) over the draws.
+
+    Debts that agree to TIE_DIGITS are equal: they differ by rounding, and the defect listed first ranks first.
+    """
     low, high = (1 - confidence) / 2, 1 - (1 - confidence) / 2
-    first = W.partitionBy(*groups, "draw").orderBy(F.desc("debt"), "idx")
+    first = W.partitionBy(*groups, "draw").orderBy(F.desc(F.round("debt", TIE_DIGITS)), "idx")
     ranked = boot.withColumn("_rank", F.row_number().over(first))
 
     def at(column: str, share: float) -> Column:
@@ -256,7 +277,7 @@ def interval_table(boot: DataFrame, groups: Sequence[str], confidence: float) ->
     return ranked.groupBy(*groups, "idx", "player").agg(
         at("debt", low).alias("ci_low"),
         at("debt", high).alias("ci_high"),
-        F.avg((F.col("debt") > 0).cast("double")).alias("probability_harmful"),
+        F.avg((F.round("debt", TIE_DIGITS) > 0).cast("double")).alias("probability_harmful"),
         F.avg((F.col("_rank") == 1).cast("double")).alias("rank_1_probability"),
         at("gain", low).alias("gain_ci_low"),
         at("gain", high).alias("gain_ci_high"),

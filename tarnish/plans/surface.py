@@ -551,8 +551,8 @@ def risk_surface(
     repeats = tuple(range(repeats)) if isinstance(repeats, int) else tuple(repeats)
     if not repeats:
         raise ValueError("at least one repeat is required")
-    if len(defects) > EXACT_LIMIT:
-        raise ValueError(f"exact evaluation is limited to {EXACT_LIMIT} defects")
+    if masks is None and len(defects) > EXACT_LIMIT:
+        raise ValueError(f"beyond {EXACT_LIMIT} defects name the combinations to evaluate")
     workload = tuple(workload or star_workload())
     resolved = query_weights([q.name for q in workload], weights)
     _check_rewritable(defects, workload)
@@ -567,15 +567,16 @@ def risk_surface(
     if distinct:
         more = _distinct_losses(star, defects, scenarios, master_seed, distinct)
         parts = more if parts is None else parts.unionByName(more)
-    expansion = [(i, s, s & relevant_mask(defects, q)) for i, q in numbered for s in range(1 << len(defects))]
-    spread = F.broadcast(small_table(spark, expansion, "q int, mask long, s_mask long"))
+    if masks is None:
+        masks = spark.range(1 << len(defects)).withColumnRenamed("id", "mask")
+    # a combination has the answer of its part that the query can see
+    sights = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), F.lit(relevant_mask(defects, q)).cast("long").alias("seen")) for i, q in numbered]))
+    spread = masks.select(F.col("mask").cast("long").alias("mask")).distinct().select("mask", sights.alias("s")).select("s.q", "mask", F.col("mask").bitwiseAND(F.col("s.seen")).alias("s_mask"))
     names = F.broadcast(small_table(spark, [(i, q.name) for i, q in numbered], "q int, query string"))
     pairs = F.broadcast(
         small_table(spark, [(n, s.severity, s.repeat) for n, s in enumerate(scenarios)], "n int, severity double, repeat int")
     )
     losses = parts.join(spread, ["q", "s_mask"]).join(names, "q").join(pairs, "n")
-    if masks is not None:
-        losses = losses.join(masks.select("mask").distinct(), "mask", "left_semi")
     losses = losses.select("severity", "repeat", "query", "mask", "loss")
     return Surface(
         star,
@@ -610,8 +611,8 @@ def direct_surface(
     repeats = tuple(range(repeats)) if isinstance(repeats, int) else tuple(repeats)
     if not repeats:
         raise ValueError("at least one repeat is required")
-    if len(defects) > EXACT_LIMIT:
-        raise ValueError(f"exact evaluation is limited to {EXACT_LIMIT} defects")
+    if masks is None and len(defects) > EXACT_LIMIT:
+        raise ValueError(f"beyond {EXACT_LIMIT} defects name the combinations to evaluate")
     workload = tuple(workload or star_workload())
     resolved = query_weights([q.name for q in workload], weights)
     scenarios = plan_scenarios(star, defects, [severity], repeats, master_seed)

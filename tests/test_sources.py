@@ -108,3 +108,13 @@ def test_scale_study_reports_its_work(spark):
     rows = studies.scale_study(spark, [1_000]).collect()
     assert rows[0].coalition_evaluations == 64 and rows[0].query_executions == 512
     assert 0 < rows[0].peak_risk <= 1
+
+
+def test_fingerprints_tell_tables_apart(spark):
+    """Separators, nulls and the text NULL are not mixed up; the order of rows and columns does not matter."""
+    tables = [[("a|b", "c")], [("a", "b|c")], [(None, "c")], [("NULL", "c")], [("N", "c")], [("a", "c"), ("a", "c")], [("a", "c")], [("", "ac")]]
+    seen = [tuple(sinks.table_fingerprint(spark.createDataFrame(rows, "x string, y string")).first()) for rows in tables]
+    assert len(set(seen)) == len(tables)
+    one = spark.createDataFrame([(1, 0.5), (2, None)], "x int, y double")
+    other = spark.createDataFrame([(None, 2), (0.5, 1)], "y double, x int")
+    assert sinks.table_fingerprint(one).first() == sinks.table_fingerprint(other).first()

@@ -179,7 +179,7 @@ def test_unrewritable_settings_are_named(star):
         with pytest.raises(ValueError):
             sf.risk_surface(star, [dfx.value_noise()], **{"repeats": 1, **bad})
     eleven = [dfx.OrderDefect(f"d{i}", i, ("quantity",), lambda row, rolls: {"quantity": F.lit(1.0)}) for i in range(11)]
-    with pytest.raises(ValueError, match="limited"):
+    with pytest.raises(ValueError, match="beyond"):
         sf.risk_surface(star, eleven, repeats=1)
 
 
