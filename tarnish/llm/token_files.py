@@ -29,7 +29,7 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of the ranks of one document."""
+    """(control, data) of a block's ranks."""
     values = ranks.astype("<u4")
     more = (values >= 1 << 8).astype(np.uint8) + (values >= 1 << 16) + (values >= 1 << 24)
     codes = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
@@ -39,15 +39,9 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[used].tobytes()
 
 
-def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
-    """The ranks of a block whose documents have so many ids each."""
-    lengths = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)
-    groups = -(-counts // 4)
-    padding = groups * 4 - counts
-    if padding.any():
-        ends = np.cumsum(groups * 4)
-        unused = np.repeat(ends - padding, padding) + (np.arange(padding.sum()) - np.repeat(np.cumsum(padding) - padding, padding))
-        lengths = np.delete(lengths, unused)
+def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
+    """The n ranks of a block."""
+    lengths = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
     starts = np.cumsum(lengths) - lengths
     raw = np.concatenate([np.frombuffer(data, dtype=np.uint8), np.zeros(4, dtype=np.uint8)]).astype(np.uint32)
     ranks = raw[starts]
@@ -103,26 +97,15 @@ def ranked_ids(tokens: DataFrame, vocabulary: str) -> np.ndarray:
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int | None) -> TokenFiles:
     """Write every document's ids in ascending doc_id order (null ids first, equal ids in the order of their bytes)."""
     spark = docs.sparkSession
-    narrow = load(vocabulary).get_vocab_size() <= 1 << 16
+    kind_of_id = np.dtype("<u2" if load(vocabulary).get_vocab_size() <= 1 << 16 else "<u4")
     tokens = spark.read.parquet(write_table(tokenised(docs, vocabulary, end_id), "tokens", compression="zstd"))
     id_of_rank = ranked_ids(tokens, vocabulary)
     rank_of_id = np.empty(len(id_of_rank), dtype=np.uint32)
     rank_of_id[id_of_rank] = np.arange(len(id_of_rank), dtype=np.uint32)
 
-    def coded(raw: list[bytes]) -> dict:
-        ids = [np.frombuffer(x, dtype="<u2" if narrow else "<u4") for x in raw]
-        packed = [pack(rank_of_id[x]) for x in ids]
-        return {"n": [len(x) for x in ids], "control": [c for c, _ in packed], "data": [d for _, d in packed]}
-
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["doc_id", "tie", "data"]
-    dealt = (
-        per_text(tokens, coded, "n long, control binary, data binary", text="ids")
-        .withColumn("tie", F.xxhash64("control", "data"))
-        .repartitionByRange(parts, *order[:2])
-        .sortWithinPartitions(*order)
-        .select("doc_id", "n", "control", "data")
-    )
+    order = ["doc_id", "tie", "ids"]
+    dealt = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order).select("doc_id", "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string()
     names = ["shard", "block", "start", "n_ids", "doc_ids", "counts", "control", "data"]
@@ -133,15 +116,16 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int | None) -> T
         size = 0
 
         def flush() -> pa.RecordBatch:
-            values = [shard, block, start, size, [h[0] for h in held], [h[1] for h in held], b"".join(h[2] for h in held), b"".join(h[3] for h in held)]
+            ids = np.frombuffer(b"".join([raw for _, raw in held]), dtype=kind_of_id)
+            values = [shard, block, start, size, [doc_id for doc_id, _ in held], [len(raw) // ids.itemsize for _, raw in held], *pack(rank_of_id[ids])]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
         for batch in batches:
-            for piece in sliced(batch, "data"):
-                for row in zip(*[piece.column(c).to_pylist() for c in ("doc_id", "n", "control", "data")]):
-                    held.append(row)
-                    size += row[1]
+            for piece in sliced(batch, "ids"):
+                for doc_id, raw in zip(piece.column("doc_id").to_pylist(), piece.column("ids").to_pylist()):
+                    held.append((doc_id, raw))
+                    size += len(raw) // kind_of_id.itemsize
                     if size >= BLOCK_IDS:
                         yield flush()
                         block, start, held, size = block + 1, start + size, [], 0
@@ -152,31 +136,34 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int | None) -> T
     return TokenFiles(write_table(dealt.mapInArrow(blocks, schema), "token-files", compression="zstd"), id_of_rank)
 
 
-def read_token_files(spark, files: TokenFiles) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of each document; ids are little-endian unsigned 32-bit integers."""
+def read_token_files(spark, files: TokenFiles, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of each document; ids are little-endian unsigned 32-bit integers.
+
+    With ``digest`` their CRC-32 stands in for the ids, as ``ids_crc32``.
+    """
     blocks = spark.read.parquet(files.path)
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     # one row per shard: as many as the partitions they were written from
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     id_of_rank = files.id_of_rank.astype("<u4")
-    names = ["doc_id", "start", "n_tokens", "ids"]
+    last = ("ids_crc32", "long", pa.int64(), zlib.crc32) if digest else ("ids", "binary", pa.binary(), bytes)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 counts = np.array(row["counts"].as_py(), dtype=np.int64)
-                ids = id_of_rank[unpack(row["control"].as_py(), row["data"].as_py(), counts)]
+                raw = id_of_rank[unpack(row["control"].as_py(), row["data"].as_py(), int(counts.sum()))].tobytes()
                 ends = np.cumsum(counts)
-                raw = ids.tobytes()
                 starts = ends - counts + row["start"].as_py() + row["before"].as_py()
+                made = [last[3](raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [row["doc_ids"].values, pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array([raw[4 * (e - n) : 4 * e] for e, n in zip(ends, counts)], pa.binary())],
-                    names=names,
+                    [row["doc_ids"].values, pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(made, last[2])],
+                    names=["doc_id", "start", "n_tokens", last[0]],
                 )
 
-    return blocks.join(before, "shard").select("before", "start", "doc_ids", "counts", "control", "data").mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, ids binary")
+    return blocks.join(before, "shard").select("before", "start", "doc_ids", "counts", "control", "data").mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, {last[0]} {last[1]}")
 
 
 def token_digests(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
@@ -185,6 +172,4 @@ def token_digests(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFram
     A null text is an empty one: its only id is the end id. Repeated rows are documents of their
     own, other columns are ignored, and an empty table gives no rows.
     """
-    read = read_token_files(docs.sparkSession, write_token_files(docs, vocabulary, end_id))
-    crc = per_text(read, lambda found: {"ids_crc32": [zlib.crc32(x) for x in found]}, "ids_crc32 long", text="ids")
-    return crc
+    return read_token_files(docs.sparkSession, write_token_files(docs, vocabulary, end_id), digest=True)

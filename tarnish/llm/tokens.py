@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: Words whose ids a Python worker remembers between slices, and how many it asks for at a time.
-REMEMBERED = 600_000
-ASKED = 100_000
-#: How byte-level vocabularies write a space.
-SPACE_MARK = "\u0120"
+REMEMBERED = 1_500_000
+ASKED = 20_000
+#: Marks after a letter: the vocabulary's pattern keeps letters and marks apart.
+MARKS = ".,;:!?*#$%&|<>()"
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others as the letters from 256 on.
+LETTERS = dict.fromkeys([*range(33), *range(127, 161), 173])
+LETTERS = {byte: chr(256 + n) for n, byte in enumerate(LETTERS)}
+SPACE_MARK = LETTERS[32]
+#: Stands between pieces; no byte is written like this.
+SPLIT = " "
 
 
 @lru_cache(maxsize=4)
@@ -25,8 +30,8 @@ class Encoder:
 
     A byte-level vocabulary whose pattern starts a piece at each single space between two other
     characters gives a word, with the space before it, the same ids everywhere. So the library
-    is asked once for each word of a slice, all in one text; only the first id of such a word
-    stands for a string that starts with the space, which tells where its ids begin. Texts with
+    is asked once for each word, less the marks at its end, many in one text; only the first id of
+    such a word stands for a string that starts with the space, which tells where its ids begin. Texts with
     other spacing, or with a special token's string, are encoded whole.
     """
 
@@ -36,7 +41,12 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.starts[[i for token, i in vocabulary.items() if token.startswith(SPACE_MARK)]] = True
-        self.known: dict[str, bytes] = {}
+        #: ids of a word and the space before it; False for a word beside which a cut is not safe
+        self.known: dict[str, bytes | bool] = {}
+        self.marks: dict[str, bytes] = {}
+        #: the same merges for pieces that are already split and written byte by byte
+        self.merger = Tokenizer.from_file(path)
+        self.merger.pre_tokenizer = pre_tokenizers.Split(SPLIT, "removed")
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -45,42 +55,64 @@ class Encoder:
         return self.ids(text).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Remember the ids of new words; None for one after which, or in which, a cut is not safe."""
-        safe = [w for w in words if len(w) > 1 and not w[1].isspace() and not w[-1].isspace()]
-        self.known.update(dict.fromkeys(words))
-        for lo in range(0, len(safe), ASKED):
-            part = safe[lo : lo + ASKED]
+        """Remember new words: the library is asked for what is left of them without marks at the end."""
+        self.known.update(dict.fromkeys(words, False))
+        plain = [w for w in words if w.isalpha()]
+        others = [w for w in words if not w.isalpha()]
+        marked = {w: stem for w in others if (stem := w.rstrip(MARKS)).isalpha()}
+        stems = set(marked.values())
+        plain += stems.difference(self.known)
+        # letters alone are one piece, which needs no splitting, only the merges
+        self._ask(self.merger, SPLIT, [SPACE_MARK + (w if w.isascii() else w.encode().decode("latin-1").translate(LETTERS)) for w in plain], plain)
+        rest = [w for w in others if w and w not in marked and not w[0].isspace() and not w[-1].isspace()]
+        self._ask(self.tokenizer, "", [" " + w for w in rest], rest)
+        for w, stem in marked.items():
+            marks = w[len(stem) :]
+            if marks not in self.marks:
+                self.marks[marks] = self.whole(marks)
+            self.known[w] = self.known[stem] + self.marks[marks]
+
+    def _ask(self, tokenizer: Tokenizer, between: str, texts: list[str], words: list[str]) -> None:
+        for lo in range(0, len(texts), ASKED):
+            part = texts[lo : lo + ASKED]
             # the fast form leaves offsets out
-            found = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            found = np.array(tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = [*(4 * np.flatnonzero(self.starts[found])).tolist(), 4 * len(found)]
             if len(cuts) != len(part) + 1:
                 raise ValueError("the vocabulary does not start a piece at each space")
             raw = found.tobytes()
-            self.known.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+            self.known.update(zip(words[lo : lo + ASKED], [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        split: list[list[str]] = []
+            self.known, self.marks = {}, {}
+        done: list[bytes | None] = []
+        waiting: list[tuple[int, list[str], list, list[int]]] = []
         missing: set[str] = set()
         for text in texts:
-            if "\0" in text or any(s in text for s in self.special):
-                split.append([])
+            words = text.split(" ")
+            if words[0][-1:].isspace() or any(s in text for s in self.special):
+                done.append(self.whole(text))
                 continue
-            words = text.replace(" ", "\0 ").split("\0")
-            split.append(words)
-            missing.update([w for w, found in zip(words, map(self.known.get, words)) if found is None])
-        self._learn(list(missing - {words[0] for words in split if words}))
-        return [self._join(text, words) for text, words in zip(texts, split)]
-
-    def _join(self, text: str, words: list[str]) -> bytes:
-        if not words or words[0][-1:].isspace():
-            return self.whole(text)
-        first = self.whole(words[0]) if words[0] else b""
-        try:
-            return first + b"".join(map(self.known.__getitem__, islice(words, 1, None)))
-        except TypeError:  # a word that is not safe to cut at
-            return self.whole(text)
+            found = list(map(self.known.get, words))
+            found[0] = self.whole(words[0])
+            try:
+                done.append(b"".join(found))
+            except TypeError:  # a word is not known, or not safe
+                gaps = [i for i, ids in enumerate(found) if ids is None]
+                missing.update([words[i] for i in gaps])
+                waiting.append((len(done), words, found, gaps))
+                done.append(None)
+        if missing:
+            self._learn(list(missing))
+        for place, words, found, gaps in waiting:
+            for i in gaps:
+                found[i] = self.known[words[i]]
+            try:
+                done[place] = b"".join(found)
+            except TypeError:
+                done[place] = self.whole(texts[place])
+        return done
 
 
 @lru_cache(maxsize=2)
