@@ -11,8 +11,6 @@ from registry import settings as cfg
 from registry.queries import _texts
 from tarnish.functions import dice
 from tarnish.functions.dice import seed_words
-from tarnish.operators.game import concentration_radius
-from tarnish.operators.permutations import hoeffding_radius
 from tarnish.sources import generator as gen
 from tarnish.sources.star import LINE_KEY
 
@@ -486,14 +484,20 @@ def summary(base: Ctes, repeats: int, groups: str = "") -> str:
     )
     join = f"USING ({groups})" if groups else "ON true"
     numbers = ", ".join(f"{r(c)} AS {c}" for c in (*TOTALS, "top_probability", "max_abs_interaction", *GAINS))
-    radius = concentration_radius(len(cfg.CHANNELS), repeats)
+    # the mean of so many repeats, for all combinations at once
+    radius = f"least(2, 2 * sqrt(ln({2 ** (len(cfg.CHANNELS) + 1)} / 0.05) / (2 * {repeats})))"
     return base.select(
         f"SELECT {g}{numbers}, {repeats}::BIGINT AS repeats, top_channel, shapley_choice, singleton_choice, oracle_choice,"
-        f" 64::BIGINT AS coalitions, {r(repr(radius))} AS hoeffding_radius"
+        f" 64::BIGINT AS coalitions, {r(radius)} AS hoeffding_radius"
         f" FROM totals JOIN decided {join} JOIN strongest {join} JOIN tops {join}"
     )
 
 
+def order_radius(m: int, independent: int) -> str:
+    """The half width that holds for all m players at 95 %, from so many independent orders."""
+    return f"sqrt(2 * ln(2 * {m} / 0.05) / {independent})"
+
+
 def orders_cte(count: str, antithetic: bool = False, draws: str | None = None) -> list[tuple[str, str]]:
     """CTEs ``ord`` (draw, position, idx, bit, player) and ``walk`` (adds mask and before)."""
     m = len(cfg.CHANNELS)
@@ -563,6 +567,9 @@ def source_sql() -> dict[str, str]:
             " FROM fact JOIN cust USING (customer_id) JOIN prod USING (product_id)"
         ),
         "table_fingerprint": " UNION ALL ".join(prints),
+        "range_scan": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem"
+        f" WHERE l_shipdate >= '{cfg.SCAN_DATES[0]}' AND l_shipdate < '{cfg.SCAN_DATES[1]}'"
+        f" AND l_quantity BETWEEN {cfg.SCAN_QUANTITY[0]} AND {cfg.SCAN_QUANTITY[1]}",
         "observation_records": records,
     }
 
@@ -971,11 +978,11 @@ def sampling_sql() -> dict[str, str]:
     debts = "SELECT draw, position, player, " + r("debt") + " AS debt FROM ord JOIN phi USING (player)"
     starts, total = [], 0
     for budget in cfg.BUDGETS:
-        starts.append((budget, total, total + budget * cfg.TRIALS, hoeffding_radius(m, budget)))
+        starts.append((budget, total, total + budget * cfg.TRIALS))
         total += budget * cfg.TRIALS
     draws = (
-        "SELECT i AS draw, b AS permutations, (i - low) // b AS trial, radius"
-        f" FROM range({total}) AS t(i) JOIN {values(starts)} AS s(b, low, high, radius) ON i >= low AND i < high"
+        f"SELECT i AS draw, b AS permutations, (i - low) // b AS trial, {order_radius(m, 'b')} AS radius"
+        f" FROM range({total}) AS t(i) JOIN {values(starts)} AS s(b, low, high) ON i >= low AND i < high"
     )
     trials = whole.add_all([*orders_cte("", False, draws), CONTRIB]).add_all(
         [
@@ -1010,11 +1017,11 @@ def sampling_sql() -> dict[str, str]:
         ),
         "permutation_shapley": plain.select(
             f"SELECT player, {r('avg(contribution)')} AS value, {r(error)} AS standard_error,"
-            f" {r(repr(hoeffding_radius(m, cfg.ORDERS)))} AS hoeffding_radius FROM contrib GROUP BY 1"
+            f" {r(order_radius(m, cfg.ORDERS))} AS hoeffding_radius FROM contrib GROUP BY 1"
         ),
         "antithetic_shapley": paired.select(
             f"SELECT player, {r('avg(c)')} AS value, {r(f'stddev_samp(c) / sqrt({half}::DOUBLE)')} AS standard_error,"
-            f" {r(repr(hoeffding_radius(m, half)))} AS hoeffding_radius"
+            f" {r(order_radius(m, half))} AS hoeffding_radius"
             " FROM (SELECT draw // 2 AS pair, player, avg(contribution) AS c FROM contrib GROUP BY ALL) GROUP BY 1"
         ),
         "permutation_coverage": plain.select(

@@ -14,7 +14,7 @@ from tarnish.operators import bootstrap, defects as dfx, feature_defects as ffx,
 from tarnish.plans import models, studies, workload
 from tarnish.plans.surface import risk_surface
 from tarnish.session import stored, stored_once
-from tarnish.sources import features, sinks
+from tarnish.sources import features, sinks, star
 from tarnish.sources.star import LINE_KEY, ORDER_COLUMNS, Star, customers_of, event_star, line_star, products_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,12 @@ def table_fingerprint(spark, sf):
     return parts
 
 
+@register("range_scan")
+def range_scan(spark, sf):
+    found = star.range_scan(read(spark, sf, "lineitem"), "l_shipdate", *cfg.SCAN_DATES, {"l_quantity": cfg.SCAN_QUANTITY})
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
 @register("observation_records")
 def observation_records(spark, sf):
     base = risks(spark, sf).select(

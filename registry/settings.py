@@ -17,6 +17,8 @@ CHANNELS = (
     "duplicate_facts",
 )
 DOSE_CHANNELS = CHANNELS
+SCAN_DATES = ("1996-01-01", "1997-01-01")
+SCAN_QUANTITY = (10, 20)
 HASH_SAMPLE = 500
 ORDERS = 40
 TRIALS = 10

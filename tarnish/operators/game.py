@@ -296,12 +296,12 @@ def check_observations(observations: DataFrame, players: Sequence[str], groups:
     """Reject anything but a full paired design; returns the repeats."""
     repeats = [r.repeat for r in observations.select("repeat").distinct().orderBy("repeat").collect()]
     if len(repeats) < 2:
-        raise ValueError("at least two paired repeats are required")
+        raise ValueError("one repeat leaves nothing to resample")
     bad = design_problems(observations, players, groups).filter(
         ~F.col("complete") | (F.col("expected") != len(repeats) << len(players))
     )
     if bad.limit(1).collect():
-        raise ValueError("every repeat must contain every coalition exactly once")
+        raise ValueError("a repeat lacks or repeats a combination")
     require_complete(observations, players, groups)
     return repeats
 
@@ -319,9 +319,9 @@ def attribute_debt(
     players = check_players(players)
     groups = list(groups)
     if bootstrap_samples < 100:
-        raise ValueError("bootstrap_samples must be at least 100")
+        raise ValueError("fewer than 100 draws give no interval")
     if not 0 < confidence < 1:
-        raise ValueError("confidence must be in (0, 1)")
+        raise ValueError("confidence is a share between 0 and 1")
     observations = kept(observations, groups)
     repeats = check_observations(observations, players, groups)
     game = mean_game(observations, groups)

@@ -93,13 +93,13 @@ def value_of(query: Query) -> Column:
 
 
 def run_query(star: Star, query: Query) -> DataFrame:
-    """The plain answer of one query on one star."""
+    """The answer of one query on one star, in the order of its key."""
     rows = star.orders
     for table in query.joins:
         rows = rows.join(getattr(star, table), DIMENSION_KEYS[table])
     if query.where:
         rows = rows.filter(F.expr(query.where))
-    return rows.groupBy(F.expr(query.key).alias(query.key_name)).agg(value_of(query).alias(query.value))
+    return rows.groupBy(F.expr(query.key).alias(query.key_name)).agg(value_of(query).alias(query.value)).orderBy(query.key_name)
 
 
 def run_sql(star: Star, query: SqlQuery) -> DataFrame:
@@ -168,11 +168,11 @@ def query_weights(names: Sequence[str], weights: Mapping[str, float] | None = No
         return {name: 1.0 / len(names) for name in names}
     unknown = sorted(set(weights) - set(names))
     if unknown:
-        raise ValueError(f"weights name unknown queries: {unknown}")
+        raise ValueError(f"no such query in the workload: {unknown}")
     full = {name: float(weights.get(name, 0.0)) for name in names}
     if min(full.values()) < 0:
-        raise ValueError("query weights must be nonnegative")
+        raise ValueError(f"a weight below zero: {min(full.values())}")
     total = sum(full.values())
     if total <= 0:
-        raise ValueError("query weights must have a positive sum")
+        raise ValueError("all weights are zero")
     return {name: w / total for name, w in full.items()}

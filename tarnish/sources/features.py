@@ -26,7 +26,7 @@ def price_regression(spark: SparkSession, folder: str) -> Features:
     picked = rows.select(
         *LINE_KEY, "_tie", *[F.col(old).cast("double").alias(new) for new, old in columns.items()]
     )
-    numbered = dense_ids(picked, [*LINE_KEY, "_tie"], "row_id")
+    numbered = dense_ids(picked, [*LINE_KEY, *columns, "_tie"], "row_id")
     out = numbered.select("row_id", *columns, F.col("l_extendedprice").cast("double").alias("label"))
     return Features(out, tuple(columns), "regression")
 
@@ -72,15 +72,16 @@ def csv_features(spark: SparkSession, path: str, target: str, task: str) -> Feat
     """A numeric CSV file with a header; all columns but ``target`` are features."""
     data = spark.read.csv(path, header=True, inferSchema=True)
     if target not in data.columns:
-        raise ValueError(f"target column {target!r} not found")
+        raise ValueError(f"the file has no column {target!r} to predict")
     features = [f for f in data.schema.fields if f.name != target]
     text = [f.name for f in features if not isinstance(f.dataType, NumericType)]
     if text:
-        raise ValueError(f"all features must be numeric; encode these columns first: {text}")
+        raise ValueError(f"columns without numbers cannot be features: {text}")
     names = [f.name for f in features]
     return Features(_numbered(data, names, target), tuple(names), task)
 
 
 def _numbered(data: DataFrame, names: list[str], target: str) -> DataFrame:
     placed = data.withColumn("_tie", F.monotonically_increasing_id())
-    return dense_ids(placed, ["_tie"], "row_id").select("row_id", *[F.col(n).cast("double").alias(n) for n in names], F.col(target).alias("label"))
+    # by every column: a row's number does not depend on the files or splits it comes in
+    return dense_ids(placed, [*names, target, "_tie"], "row_id").select("row_id", *[F.col(n).cast("double").alias(n) for n in names], F.col(target).alias("label"))

@@ -110,7 +110,10 @@ def line_star(spark: SparkSession, folder: str) -> Star:
 
     The customers are written once, so that joins with them are planned by their real size.
     """
-    numbered = dense_ids(line_facts(spark, folder), [*LINE_KEY, "_tie"], "order_id")
+    facts = line_facts(spark, folder)
+    # by every column there is: the file layout decides between equal rows only
+    values = [c for c in facts.columns if c not in LINE_KEY and c != "_tie"]
+    numbered = dense_ids(facts, [*LINE_KEY, *values, "_tie"], "order_id")
     return Star(
         "retail_lines",
         stored(customers_of(spark, folder), "customers"),
@@ -191,6 +194,15 @@ def code_products(spark: SparkSession, codes: Mapping[int, str]) -> DataFrame:
     return spark.createDataFrame(rows, "product_id long, category string, base_price double")
 
 
+def range_scan(table: DataFrame, time: str, start: str, stop: str, between: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """Rows from ``start`` up to but not at ``stop`` with other columns between bounds, both included; filters reach the scan."""
+    kind = table.schema[time].dataType
+    wanted = (F.col(time) >= F.lit(start).cast(kind)) & (F.col(time) < F.lit(stop).cast(kind))
+    for column, (low, high) in between.items():
+        wanted &= F.col(column).between(low, high)
+    return table.filter(wanted)
+
+
 def trip_star(
     spark: SparkSession,
     trips: str,
@@ -207,18 +219,9 @@ def trip_star(
     customers = lookup_customers(
         lookup, {"LocationID": "customer_id", "Borough": "region", "service_zone": "segment"}
     )
-    keys = ["tpep_pickup_datetime", "PULocationID", "total_amount", "trip_distance"]
-    valid = (
-        spark.read.parquet(trips)
-        .select(*keys, "payment_type")
-        .filter(
-            (F.col("tpep_pickup_datetime") >= F.lit(start).cast("timestamp_ntz"))
-            & (F.col("tpep_pickup_datetime") < F.lit(stop).cast("timestamp_ntz"))
-            & F.col("PULocationID").between(1, 265)
-            & F.col("total_amount").between(0, 1000)
-        )
-        .withColumn("_tie", F.monotonically_increasing_id())
-    )
+    keys = ["tpep_pickup_datetime", "PULocationID", "total_amount", "trip_distance", "payment_type"]
+    scanned = range_scan(spark.read.parquet(trips).select(*keys), "tpep_pickup_datetime", start, stop, {"PULocationID": (1, 265), "total_amount": (0, 1000)})
+    valid = scanned.withColumn("_tie", F.monotonically_increasing_id())
     numbered = dense_ids(valid, [*keys, "_tie"], "order_id")
     sampled = hash_sample(numbered, "order_id", dice.seed_words("trips", "sample"), n_orders)
     code = F.coalesce(F.col("payment_type"), F.lit(0))
