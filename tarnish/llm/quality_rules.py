@@ -136,16 +136,19 @@ def cascade(rules: list[Rule]) -> Column:
     return F.lit(True) if verdict is None else verdict.otherwise(True)
 
 
-def judge_documents(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 500) -> DataFrame:
+def judge_documents(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 300, sample_bytes: int = 1 << 14) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` of each document.
 
-    ``sample_rows`` bounds the rows that order the rules; no verdict depends on them. Repeated rows
-    and null ids stay; a null or empty text has no words and fails the base; other columns are ignored.
+    The rules are ordered on the first ``sample_rows`` texts of at most ``sample_bytes`` that come
+    to hand; no verdict depends on them. Repeated rows and null ids stay; a null or empty text has
+    no words and fails the base; other columns are ignored.
     """
     rules = default_rules() if rules is None else rules
     slim = docs.select("doc_id", "text")
     counted = with_counts(slim)
-    sample = stored(with_counts(slim.limit(sample_rows)), "rule-sample")
+    # taking rows reads as few partitions as give them, where a written limit would read all
+    taken = slim.where(F.octet_length("text") <= sample_bytes).take(sample_rows)
+    sample = stored(with_counts(docs.sparkSession.createDataFrame(taken, slim.schema)), "rule-sample")
     order = [rule for rule, _, _ in measured(sample, rules)]
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = counted.withColumn("base_failed", base_failed())
