@@ -65,7 +65,7 @@ base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_f
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed
             OR n_symbols > 0.25 * n_words
-            OR n_dup_lines > 0.3 * n_lines
+            OR n_dup_lines >= 3 AND n_dup_lines > 0.3 * n_lines
             OR word_chars < 2 * n_words OR word_chars > 15 * n_words
             OR len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Lu}}{{2,}}\\P{{L}}*$'))) > 0.4 * n_words
             OR len(list_filter(w, lambda x: NOT regexp_matches(x, '\\p{{L}}'))) > 0.4 * n_words

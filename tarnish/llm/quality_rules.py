@@ -102,7 +102,8 @@ def default_rules() -> list[Rule]:
     share = lambda kept: F.size(kept) / words
     return [
         Rule("symbols", F.col("n_symbols") > 0.25 * words),
-        Rule("line_repeats", F.col("n_dup_lines") > 0.3 * F.size(F.split("text", "\n"))),
+        # one repeated line says nothing of a text of three
+        Rule("line_repeats", (F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") > 0.3 * F.size(F.split("text", "\n")))),
         Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
         Rule("shouting", share(F.filter("words", lambda w: w.rlike(r"^\p{Lu}{2,}\P{L}*$"))) > 0.4),
         Rule("no_letters", share(F.filter("words", lambda w: ~w.rlike(r"\p{L}"))) > 0.4),
