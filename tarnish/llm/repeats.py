@@ -187,7 +187,7 @@ def anchor_table(keyed: DataFrame, alphabet: Alphabet) -> DataFrame:
 
 
 CONTEXT = "h long, ka long, kb long, at long, left long, content binary"
-SPANS = "ka long, kb long, start long, stop long, repeat long"
+SPANS = "ka long, kb long, start long, stop long"
 
 
 def _sorted_groups(contexts: DataFrame, solve: Callable, alphabet: Alphabet) -> DataFrame:
@@ -223,8 +223,8 @@ def _sorted_groups(contexts: DataFrame, solve: Callable, alphabet: Alphabet) ->
             part = table.slice(a, b - a)
             contents = part.column("content").to_pylist()
             at, left = part.column("at").to_numpy(), part.column("left").to_numpy()
-            member, start, stop, repeat = solve(h[a:b], left, contents, alphabet)
-            yield _table([part.column("ka").to_numpy()[member], part.column("kb").to_numpy()[member], at[member] - start, at[member] + stop, repeat], SPANS)
+            member, before, after = solve(h[a:b], left, contents, alphabet)
+            yield _table([part.column("ka").to_numpy()[member], part.column("kb").to_numpy()[member], at[member] - before, at[member] + after], SPANS)
 
     return dealt.mapInArrow(run, SPANS)
 
@@ -232,7 +232,7 @@ def _sorted_groups(contexts: DataFrame, solve: Callable, alphabet: Alphabet) ->
 def _whole(rows: DataFrame, alphabet: Alphabet) -> DataFrame:
     """Spans of contexts that are repeated as a whole."""
     start = F.col("at") - F.col("left")
-    return rows.select(*KEY, start.alias("start"), (start + F.col("more") + F.lit(alphabet.width)).alias("stop"), F.xxhash64("h", "context").alias("repeat"))
+    return rows.select(*KEY, start.alias("start"), (start + F.col("more") + F.lit(alphabet.width)).alias("stop"))
 
 
 def _longer_prefixes(crowded: DataFrame, alphabet: Alphabet) -> DataFrame:
@@ -266,10 +266,10 @@ def _crowded_spans(crowded: DataFrame, solve: Callable, alphabet: Alphabet) -> D
     while True:
         split = stored(_longer_prefixes(crowded, alphabet).withColumn("context", F.xxhash64("left", "content", "h")), "prefixes")
         more = (F.octet_length("content") if alphabet.name == "bytes" else F.size(F.split(F.col("content").cast("string"), " "))) - alphabet.width
-        same = split.groupBy("h", "context").agg(F.count("*").alias("c"), F.min(F.struct("ka", "kb", "at")).alias("one"))
+        same = stored(split.groupBy("h", "context").agg(F.count("*").alias("c"), F.min(F.struct("ka", "kb", "at")).alias("one")), "contexts")
         twice = same.where("c > 1").select("h", "context")
         spans.append(_whole(split.withColumn("more", more.cast("long")).join(twice, ["h", "context"], "left_semi"), alphabet))
-        different = same.groupBy("h").agg(F.count("*").alias("d")).where("d > 1")
+        different = stored(same.groupBy("h").agg(F.count("*").alias("d")).where("d > 1"), "different")
         one_each = split.join(same.select("h", "context", "one.*"), ["h", "context", "ka", "kb", "at"], "left_semi")
         left_over = stored(one_each.join(different, "h"), "prefixes")
         spans.append(_sorted_groups(left_over.where(F.col("d") <= CROWDED), solve, alphabet))
@@ -285,12 +285,13 @@ def _crowded_spans(crowded: DataFrame, solve: Callable, alphabet: Alphabet) -> D
 def repeated_spans(keyed: DataFrame, alphabet: Alphabet, solve: Callable, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, spans): documents that may hold spans with their texts, the others with their digest (or text, on request)."""
     rows = anchor_table(keyed, alphabet)
-    again = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # counts are written, so that the joins below are of two shuffles and Spark can split a frequent key
+    again = stored(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     survivors = stored(rows.join(again, "h", "left_semi"), "anchors")
     place = F.struct("ka", "kb", "at", "left", "more")
     same = stored(survivors.groupBy("h", "context").agg(F.count("*").alias("c"), F.min(place).alias("one")), "contexts")
     whole = _whole(survivors.join(same.where("c > 1").select("h", "context"), ["h", "context"], "left_semi"), alphabet)
-    different = same.groupBy("h").agg(F.count("*").alias("d")).where("d > 1")
+    different = stored(same.groupBy("h").agg(F.count("*").alias("d")).where("d > 1"), "different")
     wanted = same.join(different, "h").select("one.*", "h", (F.col("d") > CROWDED).alias("crowd"))
     lists = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("h", "at", "left", "more", "crowd")).alias("w"))
     touched = survivors.join(same.where("c > 1").select("h", "context"), ["h", "context"], "left_semi").select(*KEY).distinct()
@@ -353,7 +354,7 @@ def without_repeats(docs: DataFrame, alphabet: Alphabet, solve: Callable, carrie
     """
     documents, spans = repeated_spans(with_key(docs, carried), alphabet, solve, with_text)
     # rows that repeat a document have the same spans, so once per key is enough
-    lists = spans.select(*KEY, "start", "stop").distinct().groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    lists = spans.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     hurt = documents.where("digest IS NULL").select("row", *KEY, "text").join(lists, KEY, "left")
     kind = documents.schema["row"].dataType.simpleString()
     made = "n long, n_removed long, n_spans long, digest string, kept binary"

@@ -2,9 +2,10 @@
 
 Suffixes start at anchors (see ``repeats``). Sorted, with the lengths of the prefixes that
 neighbours share, they form an enhanced suffix array, whose common-prefix intervals nest; a scan
-with a stack lists them. All suffixes of an interval share its prefix, not only neighbours. What
-they share to the left is tested as well: where the bytes there are diverse, the interval falls
-into runs, and each run is a maximal repeat group with all its occurrences.
+with a stack lists them. All suffixes of an interval share its prefix, not only neighbours, so an
+interval is a repeat with all its occurrences. Where the bytes to their left are diverse, sorting
+them tells how far to the left each occurrence agrees with another; if that and the prefix make a
+window, the occurrence is cut.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def intervals(shared: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 
 
 def solve(h: np.ndarray, left: np.ndarray, contents: list[bytes], alphabet: repeats.Alphabet) -> tuple[np.ndarray, ...]:
-    """(member, bytes to the left, bytes to the right, prefix) of the contexts that a repeated window crosses."""
+    """(member, bytes to the left, bytes to the right) of the contexts that a repeated window crosses."""
     codes = np.frombuffer(b"".join(contents), dtype=np.uint8).astype(np.uint16) + np.uint16(1)
     first = np.cumsum([0] + [len(c) for c in contents])
     left = left.astype(np.int64)
@@ -55,7 +56,7 @@ def solve(h: np.ndarray, left: np.ndarray, contents: list[bytes], alphabet: repe
     suffixes = suffixes[np.argsort(group[suffixes], kind="stable")]
     shared = shared_lengths(right_rows, suffixes[:-1], suffixes[1:], right)
     shared[group[suffixes[1:]] != group[suffixes[:-1]]] = 0
-    spans = Spans(h)
+    spans = Spans(len(h))
     nodes = intervals(np.concatenate([[0], shared]), alphabet.k)
     held: list[tuple[int, int, int]] = []
     size = 0
@@ -76,7 +77,7 @@ def _judge(spans: Spans, nodes: list[tuple[int, int, int]], suffixes: np.ndarray
     sizes = high - low + 1
     node = np.repeat(np.arange(len(nodes)), sizes)
     member = suffixes[np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[node]]
-    best, _ = left_partners(node, member, lrank, left_rows, left)
+    best = left_partners(node, member, lrank, left_rows, left)
     deep = best + depth[node] >= alphabet.width
     spans.widen(member[deep], best[deep], depth[node][deep])
 

@@ -40,8 +40,8 @@ def ordered(rows: np.ndarray) -> np.ndarray:
     return np.argsort(big.view(f"S{big.shape[1] * big.itemsize}").reshape(-1), kind="stable")
 
 
-def left_partners(node: np.ndarray, member: np.ndarray, lrank: np.ndarray, left_rows: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each (node, member): how many words to the left it shares with another member of the node, and its run.
+def left_partners(node: np.ndarray, member: np.ndarray, lrank: np.ndarray, left_rows: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Of each (node, member): how many symbols to the left it shares with another member of the node.
 
     Members are sorted by what stands to their left; the nearest one is a neighbour.
     """
@@ -54,16 +54,15 @@ def left_partners(node: np.ndarray, member: np.ndarray, lrank: np.ndarray, left_
     np.maximum(best[:-1], shared, out=best[:-1])
     back = np.empty(len(m), dtype=np.int64)
     back[order] = best
-    return back, order
+    return back
 
 
 class Spans:
-    """The widest repeated stretch around each context's anchor, and the repeat it was last widened by."""
+    """The widest repeated stretch around each context's anchor, as symbols to its left and right."""
 
-    def __init__(self, h: np.ndarray):
-        self.start = np.zeros(len(h), dtype=np.int64)
-        self.stop = np.zeros(len(h), dtype=np.int64)
-        self.repeat = h.copy()
+    def __init__(self, n: int):
+        self.start = np.zeros(n, dtype=np.int64)
+        self.stop = np.zeros(n, dtype=np.int64)
 
     def widen(self, member: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
         np.maximum.at(self.start, member, left)
@@ -71,11 +70,11 @@ class Spans:
 
     def found(self) -> tuple[np.ndarray, ...]:
         member = np.flatnonzero(self.stop)
-        return member, self.start[member], self.stop[member], self.repeat[member]
+        return member, self.start[member], self.stop[member]
 
 
 def solve(h: np.ndarray, left: np.ndarray, contents: list[bytes], alphabet: repeats.Alphabet) -> tuple[np.ndarray, ...]:
-    """(member, words to the left, words to the right, prefix) of the contexts that a repeated window crosses."""
+    """(member, words to the left, words to the right) of the contexts that a repeated window crosses."""
     codes, starts, _ = word_hashes(np.frombuffer(b" ".join(contents), dtype=np.uint8))
     codes |= np.uint64(1)
     bounds = np.cumsum([0] + [len(c) + 1 for c in contents])
@@ -86,7 +85,7 @@ def solve(h: np.ndarray, left: np.ndarray, contents: list[bytes], alphabet: repe
     left_rows = _rows(codes, first[:-1] + left - 1, left, max(1, alphabet.reach - 1), -1)
     lrank = np.empty(len(h), dtype=np.int64)
     lrank[ordered(left_rows)] = np.arange(len(h))
-    spans = Spans(h)
+    spans = Spans(len(h))
 
     # the root: suffixes of one prefix; depth after depth, nodes of one suffix are left out
     member = np.arange(len(h))
@@ -119,7 +118,7 @@ def _judge(spans: Spans, node: np.ndarray, member: np.ndarray, depth: int, forks
     if depth < alphabet.k or not forks.any():
         return
     n, m = node[forks], member[forks]
-    best, _ = left_partners(n, m, lrank, left_rows, left)
+    best = left_partners(n, m, lrank, left_rows, left)
     deep = best + depth >= alphabet.width
     spans.widen(m[deep], best[deep], np.full(deep.sum(), depth))
 
