@@ -209,5 +209,7 @@ def documents_without_near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = with_key(docs, docs.columns)
     marked = stored(per_text(keyed.select("text", *KEY, F.col("row.doc_id").isNull().alias("last")), lambda texts: {"fp": signed(texts)}, "fp long"), "fingerprints")
     named = named_components(marked.select("fp").distinct())
-    first = marked.join(named, "fp").groupBy("root").agg(F.min(F.struct("last", *KEY)).alias("one")).select("one.ka", "one.kb")
+    # one row per fingerprint before the join, as copies may hold most rows
+    least = marked.groupBy("fp").agg(F.min(F.struct("last", *KEY)).alias("one"))
+    first = least.join(named, "fp").groupBy("root").agg(F.min("one").alias("one")).select("one.ka", "one.kb")
     return keyed.join(first, KEY, "left_semi").groupBy(*KEY).agg(F.first("row").alias("row")).select("row.*")
