@@ -176,3 +176,33 @@ def test_csv_audit_writes_a_report(spark, tmp_path):
     source.write_text("x1,x2,target\nred,1,0\n")
     with pytest.raises(ValueError):
         csv_features(spark, str(source), "target", "classification")
+
+
+def test_labels_of_many_classes_are_flipped_to_others(spark):
+    """Twelve thousand classes, one of which holds a third of the rows."""
+    rows = spark.range(24_000).select(
+        F.col("id").alias("row_id"), F.lit(1.0).alias("f0"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 12_000).cast("int").alias("label")
+    )
+    table = ffx.Features(rows, ("f0",), "classification")
+    out, told = hurt(table, ffx.TargetNoise())
+    pair = out.rows.alias("x").join(rows.alias("y"), "row_id")
+    assert out.rows.count() == 24_000
+    assert pair.filter("x.label <> y.label").count() == told["target_noise"]["affected_rows"]
+    assert out.rows.join(rows.select("label").distinct(), "label", "left_anti").count() == 0
+
+
+def test_rows_without_label_are_refused(spark):
+    rows = spark.range(60).selectExpr("id AS row_id", "1.0D AS f0", "CASE WHEN id > 3 THEN cast(id % 2 AS int) END AS label")
+    with pytest.raises(ValueError):
+        models.splits(ffx.Features(rows, ("f0",), "classification"), 2)
+
+
+def test_numbers_do_not_depend_on_files(spark, tmp_path):
+    """The same CSV rows in one file and in many get the same numbers."""
+    rows = spark.range(400).selectExpr("cast(hash(id) % 20 AS double) AS a", "cast(id % 7 AS double) AS b", "cast(id % 3 AS int) AS y")
+    numbered = []
+    for parts in (1, 9):
+        path = str(tmp_path / str(parts))
+        rows.repartition(parts).write.csv(path, header=True)
+        numbered.append(sorted(map(tuple, csv_features(spark, path, "y", "regression").rows.collect())))
+    assert numbered[0] == numbered[1]

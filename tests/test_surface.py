@@ -222,3 +222,23 @@ def test_one_customer_with_a_third_of_the_orders(spark, star):
 def test_next_region_is_cyclic(star):
     cycle = {r.region: r.next_region for r in dfx.next_regions(star.customers).collect()}
     assert cycle == {"central": "east", "east": "north", "north": "south", "south": "west", "west": "central"}
+
+
+def test_next_region_of_a_long_catalogue(spark):
+    names = [f"r{i:03d}" for i in range(100)]
+    customers = spark.createDataFrame([(i, names[i % 100]) for i in range(300)], "customer_id long, region string")
+    cycle = {r.region: r.next_region for r in dfx.next_regions(customers).collect()}
+    assert cycle == {a: names[(i + 1) % 100] for i, a in enumerate(names)}
+
+
+def test_named_masks_of_many_defects(spark, star):
+    """Twelve defects are too many for all combinations, not for some; the other way gives the same losses."""
+    chosen = [dfx.missing_measures(), dfx.value_noise(), dfx.stale_timestamps(), dfx.dimension_drift(), dfx.duplicate_facts(), dfx.orphan_foreign_keys()]
+    more = [dfx.OrderDefect(f"d{i}", 60 + i, ("discount",), lambda row, rolls: {"discount": row["discount"] * 0.5}) for i in range(6)]
+    masks = [0, 1, 0b100000000001, 0b111111111111]
+    named = spark.createDataFrame([(m,) for m in masks], "mask long")
+    queries = [q for q in workload.star_workload() if q.aggregate == "count"]
+    fast = sf.risk_surface(star, [*chosen, *more], severities=[0.2], repeats=1, master_seed=5, workload=queries, masks=named)
+    slow = sf.direct_surface(star, [*chosen, *more], severity=0.2, repeats=1, master_seed=5, workload=queries, masks=masks)
+    assert fast.losses.count() == len(masks)
+    assert worst(fast, slow) < 1e-12
