@@ -8,7 +8,7 @@ import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Words whose ids a Python worker remembers between slices, and how many it asks for at a time.
-REMEMBERED = 1_500_000
+REMEMBERED = 700_000
 ASKED = 20_000
 #: Marks after a letter: the vocabulary's pattern keeps letters and marks apart.
 MARKS = ".,;:!?*#$%&|<>()"
