@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnish.llm.components import component_roots
+from tarnish.llm.near_copies import one_of_each
 from tarnish.llm.repeats import KEY, with_key
 from tarnish.llm.texts import per_text
 from tarnish.session import stored
@@ -202,14 +203,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def documents_without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, one of each component: that of the smallest id, null ids last, then of the smallest text hash.
+    """The documents, all columns, one of each group of near copies (see ``near_copies``): that of the smallest id, null ids last, then of the smallest text hash.
 
     Of rows that repeat both id and text, one stays.
     """
     keyed = with_key(docs, docs.columns)
-    marked = stored(per_text(keyed.select("text", *KEY, F.col("row.doc_id").isNull().alias("last")), lambda texts: {"fp": signed(texts)}, "fp long"), "fingerprints")
-    named = named_components(marked.select("fp").distinct())
-    # one row per fingerprint before the join, as copies may hold most rows
-    least = marked.groupBy("fp").agg(F.min(F.struct("last", *KEY)).alias("one"))
-    first = least.join(named, "fp").groupBy("root").agg(F.min("one").alias("one")).select("one.ka", "one.kb")
-    return keyed.join(first, KEY, "left_semi").groupBy(*KEY).agg(F.first("row").alias("row")).select("row.*")
+    return keyed.join(one_of_each(keyed), KEY, "left_semi").groupBy(*KEY).agg(F.first("row").alias("row")).select("row.*")
