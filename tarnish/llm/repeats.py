@@ -94,6 +94,22 @@ def merged(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         yield start, stop
 
 
+def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans of a UTF-8 text, each widened to the characters that it touches."""
+
+    def begin(at: int) -> int:
+        while text[at] & 0xC0 == 0x80:
+            at -= 1
+        return at
+
+    def end(at: int) -> int:
+        while at < len(text) and text[at] & 0xC0 == 0x80:
+            at += 1
+        return at
+
+    return [(begin(a), end(b)) for a, b in spans]
+
+
 def sliding_least(values: np.ndarray, w: int) -> np.ndarray:
     """For each run of w values the place of the first of its smallest."""
     best, at, span = values, np.arange(len(values)), 1
@@ -350,7 +366,7 @@ def without_repeats(docs: DataFrame, alphabet: Alphabet, solve: Callable, carrie
     """(row, n, n_removed, n_spans, digest, kept) of each document after every repeated window is cut out.
 
     ``row`` holds the carried columns, ``digest`` the SHA-256 of what is left, in lowercase hex,
-    and ``kept``, on request, what is left as bytes.
+    and ``kept``, on request, what is left as bytes; characters then are cut as a whole.
     """
     documents, spans = repeated_spans(with_key(docs, carried), alphabet, solve, with_text)
     # rows that repeat a document have the same spans, so once per key is enough
@@ -365,7 +381,8 @@ def without_repeats(docs: DataFrame, alphabet: Alphabet, solve: Callable, carrie
             for part in sliced(batch, "text"):
                 found = []
                 for text, held in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                    n, removed, runs, left = alphabet.kept(text.encode(), [(s["start"], s["stop"]) for s in held or []])
+                    data, cuts = text.encode(), [(s["start"], s["stop"]) for s in held or []]
+                    n, removed, runs, left = alphabet.kept(data, whole_characters(data, cuts) if with_text else cuts)
                     found.append((n, removed, runs, hashlib.sha256(left).hexdigest(), left if with_text else None))
                 arrays = [pa.array([f[j] for f in found], t) for j, (_, t) in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), *arrays], names=["row", *[name for name, _ in fields]])

@@ -102,10 +102,7 @@ def documents_without_repeats(docs: DataFrame, width: int = WIDTH, k: int = K) -
     """
     carried = [c for c in docs.columns if c != "text"]
     found = repeats.without_repeats(docs, repeats.Alphabet("bytes", width, k), solve, carried, with_text=True)
-    # bytes that are no UTF-8 any more stem from characters cut in part
-    text = F.try_validate_utf8(F.col("kept").cast("string"))
-    whole = F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
-    of = {c: F.col(f"row.`{c}`") for c in carried} | {"text": F.when(F.col("n_removed") > 0, whole).otherwise(F.col("kept").cast("string"))}
+    of = {c: F.col(f"row.`{c}`") for c in carried} | {"text": F.col("kept").cast("string")}
     if "n_chars" in carried:
         of["n_chars"] = F.char_length(of["text"]).cast(docs.schema["n_chars"].dataType)
     return found.select(*[of[c].alias(c) for c in docs.columns])
