@@ -2,10 +2,8 @@
 
 MinHash bands propose pairs, the sets themselves prove them. With BANDS bands of ROWS minima, a
 pair at the threshold shares no band with probability (1 - 0.8^5)^30 = 7e-6, a closer one less.
-Documents with equal sets are one node throughout. Members of a bucket are first compared with one
-pivot each, so that a large group of near copies becomes one component without all of its pairs;
-buckets that still hold several components are compared with other pivots while they make too many
-pairs, and then pair by pair.
+Documents with equal sets are one node throughout. ``similar_sets`` finds the components of what
+shares a band.
 """
 
 from __future__ import annotations
@@ -15,8 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnish.llm.components import component_roots
 from tarnish.llm.repeats import KEY
+from tarnish.llm.similar_sets import Likeness, similar_components
 from tarnish.llm.texts import _odd, mixed, per_text, span_hashes, window_hashes, word_hashes
 from tarnish.session import stored
 
@@ -24,8 +22,6 @@ SHINGLE = 5
 #: The least similarity, as a fraction.
 SIMILAR = (4, 5)
 BANDS, ROWS = 30, 5
-#: Pairs per row of the buckets above which another round of pivots comes before all pairs.
-WIDE, ROUNDS = 4, 6
 SEED = 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FACTORS = _odd(17, BANDS * ROWS)
@@ -59,80 +55,20 @@ def _nodes(texts: list[str]) -> dict:
     return {"node": node, "n": [len(s) for s in sets], "bands": bands}
 
 
-def _sets(texts: list[str]) -> dict:
-    return {"shingles": [shingle_set(t).view(np.int64) for t in texts]}
-
-
-def _fits(a: str, b: str):
-    """Whether the sizes alone allow the similarity."""
-    low, high = SIMILAR
-    return (F.least(a, b) * high >= F.greatest(a, b) * low) & (F.col(a) > 0)
-
-
-def proven(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    low, high = SIMILAR
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(left, "a").join(right, "b").where(both * (low + high) >= (F.size("of_a") + F.size("of_b")) * low).select("a", "b")
-
-
-def _pivot_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each member of a bucket and the bucket's pivot of this turn, if their components differ."""
-    one = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn)))
-    pivots = rows.groupBy("bucket").agg(one.alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.root").alias("pivot_root"))
-    met = rows.join(pivots, "bucket").where((F.col("root") != F.col("pivot_root")) & _fits("n", "pivot_n"))
-    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-
-
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): the members of a bucket that are in different components."""
-    left = rows.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    right = rows.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    return left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _fits("n_a", "n_b")).select("a", "b").distinct()
-
-
-def _undecided(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, node, n, root) of the buckets that hold several components."""
-    named = rows.select("bucket", "node", "n").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    return stored(named.join(several, "bucket", "left_semi"), "undecided")
-
-
-def _cross_pairs(rows: DataFrame) -> int:
-    """How many pairs of different components the buckets hold."""
-    of = rows.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("m")).groupBy("bucket").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
-    return int(of.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0)
-
-
 def copy_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): each node but the smallest of its component, with that smallest.
+    """(a, b): each node but one of its component, with that one.
 
     ``nodes`` has (node, n, bands, one): the key of one document each, whose text is in ``docs`` (text, KEY).
     """
-    dealt = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    rows = stored(dealt.join(shared, "bucket").select("bucket", "node", "n", F.col("node").alias("root")), "buckets")
-    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "one.ka", "one.kb")
-    held = docs.select("text", *KEY).join(wanted, KEY).groupBy("node").agg(F.first("text").alias("text"))
-    sets = stored(per_text(held, _sets, "shingles array<long>"), "sets")
-    links = stored(proven(_pivot_pairs(rows, 0), sets), "links")
-    roots = component_roots(links)
-    rows = _undecided(rows, roots)
-    for turn in range(1, ROUNDS):
-        if _cross_pairs(rows) <= WIDE * rows.count():
-            break
-        links = links.unionByName(stored(proven(_pivot_pairs(rows, turn), sets), "links"))
-        roots = component_roots(links)
-        rows = _undecided(rows, roots)
-    if rows.isEmpty():
-        return roots
-    return component_roots(links.unionByName(stored(proven(_all_pairs(rows), sets), "links")))
+    marked = nodes.where("n > 0").withColumnRenamed("bands", "marks")
+    return similar_components(marked, docs, marked.select("node", F.explode("marks").alias("bucket")), Likeness(shingle_set, SIMILAR, (BANDS,)))
 
 
 def one_of_each(keyed: DataFrame) -> DataFrame:
-    """(ka, kb) of one document of each component of ``keyed`` (row, text, KEY): that of the smallest id, null ids last, then of the smallest text hash."""
+    """(ka, kb) of one document of each component of ``keyed`` (row, text, KEY): that of the smallest id, null ids last, then of the smallest text hash.
+
+    Texts without words (null, empty, blank) have equal sets and are copies of each other.
+    """
     marked = stored(per_text(keyed.select("text", *KEY, F.col("row.doc_id").isNull().alias("last")), _nodes, "node long, n long, bands array<long>"), "nodes")
     nodes = stored(marked.groupBy("node").agg(F.min(F.struct("last", *KEY)).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     roots = copy_links(nodes, keyed).select(F.col("a").alias("node"), F.col("b").alias("root"))

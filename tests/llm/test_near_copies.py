@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tarnish.llm import near_copies
+from tarnish.llm import near_copies, similar_sets
 from test_tables import ROWS, as_key
 
 
@@ -60,9 +60,9 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize("rounds", [near_copies.ROUNDS, 1])
-def test_stage_against_brute_force(spark, monkeypatch, copies, rounds):
-    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+@pytest.mark.parametrize("members", [similar_sets.MEMBERS, 4])
+def test_stage_against_brute_force(spark, monkeypatch, copies, members):
+    monkeypatch.setattr(similar_sets, "MEMBERS", members)
     docs = spark.createDataFrame(copies, "doc_id long, text string")
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns
