@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnish.llm.oracles import ORACLES as ORACLES
-from tarnish.llm import classifier, decontamination, licences, packing, quality_rules, simhash, suffix_array, suffix_trees, token_files, url_rules
+from tarnish.llm import classifier, decontamination, licences, minhash_tables, packing, quality_rules, simhash, source_audit, suffix_array, suffix_trees, token_files, url_rules, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +84,18 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @register("op10_suffix_array")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_array.dedup_bytes(table(spark, sf, "documents"))
+
+
+@register("op11_source_audit")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return source_audit.source_divergences(table(spark, sf, "documents"))
+
+
+@register("op12_vector_codes")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf, "embeddings"))
+
+
+@register("op13_minhash")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash_tables.minhash_duplicates(table(spark, sf, "documents"))
