@@ -26,7 +26,7 @@ from tarnish.session import stored
 SHINGLE = 4
 #: The least similarity, as a fraction.
 SIMILAR = (80, 100)
-HALVES, ROWS = 16, 3
+HALVES, ROWS = 22, 4
 _FACTORS = _odd(23, 2 * HALVES * ROWS)
 _FOLDS = _odd(29, 2 * HALVES * ROWS).reshape(2 * HALVES, ROWS)
 
@@ -58,9 +58,10 @@ def table_rows(nodes: DataFrame) -> DataFrame:
     """(bucket, node): each set's keys in the tables, those left out whose first half no other set has."""
     firsts = nodes.select("node", F.explode(F.slice("marks", 1, HALVES)).alias("first"))
     shared = stored(firsts.groupBy("first").agg(F.count("*").alias("m")).where("m > 1").select("first"), "half_keys")
-    met = stored(firsts.join(shared, "first"), "half_rows")
-    seconds = nodes.select("node", F.slice("marks", HALVES + 1, HALVES).alias("seconds"))
-    paired = met.join(seconds, "node").select("node", "first", F.explode("seconds").alias("second"))
+    # a node's half keys, HALVES at most, meet those of the other collection in one row
+    met = firsts.join(shared, "first").groupBy("node").agg(F.collect_set("first").alias("firsts"))
+    both = nodes.select("node", F.slice("marks", HALVES + 1, HALVES).alias("seconds")).join(met, "node")
+    paired = both.select("node", "seconds", F.explode("firsts").alias("first")).select("node", "first", F.explode("seconds").alias("second"))
     return paired.select(F.xxhash64("first", "second").alias("bucket"), "node")
 
 

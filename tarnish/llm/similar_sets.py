@@ -94,7 +94,8 @@ class Sets:
 
     def bridges(self, asking: np.ndarray, root: np.ndarray) -> tuple[list[int], list[int]]:
         """Links from the sets that ask to sets of components they are not joined with, one for each component."""
-        left, right = [], []
+        left: list[int] = []
+        right: list[int] = []
         root = root.copy()
         for one in asking:
             found = self.linked(one, np.flatnonzero(root != root[one]))
@@ -105,7 +106,7 @@ class Sets:
         return left, right
 
 
-def _per_group(rows: DataFrame, keys: list[str], likeness: Likeness, solve: Callable[[Sets, pa.RecordBatch], tuple]) -> DataFrame:
+def _per_group(rows: DataFrame, keys: list[str], likeness: Likeness, solve: Callable[[Sets, np.ndarray, pa.Table, np.ndarray], tuple]) -> DataFrame:
     """(a, b): what ``solve`` links in each group of rows (node, marks, text, ...), a group at a time."""
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "node")
 
@@ -116,8 +117,8 @@ def _per_group(rows: DataFrame, keys: list[str], likeness: Likeness, solve: Call
         _, first, place = np.unique(node, return_index=True, return_inverse=True)
         texts = group.column("text").take(pa.array(first)).to_pylist()
         marks = group.column("marks").take(pa.array(first)).combine_chunks().flatten().to_numpy().reshape(len(first), -1)
-        left, right = solve(Sets(likeness, [likeness.shingles(t) for t in texts], marks), group, place)
-        return pa.RecordBatch.from_arrays([pa.array(node[first][left], pa.int64()), pa.array(node[first][right], pa.int64())], names=["a", "b"])
+        left, right = solve(Sets(likeness, [likeness.shingles(t) for t in texts], marks), node[first], group, place)
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -140,16 +141,17 @@ def _per_group(rows: DataFrame, keys: list[str], likeness: Likeness, solve: Call
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _within(sets: Sets, group: pa.Table, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _within(sets: Sets, nodes: np.ndarray, group: pa.Table, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     root = sets.reached()
     tied = np.flatnonzero(root != np.arange(len(root)))
-    return tied, root[tied]
+    return nodes[tied], nodes[root[tied]]
 
 
-def _across(sets: Sets, group: pa.Table, place: np.ndarray) -> tuple[list[int], list[int]]:
-    roots = np.zeros(len(sets.sizes), dtype=np.int64)
+def _across(sets: Sets, nodes: np.ndarray, group: pa.Table, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    roots = np.zeros(len(nodes), dtype=np.int64)
     roots[place] = group.column("root").to_numpy()
-    return sets.bridges(np.unique(place[group.column("asks").to_numpy(zero_copy_only=False)]), roots)
+    left, right = sets.bridges(np.unique(place[group.column("asks").to_numpy(zero_copy_only=False)]), roots)
+    return roots[left], roots[right]
 
 
 def _blocks(n, shingles):
@@ -183,33 +185,43 @@ def similar_components(nodes: DataFrame, docs: DataFrame, meetings: DataFrame, l
     dealt = stored(_dealt(nodes.join(members, "node"), 0), "clusters")
     sets = stored(_texts(docs, dealt), "sets")
     solve = lambda rows: stored(_per_group(rows.join(sets, "node"), ["cluster", "block"], likeness, _within), "links")
-    links = solve(dealt.select("node", "cluster", "block"))
-    large = dealt.where("blocks > 1").select("node", "n", "cluster", "blocks")
-    if large.isEmpty():
-        return links
-    fewer, turn, before = True, 1, large.count()
+    roots = solve(dealt.select("node", "cluster", "block"))
+    large = dealt.where("blocks > 1").select("node", "n", "cluster")
+    size = large.count()
+    if not size:
+        return roots
+    firsts, fewer, turn = large.join(roots.select(F.col("a").alias("node")), "node", "left_anti"), True, 1
     while fewer:
-        # one set of each component, while that makes them fewer
-        first = stored(_dealt(large.select("node", "n", "cluster").join(component_roots(links).select(F.col("a").alias("node")), "node", "left_anti"), turn), "firsts")
-        links = links.unionByName(solve(first.select("node", "cluster", "block")))
-        now = first.count()
-        fewer, turn, before = first.where("blocks > 1").limit(1).count() > 0 and 2 * now < before, turn + 1, now
-    return component_roots(links.unionByName(_last_links(large, rows, sets, links, likeness)))
-
-
-def _last_links(large: DataFrame, meetings: DataFrame, sets: DataFrame, links: DataFrame, likeness: Likeness) -> DataFrame:
-    """Links between components that meet in a bucket: each set there outside the cluster's largest component against all there."""
-    roots = component_roots(links).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    named = stored(large.select("node", "n", "cluster").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+        # one set of each component found so far, while that makes them fewer
+        first = stored(_dealt(firsts.select("node", "n", "cluster"), turn), "firsts")
+        tied = solve(first.select("node", "cluster", "block"))
+        roots = stored(_led_on(roots, tied), "roots")
+        now, most = first.agg(F.count("*"), F.max("blocks")).first()
+        firsts, fewer, size, turn = first.join(tied.select(F.col("a").alias("node")), "node", "left_anti"), most > 1 and 2 * now < size, now, turn + 1
+    bridges = _bridges(large, rows, sets, roots, likeness)
+    return roots if bridges is None else _led_on(roots, component_roots(bridges))
+
+
+def _led_on(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """Stars whose centres may be tied to others: (a, b) of both, with the last b."""
+    further = more.select(F.col("a").alias("b"), F.col("b").alias("last"))
+    return roots.join(further, "b", "left").select("a", F.coalesce("last", "b").alias("b")).unionByName(more)
+
+
+def _bridges(large: DataFrame, meetings: DataFrame, sets: DataFrame, roots: DataFrame, likeness: Likeness) -> DataFrame | None:
+    """(a, b): components that are linked, of those that meet in a bucket: each set there outside the cluster's largest component against all there."""
+    of = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    named = stored(large.join(of, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     met = meetings.select("bucket", "node").join(named.select("node", "root"), "node")
     several = stored(met.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket"), "undecided")
-    open_nodes = met.join(several, "bucket", "left_semi").select("node").distinct()
-    left = stored(named.join(open_nodes, "node", "left_semi"), "left")
-    sizes = left.groupBy("cluster", "root").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
-    marked = stored(left.join(sizes, "cluster").withColumn("asks", F.col("root") != F.col("main")), "asking")
+    if several.isEmpty():
+        return None
+    left = stored(named.join(met.join(several, "bucket", "left_semi").select("node").distinct(), "node", "left_semi"), "left")
+    main = left.groupBy("cluster", "root").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
+    marked = stored(left.join(main, "cluster").withColumn("asks", F.col("root") != F.col("main")), "asking")
     asking = F.when(F.col("asks"), F.col("n"))
     blocks = stored(marked.groupBy("cluster").agg(_blocks(F.count("*"), F.sum("n")).alias("of_all"), _blocks(F.count(asking), F.coalesce(F.sum(asking), F.lit(0))).alias("of_asking")), "blocks")
     placed = marked.join(blocks, "cluster").withColumn("i", F.pmod(F.xxhash64("node", F.lit(-1)), "of_asking")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(-2)), "of_all"))
     asks = placed.where("asks").select("node", "cluster", "root", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of_all") - 1)).alias("j"), F.lit(True).alias("asks"))
     answers = placed.select("node", "cluster", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of_asking") - 1)).alias("i"), "j", F.lit(False).alias("asks"))
-    return stored(_per_group(asks.unionByName(answers).join(sets, "node"), ["cluster", "i", "j"], likeness, _across), "links")
+    return _per_group(asks.unionByName(answers).join(sets, "node"), ["cluster", "i", "j"], likeness, _across)
