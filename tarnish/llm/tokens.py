@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-#: Words whose ids a Python worker remembers between slices, and how many it asks for at a time.
+#: Words whose ids a Python worker remembers between slices, in two generations, and how many it asks for at a time.
 REMEMBERED = 700_000
 ASKED = 20_000
 #: Marks after a letter: the vocabulary's pattern keeps letters and marks apart.
@@ -43,6 +44,8 @@ class Encoder:
         self.starts[[i for token, i in vocabulary.items() if token.startswith(SPACE_MARK)]] = True
         #: ids of a word and the space before it; False for a word beside which a cut is not safe
         self.known: dict[str, bytes | bool] = {}
+        #: the generation before; words that are met again move to the present one
+        self.older: dict[str, bytes | bool] = {}
         self.marks: dict[str, bytes] = {}
         #: the same merges for pieces that are already split and written byte by byte
         self.merger = Tokenizer.from_file(path)
@@ -56,12 +59,13 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Remember new words: the library is asked for what is left of them without marks at the end."""
+        words = self._recalled(words)
         self.known.update(dict.fromkeys(words, False))
         plain = [w for w in words if w.isalpha()]
         others = [w for w in words if not w.isalpha()]
         marked = {w: stem for w in others if (stem := w.rstrip(MARKS)).isalpha()}
         stems = set(marked.values())
-        plain += stems.difference(self.known)
+        plain += self._recalled(stems.difference(self.known))
         # letters alone are one piece, which needs no splitting, only the merges
         self._ask(self.merger, SPLIT, [SPACE_MARK + (w if w.isascii() else w.encode().decode("latin-1").translate(LETTERS)) for w in plain], plain)
         rest = [w for w in others if w and w not in marked and not w[0].isspace() and not w[-1].isspace()]
@@ -72,6 +76,13 @@ class Encoder:
                 self.marks[marks] = self.whole(marks)
             self.known[w] = self.known[stem] + self.marks[marks]
 
+    def _recalled(self, words: Iterable[str]) -> list[str]:
+        """Take words over from the older generation; those that it does not hold."""
+        older = self.older
+        again = [w for w in words if w in older]
+        self.known.update(zip(again, map(older.__getitem__, again)))
+        return [w for w in words if w not in older]
+
     def _ask(self, tokenizer: Tokenizer, between: str, texts: list[str], words: list[str]) -> None:
         for lo in range(0, len(texts), ASKED):
             part = texts[lo : lo + ASKED]
@@ -84,8 +95,8 @@ class Encoder:
             self.known.update(zip(words[lo : lo + ASKED], [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.marks = {}, {}
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known, self.marks = self.known, {}, {}
         done: list[bytes | None] = []
         waiting: list[tuple[int, list[str], list, list[int]]] = []
         missing: set[str] = set()
