@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnish.llm.texts import SPACES
+from tarnish.llm.texts import SPACES, unused
 from tarnish.session import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,8 +85,9 @@ def contained_items(docs: DataFrame, items: DataFrame, contained: float = CONTAI
 
 def documents_without_items(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """The documents, all columns, that contain no item."""
-    found = _proven(docs, items, contained).select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("c_id")) & (F.xxhash64(docs["text"]) == F.col("c_key")), "left_anti")
+    c_id, c_key = unused(docs, "c_id"), unused(docs, "c_key")
+    found = _proven(docs, items, contained).select(F.col("doc_id").alias(c_id), F.col("text_key").alias(c_key)).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col(c_id)) & (F.xxhash64(docs["text"]) == F.col(c_key)), "left_anti")
 
 
 def _proven(docs: DataFrame, items: DataFrame, contained: float) -> DataFrame:

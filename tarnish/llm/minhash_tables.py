@@ -1,13 +1,14 @@
 """MinHash near-duplicates with tensored banding.
 
-A table's key would take 2 x ROWS minima, and the tables needed take hundreds of them. Instead there
-are two small collections of HALVES half keys, each of ROWS minima, and a table for each pair of a half
-key of the one and a half key of the other: HALVES^2 tables from 2 x HALVES x ROWS minima. Two sets
-meet in a table if they share a half key of either collection; at the least similarity s they fail to with
-probability 1 - (1 - (1 - s^ROWS)^HALVES)^2 = 2e-5 at most.
-
-Half keys of the first collection that a set has alone are dropped before any pair is made, so a
-document without near copies takes HALVES rows. What meets in a table is verified on the full sets (``similar_sets``).
+A table's key of 2 x ROWS minima would need hundreds of tables, each with minima of its own. Instead
+there are two small collections of HALVES half keys, each of ROWS minima, and a table for each pair of a
+half key of the one and a half key of the other: HALVES^2 tables from 2 x HALVES x ROWS minima. Two
+sets meet in a table if they share a half key of either collection; at the least similarity s they
+fail to with probability 1 - (1 - (1 - s^ROWS)^HALVES)^2 = 2e-5 at most.
+
+Sets gather by half keys of the first collection, HALVES rows each, and those of the second complete the
+key where sets are compared: only pairs that meet in a table are verified, on the full sets
+(``similar_sets``). Where a half key leaves many sets undecided, its tables are written out.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from tarnish.session import stored
 SHINGLE = 4
 #: The least similarity, as a fraction.
 SIMILAR = (80, 100)
-HALVES, ROWS = 22, 4
+HALVES, ROWS = 38, 6
 _FACTORS = _odd(23, 2 * HALVES * ROWS)
 _FOLDS = _odd(29, 2 * HALVES * ROWS).reshape(2 * HALVES, ROWS)
 
@@ -54,15 +55,13 @@ def _marked(texts: list[str]) -> dict:
     return {"node": node, "n": [len(s) for s in sets], "marks": marks}
 
 
-def table_rows(nodes: DataFrame) -> DataFrame:
-    """(bucket, node): each set's keys in the tables, those left out whose first half no other set has."""
-    firsts = nodes.select("node", F.explode(F.slice("marks", 1, HALVES)).alias("first"))
-    shared = stored(firsts.groupBy("first").agg(F.count("*").alias("m")).where("m > 1").select("first"), "half_keys")
+def table_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(bucket, node, root) by whole keys for rows (bucket, node, root) by half keys of the first collection."""
     # a node's half keys, HALVES at most, meet those of the other collection in one row
-    met = firsts.join(shared, "first").groupBy("node").agg(F.collect_set("first").alias("firsts"))
+    met = rows.groupBy("node", "root").agg(F.collect_set("bucket").alias("firsts"))
     both = nodes.select("node", F.slice("marks", HALVES + 1, HALVES).alias("seconds")).join(met, "node")
-    paired = both.select("node", "seconds", F.explode("firsts").alias("first")).select("node", "first", F.explode("seconds").alias("second"))
-    return paired.select(F.xxhash64("first", "second").alias("bucket"), "node")
+    paired = both.select("node", "root", "seconds", F.explode("firsts").alias("first")).select("node", "root", "first", F.explode("seconds").alias("second"))
+    return paired.select(F.xxhash64("first", "second").alias("bucket"), "node", "root")
 
 
 def minhash_duplicates(docs: DataFrame) -> DataFrame:
@@ -78,7 +77,9 @@ def minhash_duplicates(docs: DataFrame) -> DataFrame:
     marked = stored(per_text(keyed.select(F.col("row.doc_id").alias("doc_id"), "text", *KEY), _marked, "node long, n long, marks array<long>"), "marked")
     full = marked.where("n > 0")
     nodes = stored(full.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(*KEY)).alias("one"), F.first("n").alias("n"), F.first("marks").alias("marks")), "nodes")
-    roots = similar_components(nodes.select("node", "n", "marks", "one"), keyed, stored(table_rows(nodes), "table_rows"), Likeness(word_set, SIMILAR, (HALVES, HALVES)))
+    gathered = nodes.select("node", F.explode(F.slice("marks", 1, HALVES)).alias("bucket"))
+    likeness = Likeness(word_set, SIMILAR, (HALVES, HALVES))
+    roots = similar_components(nodes.select("node", "n", "marks", "one"), keyed, gathered, likeness, lambda rows: table_rows(rows, nodes))
     named = stored(nodes.select("node", "least").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     ids = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     of_node = stored(named.join(ids, "root").select("node", "component_id"), "of_node")

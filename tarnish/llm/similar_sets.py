@@ -172,11 +172,16 @@ def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return held.groupBy("node").agg(F.first("text").alias("text"), F.first("marks").alias("marks"))
 
 
-def similar_components(nodes: DataFrame, docs: DataFrame, meetings: DataFrame, likeness: Likeness) -> DataFrame:
+Narrowing = Callable[[DataFrame], DataFrame]
+
+
+def similar_components(nodes: DataFrame, docs: DataFrame, meetings: DataFrame, likeness: Likeness, narrowed: Narrowing | None = None) -> DataFrame:
     """(a, b): each node but the first of its component, with that first.
 
     ``nodes`` has (node, n, marks, one): a set's hash, its size, its marks and the key of a document that
-    has it, whose text is in ``docs`` (text, KEY). ``meetings`` has (bucket, node).
+    has it, whose text is in ``docs`` (text, KEY). ``meetings`` has (bucket, node). ``narrowed`` turns
+    rows (bucket, node, root) of buckets that leave sets of a large cluster undecided into rows of
+    smaller buckets, in which all candidates among them still meet.
     """
     shared = stored(meetings.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("m")).where("m > 1").select("bucket", "least"), "buckets")
     rows = stored(meetings.join(shared, "bucket"), "meetings")
@@ -198,7 +203,7 @@ def similar_components(nodes: DataFrame, docs: DataFrame, meetings: DataFrame, l
         roots = stored(_led_on(roots, tied), "roots")
         now, most = first.agg(F.count("*"), F.max("blocks")).first()
         firsts, fewer, size, turn = first.join(tied.select(F.col("a").alias("node")), "node", "left_anti"), most > 1 and 2 * now < size, now, turn + 1
-    bridges = _bridges(large, rows, sets, roots, likeness)
+    bridges = _bridges(large, rows, sets, roots, likeness, narrowed)
     return roots if bridges is None else _led_on(roots, component_roots(bridges))
 
 
@@ -208,14 +213,22 @@ def _led_on(roots: DataFrame, more: DataFrame) -> DataFrame:
     return roots.join(further, "b", "left").select("a", F.coalesce("last", "b").alias("b")).unionByName(more)
 
 
-def _bridges(large: DataFrame, meetings: DataFrame, sets: DataFrame, roots: DataFrame, likeness: Likeness) -> DataFrame | None:
+def _undecided(met: DataFrame) -> DataFrame:
+    """The buckets of rows (bucket, node, root) that hold several components."""
+    return stored(met.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket"), "undecided")
+
+
+def _bridges(large: DataFrame, meetings: DataFrame, sets: DataFrame, roots: DataFrame, likeness: Likeness, narrowed: Narrowing | None) -> DataFrame | None:
     """(a, b): components that are linked, of those that meet in a bucket: each set there outside the cluster's largest component against all there."""
     of = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
     named = stored(large.join(of, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     met = meetings.select("bucket", "node").join(named.select("node", "root"), "node")
-    several = stored(met.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket"), "undecided")
+    several = _undecided(met)
     if several.isEmpty():
         return None
+    if narrowed is not None:
+        met = stored(narrowed(met.join(several, "bucket", "left_semi")), "narrowed")
+        several = _undecided(met)
     left = stored(named.join(met.join(several, "bucket", "left_semi").select("node").distinct(), "node", "left_semi"), "left")
     main = left.groupBy("cluster", "root").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
     marked = stored(left.join(main, "cluster").withColumn("asks", F.col("root") != F.col("main")), "asking")

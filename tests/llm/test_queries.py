@@ -8,8 +8,10 @@ from __spark_entry__ import oracle_sql, queries
 from check import connect, difference
 from tarnish.llm import oracles
 from tarnish.session import stored
+from pyspark.sql import functions as F
+
 from test_near_copies import brute_kept
-from test_tables import as_key, brute_contained, check_packing, covered
+from test_tables import CLASHES, as_key, brute_contained, check_packing, covered
 
 
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
@@ -56,3 +58,16 @@ def test_pipeline_stages_against_brute_force(spark, data):
     used = check_packing(packed, 2048)
     assert set(packed["doc_id"]) == {d for d, _ in rows_in(results["decontamination"])}
     assert used <= 1.02 * (-(-packed["length"].sum() // 2048)) + 1
+
+
+def test_pipeline_of_no_documents_and_of_clashing_columns(spark, data, tmp_path):
+    """Stages keep all columns, whatever they are called; an empty table gives an empty one."""
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    named = table.limit(40).select("*", *[F.lit("clash").alias(c) for c in (*CLASHES, "score", "node", "marks", "cluster")])
+    for docs in (named, table.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stored(stage(spark, docs, data), name)
+            if name != "packing":
+                assert out.columns == docs.columns
+            docs = out
+    assert docs.isEmpty()

@@ -274,5 +274,8 @@ def test_tables_propose_pairs_at_the_threshold():
 def test_key_tables_are_pairs_of_half_keys(spark):
     half = minhash_tables.HALVES
     rows = [(1, [*range(half), *range(100, 100 + half)]), (2, [*range(half), *range(200, 200 + half)]), (3, [*range(50, 50 + half), *range(100, 100 + half)])]
-    got = minhash_tables.table_rows(spark.createDataFrame(rows, "node long, marks array<long>")).collect()
-    assert Counter(r["node"] for r in got) == {1: half * half, 2: half * half}
+    nodes = spark.createDataFrame(rows, "node long, marks array<long>")
+    gathered = nodes.selectExpr("explode(slice(marks, 1, 2)) AS bucket", "node", "node AS root")
+    got = minhash_tables.table_rows(gathered, nodes).collect()
+    assert Counter(r["node"] for r in got) == dict.fromkeys((1, 2, 3), 2 * half)
+    assert len({r["bucket"] for r in got}) == 6 * half  # no two of these share a whole key

@@ -15,7 +15,7 @@ from tarnish.llm.components import component_roots
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PASSAGE = " ".join(f"word{i % 40}x{i}" for i in range(60))
-CLASHES = ("n", "h", "at", "kept", "row", "key", "fp", "item", "hash", "ka", "spans")
+CLASHES = ("n", "h", "at", "kept", "row", "key", "fp", "item", "hash", "ka", "spans", "c_id", "c_key", "text_key", "guessed")
 
 
 def own(i, n=50):
