@@ -498,9 +498,10 @@ def order_radius(m: int, independent: int) -> str:
     return f"sqrt(2 * ln(2 * {m} / 0.05) / {independent})"
 
 
-def orders_cte(count: str, antithetic: bool = False, draws: str | None = None) -> list[tuple[str, str]]:
+def orders_cte(
+    count: str, antithetic: bool = False, draws: str | None = None, m: int = len(cfg.CHANNELS)
+) -> list[tuple[str, str]]:
     """CTEs ``ord`` (draw, position, idx, bit, player) and ``walk`` (adds mask and before)."""
-    m = len(cfg.CHANNELS)
     base = "draw - draw % 2" if antithetic else "draw"
     key = roll(f"({base}) * {m} + idx", seed_words("orders", cfg.SEED))
     place = f"row_number() OVER (PARTITION BY draw ORDER BY {key}, idx) - 1"
@@ -523,6 +524,23 @@ CONTRIB = (
 )
 
 
+def double_bits(x: str) -> str:
+    """SQL value: a double's 53 binary digits as a whole number, and its power of two."""
+    size = f"abs({x}::DOUBLE)"
+    guess = f"floor(log2(greatest({size}, 4.9e-324::DOUBLE)))"
+
+    def leading(power: str) -> str:
+        half = f"floor(-({power}) / 2)"
+        return f"({size} * pow(2::DOUBLE, {half}) * pow(2::DOUBLE, -({power}) - {half}))"
+
+    power = f"({guess} + CASE WHEN {leading(guess)} >= 2 THEN 1 WHEN {leading(guess)} < 1 THEN -1 ELSE 0 END)"
+    return (
+        f"CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) THEN 'NaN' WHEN {x} = 0 THEN '0'"
+        f" ELSE CASE WHEN {x} < 0 THEN '-' ELSE '' END || CASE WHEN isinf({x}) THEN 'Infinity'"
+        f" ELSE TRY_CAST({leading(power)} * 4503599627370496 AS BIGINT)::VARCHAR || 'p' || TRY_CAST({power} AS BIGINT)::VARCHAR END END"
+    )
+
+
 # ---- the oracles -------------------------------------------------------------
 
 
@@ -532,7 +550,7 @@ def source_sql() -> dict[str, str]:
         f" {r('unit_price', 9)} AS unit_price, discount, status FROM fact"
     )
     prints = []
-    number = "floor({}::DOUBLE * 1e9)::BIGINT::VARCHAR".format
+    number = double_bits
     written = {
         "text": "{}::VARCHAR".format,
         "number": number,
@@ -560,6 +578,7 @@ def source_sql() -> dict[str, str]:
     return {
         "star_fact": STAR.select(rows),
         "star_customers": STAR.select("SELECT * FROM cust"),
+        "lookup_csv": STAR.select("SELECT customer_id, CASE WHEN region = 'ASIA' THEN 'Unknown' ELSE region END AS region, segment FROM cust"),
         "star_products": STAR.select("SELECT * FROM prod"),
         "star_events": EVENTS.select(
             "SELECT order_id, customer_id, region, segment, product_id, category,"
@@ -744,8 +763,8 @@ def channel_sql() -> dict[str, str]:
     more = "(SELECT o.* FROM oh o UNION ALL SELECT o.* FROM (SELECT order_id, unnest(range(k)) FROM dup) JOIN oh o USING (order_id))"
     moved = "SELECT customer_id, CASE WHEN hit_dd THEN next_region ELSE region END AS region, segment FROM ch"
     reach = base_repeats().select(
-        "SELECT severity, repeat::INTEGER AS repeat, channel, kind, affected, "
-        f"{r('affected::DOUBLE / size')} AS realized_rate, impacted_orders, linked_orders,"
+        "SELECT severity, repeat::INTEGER AS repeat, channel, kind, affected, CASE channel WHEN 'value_noise' THEN 1::DOUBLE"
+        f" WHEN 'stale_timestamps' THEN 365::DOUBLE END AS setting, {r('affected::DOUBLE / size')} AS realized_rate, impacted_orders, linked_orders,"
         f" {r('impacted_orders::DOUBLE / affected')} AS fact_amplification FROM ("
         + " UNION ALL ".join(
             f"SELECT severity, repeat, '{name}' AS channel, '{kind}' AS kind, {hit_count('severity', size)} AS affected,"
@@ -785,7 +804,6 @@ def surface_sql() -> dict[str, str]:
     full = 63
     # the damaged answers of the full combination against the clean ones
     per_query = f"SELECT query, {r('loss')} AS loss FROM losses WHERE mask = {full}"
-    both = surface(STAR, [cfg.SEVERITY], range(2))
     names = sorted((n, 1 << i) for i, n in enumerate(cfg.CHANNELS))
     listed = "list_filter([" + ", ".join(f"CASE WHEN mask & {b} <> 0 THEN '{n}' END" for n, b in names) + "], lambda x: x IS NOT NULL)"
     key = f"CASE WHEN mask = 0 THEN 'EMPTY' ELSE array_to_string({listed}, '|') END"
@@ -843,7 +861,35 @@ def surface_sql() -> dict[str, str]:
         "risk_surface": LINES.select(
             f"SELECT severity, repeat::INTEGER AS repeat, query, mask, {r('loss')} AS loss FROM losses"
         ),
-        "risk_observations": both.add_all(
+        "direct_risk_surface": LINES.add_all(
+            [
+                (
+                    "texts",
+                    "SELECT sid, repeat, mask, 'status_by_region' AS query, region || '|' || status AS key, 'n' AS measure, sum(w)::DOUBLE AS v"
+                    " FROM hurt WHERE NOT orphan GROUP BY ALL UNION ALL"
+                    " SELECT sid, repeat, mask, 'status_by_region', region || '|' || status, 'd', sum(w * discount) / sum(w)"
+                    " FROM hurt WHERE NOT orphan GROUP BY ALL UNION ALL"
+                    " SELECT sid, repeat, mask, 'all_quantity', '', 'q', sum(w * quantity) FROM hurt WHERE status <> 'cancelled' GROUP BY ALL"
+                    " UNION ALL SELECT sid, repeat, mask, 'list_price', h.category, 'top', max(base_price)"
+                    " FROM hurt h JOIN prod USING (product_id) GROUP BY ALL",
+                ),
+                (
+                    "text_pairs",
+                    "SELECT repeat, query, measure, mask, key, sum(ref) AS ref, sum(obs) AS obs FROM ("
+                    "SELECT repeat, query, measure, m.mask, key, v AS ref, 0 AS obs FROM texts t, masks m WHERE t.mask = 0"
+                    " UNION ALL SELECT repeat, query, measure, mask, key, 0, v FROM texts) GROUP BY ALL",
+                ),
+                (
+                    "text_losses",
+                    "SELECT repeat, query, measure, mask, least(1, sum(abs(obs - ref)) / (sum(abs(ref)) + 1e-12)) AS loss"
+                    " FROM text_pairs GROUP BY ALL",
+                ),
+            ]
+        ).select(
+            f"SELECT {cfg.SEVERITY}::DOUBLE AS severity, repeat::INTEGER AS repeat, query, mask::BIGINT AS mask, {r('avg(loss)')} AS loss"
+            " FROM text_losses GROUP BY ALL"
+        ),
+        "risk_observations": LINES.add_all(
             [
                 (
                     "reach",
@@ -858,6 +904,11 @@ def surface_sql() -> dict[str, str]:
             " any_value(CASE WHEN mask & 16 = 0 THEN 0 WHEN mask & 4 <> 0 THEN linked ELSE touched END)::BIGINT AS impacted_orders"
             " FROM losses JOIN reach USING (repeat), sizes GROUP BY repeat, mask"
         ),
+        "result_files": LINES.select(
+            f"SELECT repeat::INTEGER AS repeat, mask::BIGINT AS mask, {r('avg(loss)')} AS loss, bit_count(mask)::INTEGER AS members,"
+            f" {r('max(CASE WHEN query = \'daily_revenue\' THEN loss END)')} AS daily_loss FROM losses GROUP BY 1, 2, mask"
+        ),
+        "coalition_masks": LINES.select(f"SELECT mask::BIGINT AS mask, {key} AS coalition_key, {r('value')} AS value FROM game"),
         "coalition_means": LINES.select(f"SELECT {key} AS coalition_key, {r('value')} AS value FROM game"),
         "design_check": LINES.select(
             "SELECT query, count(*)::BIGINT AS rows, count(DISTINCT repeat * 64 + mask)::BIGINT AS cells,"
@@ -867,9 +918,9 @@ def surface_sql() -> dict[str, str]:
         ),
         "evidence_checks": evidence.select(" UNION ALL ".join(checks)),
         "dose_response": estimates(dose, "severity"),
-        "prefix_coalitions": ONE.add_all([players(), *orders_cte("8")]).select(
-            f"SELECT mask, {r('avg(loss)')} AS loss FROM losses WHERE mask IN"
-            " (SELECT mask FROM walk UNION SELECT before FROM walk) GROUP BY 1"
+        "prefix_coalitions": LINES.add_all([players(), *orders_cte("8")]).select(
+            f"SELECT repeat::INTEGER AS repeat, mask, {r('avg(loss)')} AS loss FROM losses WHERE mask IN"
+            " (SELECT mask FROM walk UNION SELECT before FROM walk) GROUP BY 1, 2"
         ),
     }
 
@@ -950,7 +1001,10 @@ def attribution_sql() -> dict[str, str]:
         "accounting_vs_gain": accounts(populations(), "prisks", "regime").select(
             f"SELECT regime, player AS channel, {r('debt')} AS debt, {r('current_gain')} AS repair_gain {phi}"
         ),
-        "bootstrap_draws": booted.select("SELECT draw, slot, repeat FROM slots"),
+        "bootstrap_draws": booted.select(
+            "SELECT draw, mask, count(*)::BIGINT AS slots, min(repeat)::INTEGER AS first_repeat, max(repeat)::INTEGER AS last_repeat,"
+            f" {r('avg(loss)')} AS value FROM slots JOIN risks USING (repeat) GROUP BY 1, 2"
+        ),
         "bootstrap_shapley": booted.select(f"SELECT draw, player, {r('debt')} AS debt, {r('gain')} AS gain FROM bphi"),
         "bootstrap_intervals": booted.select(
             "SELECT player, " + ", ".join(f"{r(c)} AS {c}" for c in ("ci_low", "ci_high", "gain_ci_low", "gain_ci_high"))
@@ -975,7 +1029,7 @@ def sampling_sql() -> dict[str, str]:
     plain = whole.add_all([*orders_cte(str(cfg.ORDERS)), CONTRIB])
     paired = whole.add_all([*orders_cte(str(cfg.ORDERS), True), CONTRIB])
     m = len(cfg.CHANNELS)
-    debts = "SELECT draw, position, player, " + r("debt") + " AS debt FROM ord JOIN phi USING (player)"
+    path = f"SELECT draw, position, player, {r('value')} AS value FROM walk JOIN g USING (mask)"
     starts, total = [], 0
     for budget in cfg.BUDGETS:
         starts.append((budget, total, total + budget * cfg.TRIALS))
@@ -1007,8 +1061,8 @@ def sampling_sql() -> dict[str, str]:
     error = f"stddev_samp(contribution) / sqrt({cfg.ORDERS}::DOUBLE)"
     half = cfg.ORDERS // 2
     return {
-        "permutation_orders": plain.select(debts),
-        "antithetic_orders": paired.select(debts),
+        "permutation_orders": plain.select(path),
+        "antithetic_orders": paired.select(path),
         "permutation_prefixes": plain.select(
             f"SELECT draw, position, player, w.mask, before, {r('value')} AS value FROM walk w JOIN g ON w.mask = g.mask"
         ),
@@ -1041,6 +1095,61 @@ def sampling_sql() -> dict[str, str]:
     }
 
 
+def wide_sql() -> dict[str, str]:
+    """Twelve defects: every order damaged under each combination that a few random orders pass."""
+    m, repeats = len(cfg.WIDE_CHANNELS), range(cfg.REPEATS)
+    bits = {name: 1 << i for i, name in enumerate(cfg.WIDE_CHANNELS)}
+    base = STAR.add_all(hits([(i, cfg.SEVERITY, i) for i in repeats]))
+    more = cfg.WIDE_CHANNELS[len(cfg.CHANNELS) :]
+    streams = [(name,) for name in more] + [("mild_noise", "radius"), ("mild_noise", "angle")]
+    names = [*more, "mild_radius", "mild_angle"]
+    rows = [(i, *[w for s in streams for w in defect_seeds(i, *s)]) for i in repeats]
+    seeds = f"{values(rows)} AS t(sid, {', '.join(f'{n}{i}' for n in names for i in (0, 1))})"
+    flags = ", ".join(
+        f"row_number() OVER (PARTITION BY sid ORDER BY {roll('order_id', (n + '0', n + '1'))}, order_id)"
+        f" <= {hit_count(cfg.SEVERITY, 'n_fact')} AS hit_{n}"
+        for n in more
+    )
+    mild = normal(roll("order_id", ("mild_radius0", "mild_radius1")), roll("order_id", ("mild_angle0", "mild_angle1")))
+
+    def on(name: str, flag: str | None = None) -> str:
+        return f"(mask & {bits[name]} <> 0 AND {flag or 'hit_' + name})"
+
+    price = f"CASE WHEN {on('missing_measures', 'hit_mm')} THEN NULL WHEN {on('value_noise', 'hit_vn')} THEN unit_price * factor ELSE unit_price END"
+    base = base.add_all(
+        [
+            players(cfg.WIDE_CHANNELS),
+            *orders_cte(str(cfg.WIDE_ORDERS), m=m),
+            ("masks", "SELECT mask FROM walk UNION SELECT before FROM walk"),
+            ("wh", f"SELECT oh.*, {flags}, exp(0.25::DOUBLE * {mild}) AS mild FROM oh JOIN {seeds} USING (sid), sizes"),
+            (
+                "priced",
+                f"SELECT o.sid, severity, repeat, mask, o.order_id, o.customer_id, hit_cut_prices, ({price})"
+                f" * CASE WHEN {on('mild_noise')} THEN mild ELSE 1 END AS unit_price,"
+                f" CASE WHEN {on('unit_mixup')} THEN quantity * 10 ELSE quantity END AS quantity,"
+                f" CASE WHEN {on('lost_discounts')} THEN 0 ELSE discount END AS discount,"
+                f" CASE WHEN {on('wrong_refunds')} THEN 'refunded' ELSE status END AS status,"
+                f" {on('orphan_foreign_keys', 'hit_fk')} AS orphan, order_date"
+                f" - CASE WHEN {on('stale_timestamps', 'hit_ts')} THEN INTERVAL 365 DAY ELSE INTERVAL 0 DAY END"
+                f" - CASE WHEN {on('late_week')} THEN INTERVAL 7 DAY ELSE INTERVAL 0 DAY END AS order_date,"
+                f" CASE WHEN {on('dimension_drift', 'hit_dd')} THEN next_region ELSE region END AS region, segment, category,"
+                f" CASE WHEN mask & {bits['duplicate_facts']} <> 0 THEN 1 + coalesce(k, 0) ELSE 1 END AS w"
+                " FROM wh o JOIN ch USING (sid, customer_id) JOIN prod USING (product_id)"
+                " LEFT JOIN dup ON o.sid = dup.sid AND o.order_id = dup.order_id, masks",
+            ),
+            ("hurt", f"SELECT * REPLACE (CASE WHEN {on('cut_prices')} THEN floor(unit_price) ELSE unit_price END AS unit_price) FROM priced"),
+        ]
+    ).add_all(losses())
+    error = f"stddev_samp(contribution) / sqrt({cfg.WIDE_ORDERS}::DOUBLE)"
+    return {
+        "wide_surface": base.select(f"SELECT repeat::INTEGER AS repeat, query, mask, {r('loss')} AS loss FROM losses"),
+        "wide_shapley": base.add_all([game_of("risks"), CONTRIB]).select(
+            f"SELECT player, {r('avg(contribution)')} AS value, {r(error)} AS standard_error,"
+            f" {r(order_radius(m, cfg.WIDE_ORDERS))} AS hoeffding_radius FROM contrib GROUP BY 1"
+        ),
+    }
+
+
 FEATURES = ("quantity", "discount", "tax", "part_size", "retail_price")
 PRICES = Ctes(
     (
@@ -1080,6 +1189,128 @@ def wide(name: str) -> str:
     return f"SELECT row_id, {flags} FROM cells_{name} GROUP BY 1"
 
 
+def ridge(base: Ctes, train: str, test: str, keys: tuple[str, ...]) -> Ctes:
+    """Adds ``ridge_loss`` (keys, loss, n): the regression on filled and scaled columns in closed form, scored on ``test``."""
+    k, d = ", ".join(keys), len(FEATURES)
+    scaled = {c: f"(coalesce({c}, med_{c}, 0) - m_{c}) / s_{c}" for c in FEATURES}
+    products = [
+        f"sum(z_{FEATURES[i]} * z_{FEATURES[j]}) + {float(i == j)!r}::DOUBLE AS a{i}{j}" for i in range(d) for j in range(d)
+    ]
+    base = base.add_all(
+        [
+            ("med", f"SELECT {k}, {', '.join(f'quantile_cont({c}, 0.5) AS med_{c}' for c in FEATURES)} FROM {train} GROUP BY ALL"),
+            (
+                "spread",
+                f"SELECT {k}, count(*)::BIGINT AS n, avg(label) AS m_label, "
+                + ", ".join(
+                    f"avg(coalesce({c}, med_{c}, 0)) AS m_{c}, CASE WHEN stddev_pop(coalesce({c}, med_{c}, 0)) > 1e-12"
+                    f" THEN stddev_pop(coalesce({c}, med_{c}, 0)) ELSE 1 END AS s_{c}"
+                    for c in FEATURES
+                )
+                + f" FROM {train} JOIN med USING ({k}) GROUP BY {k}",
+            ),
+            (
+                "z",
+                f"SELECT {k}, {', '.join(f'{e} AS z_{c}' for c, e in scaled.items())}, label - m_label AS z_label"
+                f" FROM {train} JOIN med USING ({k}) JOIN spread USING ({k})",
+            ),
+            (
+                "solve_0",
+                f"SELECT {k}, {', '.join(products)}, {', '.join(f'sum(z_{c} * z_label) AS b{i}' for i, c in enumerate(FEATURES))}"
+                f" FROM z GROUP BY {k}",
+            ),
+        ]
+    )
+    for p in range(d):  # one column after the other
+        cells = [
+            f"a{i}{j} / a{p}{p} AS a{i}{j}" if i == p else f"a{i}{j} - a{i}{p} * a{p}{j} / a{p}{p} AS a{i}{j}"
+            for i in range(d)
+            for j in range(p + 1, d)
+        ]
+        ends = [f"b{i} / a{p}{p} AS b{i}" if i == p else f"b{i} - a{i}{p} * b{p} / a{p}{p} AS b{i}" for i in range(d)]
+        base = base.add(f"solve_{p + 1}", f"SELECT {k}, {', '.join(cells + ends)} FROM solve_{p}")
+    predicted = " + ".join(["m_label", *[f"b{i} * {e}" for i, e in enumerate(scaled.values())]])
+    iqr = "quantile_cont(label, 0.75) - quantile_cont(label, 0.25)"
+    return base.add_all(
+        [
+            ("units", f"SELECT {k}, CASE WHEN {iqr} > 1e-12 THEN {iqr} ELSE stddev_pop(label) END AS unit FROM {test} GROUP BY ALL"),
+            (
+                "ridge_loss",
+                f"SELECT {k}, avg(least(abs({predicted} - label) / unit, 1)) AS loss, any_value(n) AS n FROM {test}"
+                f" JOIN solve_{d} USING ({k}) JOIN med USING ({k}) JOIN spread USING ({k}) JOIN units USING ({k}) GROUP BY {k}",
+            ),
+        ]
+    )
+
+
+def ridge_surface(base: Ctes, master: int, repeats: int, severity: float = cfg.MODEL_SEVERITY) -> Ctes:
+    """Adds ``ridge_loss`` (repeat, mask, loss, n) for CTE ``feats``: each combination's training rows, damaged one by one."""
+    kinds = [("sp", None, None)]
+    kinds += [("mc", "missing_cells", "hit"), ("fn", "feature_noise", "hit"), ("fr", "feature_noise", "radius"), ("fa", "feature_noise", "angle")]
+    kinds += [("tn", "target_noise", "hit"), ("tr", "target_noise", "radius"), ("ta", "target_noise", "angle")]
+    rows = [
+        (i, *[w for _, name, stream in kinds for w in (seed_words("features", master, i, name, stream) if name else seed_words("split", master, i))])
+        for i in range(repeats)
+    ]
+    width = len(FEATURES)
+    seeds = ", ".join(f"{n}{i}" for n, _, _ in kinds for i in (0, 1))
+
+    def first(key: str, n: str, count: str) -> str:
+        return f"row_number() OVER (PARTITION BY repeat ORDER BY {roll(key, (n + '0', n + '1'))}, {key}) <= {count}"
+
+    size = "count(*) OVER (PARTITION BY repeat)"
+    hit = hit_count(severity, size)
+    cell = f"(row_id * {width} + j)"
+    z = {c: normal(roll(f"(row_id * {width} + {j})", ("fr0", "fr1")), roll(f"(row_id * {width} + {j})", ("fa0", "fa1"))) for j, c in enumerate(FEATURES)}
+    flags = ", ".join(f"bool_or(lost) FILTER (j = {j}) AS lost_{c}, bool_or(noisy) FILTER (j = {j}) AS noisy_{c}" for j, c in enumerate(FEATURES))
+    copied: list[tuple[str, str]] = []
+    for i in range(repeats):
+        copied.append((f"train_{i}", f"SELECT row_id FROM clean WHERE repeat = {i}"))
+        copied += copies(f"again_{i}", [(0, severity, ("features", master, i, "duplicate_rows"))], f"train_{i}", "row_id")
+    again = " UNION ALL ".join(f"SELECT {i} AS repeat, row_id, k FROM again_{i}" for i in range(repeats))
+
+    def guarded(text: str) -> str:
+        return f"CASE WHEN {text} > 1e-12 THEN {text} ELSE 1 END"
+
+    deviations = ", ".join(f"{guarded(f'stddev_pop({c})')} AS sd0_{c}, {guarded(f'stddev_pop(CASE WHEN NOT lost_{c} THEN {c} END)')} AS sd1_{c}" for c in FEATURES)
+    damaged_cells = ", ".join(
+        f"CASE WHEN mask & 1 <> 0 AND lost_{c} THEN NULL ELSE {c} + CASE WHEN mask & 2 <> 0 AND noisy_{c}"
+        f" THEN 3::DOUBLE * CASE WHEN mask & 1 <> 0 THEN sd1_{c} ELSE sd0_{c} END * z_{c} ELSE 0 END END AS {c}"
+        for c in FEATURES
+    )
+    shifted = "label + CASE WHEN mask & 4 <> 0 AND hit_label THEN 2::DOUBLE * sd_label * z_label ELSE 0 END AS label"
+    z_label = normal(roll("row_id", ("tr0", "tr1")), roll("row_id", ("ta0", "ta1")))
+    base = base.add_all(
+        [
+            ("rep", f"SELECT * FROM {values(rows)} AS t(repeat, {seeds})"),
+            ("told", f"SELECT f.*, rep.*, {first('row_id', 'sp', f'ceil({cfg.TEST_SIZE}::DOUBLE * {size})')} AS is_test FROM feats f, rep"),
+            ("clean", "SELECT * FROM told WHERE NOT is_test"),
+            ("cells", f"SELECT repeat, row_id, j, {first(cell, 'mc', hit)} AS lost, {first(cell, 'fn', hit)} AS noisy FROM clean, range({width}) AS t(j)"),
+            ("flags", f"SELECT repeat, row_id, {flags} FROM cells GROUP BY ALL"),
+            *copied,
+            ("again", again),
+            (
+                "marked",
+                f"SELECT c.repeat, c.row_id, {', '.join(FEATURES)}, label, {', '.join(f'lost_{c}, noisy_{c}, {e} AS z_{c}' for c, e in z.items())},"
+                f" {first('c.row_id', 'tn', hit).replace('PARTITION BY repeat', 'PARTITION BY c.repeat')} AS hit_label, {z_label.replace('row_id', 'c.row_id')} AS z_label,"
+                " coalesce(k, 0) AS extra FROM clean c JOIN flags USING (repeat, row_id) LEFT JOIN again a ON a.repeat = c.repeat AND a.row_id = c.row_id"
+                .replace("PARTITION BY repeat)", "PARTITION BY c.repeat)"),
+            ),
+            ("sds", f"SELECT repeat, {deviations}, {guarded('stddev_pop(label)')} AS sd_label FROM marked GROUP BY repeat"),
+            (
+                "train",
+                f"SELECT repeat, mask, {damaged_cells}, {shifted}, unnest(range(CASE WHEN mask & 8 <> 0 THEN 1 + extra ELSE 1 END))"
+                " FROM marked JOIN sds USING (repeat), range(16) AS m(mask)",
+            ),
+            ("test", f"SELECT repeat, mask, {', '.join(FEATURES)}, label FROM told, range(16) AS m(mask) WHERE is_test"),
+        ]
+    )
+    return ridge(base, "train", "test", ("repeat", "mask"))
+
+
+MODEL_CHANNELS = ("missing_cells", "feature_noise", "target_noise", "duplicate_rows")
+
+
 def model_sql() -> dict[str, str]:
     missing = PRICES.add_all(
         [
@@ -1161,10 +1392,60 @@ def model_sql() -> dict[str, str]:
     spread = "(SELECT quantile_cont(label, 0.75) - quantile_cont(label, 0.25) FROM feats)"
     whole = ", ".join(f"{r(c)} AS {c}" for c in (*FEATURES, "label"))
     four = ", ".join(f"{r(c, 4)} AS {c}" for c in (*FEATURES, "label"))
+    fitted = composed.add_all(
+        [
+            (
+                "train",
+                f"SELECT 0 AS one, {', '.join(FEATURES)}, label FROM (SELECT * FROM shifted UNION ALL SELECT s.* FROM"
+                " (SELECT row_id, unnest(range(k)) FROM again) JOIN shifted s USING (row_id))",
+            ),
+            ("test", f"SELECT 0 AS one, {', '.join(FEATURES)}, label FROM feats"),
+        ]
+    )
+    names = sorted((n, 1 << i) for i, n in enumerate(MODEL_CHANNELS))
+    listed = "list_filter([" + ", ".join(f"CASE WHEN mask & {b} <> 0 THEN '{n}' END" for n, b in names) + "], lambda x: x IS NOT NULL)"
+    key = f"CASE WHEN mask = 0 THEN 'EMPTY' ELSE array_to_string({listed}, '|') END"
+    surfaced = ridge_surface(PRICES, cfg.MODEL_MASTER, cfg.REPEATS)
+    # the file's rows are numbered by all their columns
+    numbered = Ctes(
+        *[
+            (n if n != "feats" else "lines_of_file", b) for n, b in PRICES.parts
+        ],
+        (
+            "feats",
+            f"SELECT row_number() OVER (ORDER BY {', '.join(FEATURES)}, label) - 1 AS row_id, {', '.join(FEATURES)}, label FROM lines_of_file",
+        ),
+    )
+    doses = [(f"dose_{i}", ridge_surface(PRICES, cfg.MODEL_MASTER, cfg.DOSE_REPEATS, x).select("SELECT repeat, mask, loss FROM ridge_loss")) for i, x in enumerate(cfg.DOSES)]
+    dosed = Ctes(*doses, ("risks", " UNION ALL ".join(f"SELECT {x}::DOUBLE AS severity, * FROM dose_{i}" for i, x in enumerate(cfg.DOSES))))
+    dosed = boot(
+        accounts(dosed, "risks", "severity", MODEL_CHANNELS), "risks", list(range(cfg.DOSE_REPEATS)), "severity", MODEL_CHANNELS
+    )
+    audited = ridge_surface(numbered, cfg.MODEL_MASTER, cfg.REPEATS).add("risks", "SELECT repeat, mask, loss FROM ridge_loss")
+    audited = boot(accounts(audited, "risks", channels=MODEL_CHANNELS), "risks", list(range(cfg.REPEATS)), channels=MODEL_CHANNELS)
     return {
+        "ml_fit_ridge": ridge(fitted, "train", "test", ("one",)).select(f"SELECT 'ridge' AS model, {r('loss')} AS loss FROM ridge_loss"),
+        "ml_ridge_surface": surfaced.select(
+            f"SELECT repeat::INTEGER AS repeat, mask::BIGINT AS mask, {key} AS coalition_key, bit_count(mask)::INTEGER AS coalition_size,"
+            f" {r('loss')} AS loss, n AS train_rows FROM ridge_loss"
+        ),
+        "audit_report": estimates(audited),
+        "model_dose_response": estimates(dosed, "severity"),
         "price_features": PRICES.select(f"SELECT row_id, {whole} FROM feats"),
         "document_features": docs,
         "ml_missing_cells": missing.select(f"SELECT row_id, {whole} FROM lost"),
+        "ml_own_defect": PRICES.add_all(
+            [
+                cell_hits("missing_cells"),
+                (
+                    "cut",
+                    f"SELECT row_id, {', '.join(f'CASE WHEN row_id IN ({row_hits('cut_cells', 'feats')}) THEN floor({c}) ELSE {c} END AS {c}' for c in FEATURES)}, label FROM feats",
+                ),
+            ]
+        ).select(
+            f"SELECT row_id, {', '.join(f'CASE WHEN coalesce(hit_{c}, false) THEN NULL ELSE {r(c)} END AS {c}' for c in FEATURES)}, {r('label')} AS label"
+            f" FROM cut LEFT JOIN ({wide('missing_cells')}) USING (row_id)"
+        ),
         "ml_feature_noise": noise(PRICES, "feats", "noisy").select(f"SELECT row_id, {four} FROM noisy"),
         "ml_target_noise": PRICES.select(f"SELECT row_id, {r(shift, 4)} AS label FROM feats"),
         "ml_target_flip": emb.select(
@@ -1194,6 +1475,6 @@ def model_sql() -> dict[str, str]:
 
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (source_sql, workload_sql, choice_sql, channel_sql, surface_sql, attribution_sql, sampling_sql, model_sql):
+    for part in (source_sql, workload_sql, choice_sql, channel_sql, surface_sql, attribution_sql, sampling_sql, wide_sql, model_sql):
         out.update(part())
     return out

@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry import settings as cfg
 from tarnish.functions import dice
-from tarnish.functions.coalitions import mask_key, members
+from tarnish.functions.coalitions import key_mask, mask_key, members
 from tarnish.operators import bootstrap, defects as dfx, feature_defects as ffx, game, loss, permutations, sampling
 from tarnish.plans import models, studies, workload
-from tarnish.plans.surface import risk_surface
-from tarnish.session import stored, stored_once
+from tarnish.plans.surface import direct_surface, risk_surface
+from tarnish.session import kept_once, shared_folder, stored, stored_once
 from tarnish.sources import features, sinks, star
-from tarnish.sources.star import LINE_KEY, ORDER_COLUMNS, Star, customers_of, event_star, line_star, products_of, read
+from tarnish.sources.star import LINE_KEY, Star, customers_of, event_star, line_star, lookup_customers, products_of, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+#: Columns of an attribution as a report has them.
+ESTIMATES = (("channel", "string"), *((c, "double") for c in ("debt", "ci_low", "ci_high", "probability_harmful", "rank_1_probability", "singleton", "current_gain", "gain_ci_low", "gain_ci_high", "banzhaf")))
 WHOLE = {"severity": cfg.SEVERITY, "master_seed": cfg.MASTER}
 
 
@@ -32,9 +36,7 @@ def register(name: str):
 
 def lines(spark: SparkSession, sf: str) -> Star:
     """The retail star; orders are numbered and dimensions joined once per application."""
-    orders = stored_once(spark, ("star-orders", sf), lambda: line_star(spark, sf).orders)
-    customers = stored_once(spark, ("star-customers", sf), lambda: customers_of(spark, sf))
-    return Star("retail_lines", customers, products_of(spark, sf), orders.select(*ORDER_COLUMNS), "lines")
+    return kept_once(spark, ("star-lines", sf), lambda: line_star(spark, sf))
 
 
 def line_losses(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,6 +109,15 @@ def star_customers(spark, sf):
     return customers_of(spark, sf)
 
 
+@register("lookup_csv")
+def lookup_csv(spark, sf):
+    """Customers as a lookup file has them, with another header, and read back from it."""
+    path = f"{shared_folder(spark)}/tarnish/lookup-{uuid4().hex}"
+    people = customers_of(spark, sf).select(F.col("customer_id").alias("LocationID"), F.when(F.col("region") != "ASIA", F.col("region")).alias("Borough"), F.col("segment").alias("Zone"))
+    people.write.csv(path, header=True)
+    return lookup_customers(spark.read.csv(path, header=True), {"LocationID": "customer_id", "Borough": "region", "Zone": "segment"})
+
+
 @register("star_products")
 def star_products(spark, sf):
     return products_of(spark, sf)
@@ -151,6 +162,30 @@ def observation_records(spark, sf):
 
 
 
+@register("result_files")
+def result_files(spark, sf):
+    """Risks and query losses written as result files and read back: lists and maps are JSON text in CSV files."""
+    folder = f"{shared_folder(spark)}/tarnish/results-{uuid4().hex}"
+    told = loss.weighted_risk(line_losses(spark, sf), weights(), ["repeat", "mask"]).withColumn("coalition", members(F.col("mask"), cfg.CHANNELS))
+    sinks.write_results({"risks": told}, folder, fmt="csv")
+    back = spark.read.csv(f"{folder}/risks", header=True)
+    losses = F.from_json("query_losses", "map<string, double>")
+    return back.select(
+        F.col("repeat").cast("int").alias("repeat"),
+        F.col("mask").cast("long").alias("mask"),
+        r(F.col("loss").cast("double")).alias("loss"),
+        F.size(F.from_json("coalition", "array<string>")).alias("members"),
+        r(losses["daily_revenue"]).alias("daily_loss"),
+    )
+
+
+@register("coalition_masks")
+def coalition_masks(spark, sf):
+    """Means by text key, and the mask that each key stands for."""
+    keyed = game.mean_game(risks(spark, sf)).select(mask_key(F.col("mask"), cfg.CHANNELS).alias("coalition_key"), r("value").alias("value"))
+    return keyed.select(key_mask(F.col("coalition_key"), cfg.CHANNELS).alias("mask"), "coalition_key", "value")
+
+
 # ---- workload and joins ------------------------------------------------------
 
 
@@ -175,18 +210,21 @@ def _texts() -> tuple[workload.SqlQuery, ...]:
             " JOIN customers c ON o.customer_id = c.customer_id GROUP BY c.region, o.status",
             ("region", "status"),
             ("n", "mean_discount"),
+            ("customer_id", "region", "status", "discount"),
         ),
         workload.SqlQuery(
             "all_quantity",
             "WITH kept AS (SELECT * FROM orders WHERE status <> 'cancelled') SELECT SUM(quantity) AS quantity FROM kept",
             (),
             ("quantity",),
+            ("status", "quantity"),
         ),
         workload.SqlQuery(
             "list_price",
             "SELECT p.category, MAX(p.base_price) AS top FROM orders o JOIN products p USING (product_id) GROUP BY p.category",
             ("category",),
             ("top",),
+            ("product_id", "category", "base_price"),
         ),
     )
 
@@ -344,7 +382,7 @@ def channel_diagnostics(spark, sf):
     star, chosen = lines(spark, sf), dfx.default_defects()
     scenarios = dfx.plan_scenarios(star, chosen, [cfg.SEVERITY], range(cfg.REPEATS), cfg.MASTER)
     told = dfx.diagnostics(star, chosen, scenarios, cfg.MASTER)
-    return rounded(told.drop("setting").fillna(0, ["impacted_orders", "linked_orders", "fact_amplification"]))
+    return rounded(told.fillna(0, ["impacted_orders", "linked_orders", "fact_amplification"]))
 
 
 # ---- surfaces ----------------------------------------------------------------
@@ -362,10 +400,24 @@ def risk_surface_query(spark, sf):
     return surface.losses.select("severity", "repeat", "query", "mask", r("loss").alias("loss"))
 
 
+@register("direct_risk_surface")
+def direct_risk_surface(spark, sf):
+    """Losses of queries in plain SQL under every combination of defects."""
+    surface = direct_surface(
+        lines(spark, sf),
+        dfx.default_defects(),
+        severity=cfg.SEVERITY,
+        repeats=cfg.REPEATS,
+        master_seed=cfg.MASTER,
+        workload=_texts(),
+    )
+    return rounded(surface.losses)
+
+
 @register("risk_observations")
 def risk_observations(spark, sf):
     surface = risk_surface(
-        lines(spark, sf), dfx.default_defects(), severities=(cfg.SEVERITY,), repeats=2, master_seed=cfg.MASTER
+        lines(spark, sf), dfx.default_defects(), severities=(cfg.SEVERITY,), repeats=cfg.REPEATS, master_seed=cfg.MASTER
     )
     drift = F.col("diagnostics")["dimension_drift"]["impacted_orders"]
     return surface.observations().select(
@@ -518,8 +570,10 @@ def accounting_vs_gain(spark, sf):
 
 @register("bootstrap_draws")
 def bootstrap_draws(spark, sf):
-    repeats = sorted(x.repeat for x in risks(spark, sf).select("repeat").distinct().collect())
-    return bootstrap.draw_slots(spark, repeats, cfg.DRAWS, cfg.SEED)
+    """Each draw's game: the drawn repeats' losses of every combination, averaged."""
+    slots = bootstrap.draw_slots(spark, list(range(cfg.REPEATS)), cfg.DRAWS, cfg.SEED)
+    drawn = slots.join(risks(spark, sf), "repeat").groupBy("draw", "mask")
+    return rounded(drawn.agg(F.count("*").alias("slots"), F.min("repeat").alias("first_repeat"), F.max("repeat").alias("last_repeat"), F.avg("loss").alias("value")))
 
 
 def _boot(spark, sf) -> DataFrame:
@@ -566,23 +620,33 @@ def _walk(spark, antithetic: bool = False) -> DataFrame:
     return permutations.prefixes(permutations.orders_of(spark, cfg.CHANNELS, cfg.ORDERS, cfg.SEED, antithetic))
 
 
-def _visited_part(spark, sf, walk: DataFrame) -> DataFrame:
-    """The mean game on the visited coalitions only, from a surface restricted to them."""
-    return game.mean_game(risks(spark, sf).join(permutations.visited(walk), "mask", "left_semi"))
+def _named_game(spark, sf) -> Callable[[DataFrame], DataFrame]:
+    """The mean game on given combinations, from a surface that evaluates no other."""
+
+    def value(masks: DataFrame) -> DataFrame:
+        surface = risk_surface(
+            lines(spark, sf), dfx.default_defects(), severities=(cfg.SEVERITY,), repeats=cfg.REPEATS, master_seed=cfg.MASTER, masks=masks
+        )
+        return game.mean_game(surface.risks().select("repeat", "mask", "loss"))
+
+    return value
+
+
+def _ordered_values(spark, sf, antithetic: bool) -> DataFrame:
+    """Each order's path through the game: the value that every player completes."""
+    walk = stored(_walk(spark, antithetic), "walk")
+    reached = walk.join(_named_game(spark, sf)(permutations.visited(walk)), "mask")
+    return reached.select("draw", "position", "player", r("value").alias("value"))
 
 
 @register("permutation_orders")
 def permutation_orders(spark, sf):
-    walk = _walk(spark)
-    debts = game.shapley_values(risk_game(spark, sf), cfg.CHANNELS).select("player", r("debt").alias("debt"))
-    return walk.join(debts, "player").select("draw", "position", "player", "debt")
+    return _ordered_values(spark, sf, False)
 
 
 @register("antithetic_orders")
 def antithetic_orders(spark, sf):
-    walk = _walk(spark, True)
-    debts = game.shapley_values(risk_game(spark, sf), cfg.CHANNELS).select("player", r("debt").alias("debt"))
-    return walk.join(debts, "player").select("draw", "position", "player", "debt")
+    return _ordered_values(spark, sf, True)
 
 
 @register("permutation_prefixes")
@@ -605,21 +669,16 @@ def prefix_coalitions(spark, sf):
         lines(spark, sf),
         dfx.default_defects(),
         severities=(cfg.SEVERITY,),
-        repeats=1,
+        repeats=cfg.REPEATS,
         master_seed=cfg.MASTER,
         masks=permutations.visited(walk),
     )
-    return surface.risks().select("mask", r("loss").alias("loss"))
+    return surface.risks().select("repeat", "mask", r("loss").alias("loss"))
 
 
 def _sampled(spark, sf, antithetic: bool) -> permutations.Sampled:
     return permutations.permutation_shapley(
-        spark,
-        lambda masks: game.mean_game(risks(spark, sf).join(masks, "mask", "left_semi")),
-        cfg.CHANNELS,
-        permutations=cfg.ORDERS,
-        seed=cfg.SEED,
-        antithetic=antithetic,
+        spark, _named_game(spark, sf), cfg.CHANNELS, permutations=cfg.ORDERS, seed=cfg.SEED, antithetic=antithetic
     )
 
 
@@ -639,10 +698,58 @@ def antithetic_shapley(spark, sf):
 def permutation_coverage(spark, sf):
     """Coverage of the surface by the sampled orders, with the share of the total risk seen."""
     told = _sampled(spark, sf, False)
-    seen = _visited_part(spark, sf, _walk(spark)).agg(F.sum("value").alias("seen_value"))
+    seen = told.game.agg(F.sum("value").alias("seen_value"))
     return rounded(game.side_by_side([told.summary.drop("hoeffding_radius", "antithetic"), seen]))
 
 
+def wide_defects() -> tuple[dfx.Defect, ...]:
+    """Twelve defects: too many for all combinations, so that only sampled ones are evaluated."""
+    more = (
+        replace(dfx.value_noise(0.25), name="mild_noise", priority=21),
+        dfx.OrderDefect("cut_prices", 60, ("unit_price",), lambda row, rolls: {"unit_price": F.floor(row["unit_price"]).cast("double")}),
+        dfx.OrderDefect("lost_discounts", 61, ("discount",), lambda row, rolls: {"discount": F.lit(0.0)}),
+        dfx.OrderDefect("unit_mixup", 62, ("quantity",), lambda row, rolls: {"quantity": row["quantity"] * 10.0}),
+        dfx.OrderDefect("wrong_refunds", 63, ("status",), lambda row, rolls: {"status": F.lit("refunded")}),
+        replace(dfx.stale_timestamps(7), name="late_week", priority=64),
+    )
+    return (*dfx.default_defects(), *more)
+
+
+def _wide_losses(spark, sf) -> DataFrame:
+    """(repeat, query, mask, loss) of the combinations that a few random orders of twelve defects pass."""
+
+    def build() -> DataFrame:
+        orders = permutations.orders_of(spark, cfg.WIDE_CHANNELS, cfg.WIDE_ORDERS, cfg.SEED, False)
+        surface = risk_surface(
+            lines(spark, sf),
+            wide_defects(),
+            severities=(cfg.SEVERITY,),
+            repeats=cfg.REPEATS,
+            master_seed=cfg.MASTER,
+            masks=permutations.visited(permutations.prefixes(orders)),
+        )
+        return surface.losses.select("repeat", "query", "mask", "loss")
+
+    return stored_once(spark, ("wide-losses", sf), build)
+
+
+@register("wide_surface")
+def wide_surface(spark, sf):
+    return rounded(_wide_losses(spark, sf))
+
+
+@register("wide_shapley")
+def wide_shapley(spark, sf):
+    """Sampled values of twelve defects; the workload runs on the combinations that the orders pass."""
+
+    def value(masks: DataFrame) -> DataFrame:
+        told = loss.weighted_risk(_wide_losses(spark, sf), weights(), ["repeat", "mask"])
+        return game.mean_game(told.select("repeat", "mask", "loss")).join(masks, "mask", "left_semi")
+
+    told = permutations.permutation_shapley(spark, value, cfg.WIDE_CHANNELS, permutations=cfg.WIDE_ORDERS, seed=cfg.SEED)
+    return rounded(told.values.select("player", "value", "standard_error", F.lit(told.radius).alias("hoeffding_radius")))
+
+
 def _trials(spark, sf) -> DataFrame:
     table = stored(risk_game(spark, sf), "risk-game")
     exact = game.shapley_values(table, cfg.CHANNELS)
@@ -665,7 +772,7 @@ def convergence_summary(spark, sf):
 
 
 def prices(spark: SparkSession, sf: str) -> ffx.Features:
-    rows = stored_once(spark, ("price-features", sf), lambda: features.price_regression(spark, sf).rows)
+    rows = kept_once(spark, ("price-features", sf), lambda: features.price_regression(spark, sf).rows)
     return ffx.Features(rows, tuple(c for c in rows.columns if c not in ("row_id", "label")), "regression")
 
 
@@ -714,6 +821,24 @@ def ml_all_composed(spark, sf):
     return rounded(_hurt(prices(spark, sf), *ffx.default_feature_defects()).rows, 4)
 
 
+@dataclass(frozen=True)
+class CutCells:
+    """A defect of one's own: hit rows lose the fractions of their features."""
+
+    name: str = "cut_cells"
+    priority: int = 15
+
+    def apply(self, table: ffx.Features, dice_: ffx.Dice) -> tuple[ffx.Features, dict]:
+        hit = dice_.hit_rows(table, self.name)
+        cut = {c: F.when(F.col("_hit"), F.floor(c).cast("double")).otherwise(F.col(c)) for c in table.columns}
+        return table.with_rows(hit.select(*[cut[c].alias(c) if c in cut else F.col(c) for c in table.rows.columns])), {}
+
+
+@register("ml_own_defect")
+def ml_own_defect(spark, sf):
+    return rounded(_hurt(prices(spark, sf), CutCells(), ffx.MissingCells()).rows)
+
+
 @register("split_random")
 def split_random(spark, sf):
     return models.splits(prices(spark, sf), cfg.SPLITS, cfg.TEST_SIZE, cfg.MODEL_MASTER).all()
@@ -753,7 +878,21 @@ def _fitted(table: ffx.Features, model: str) -> DataFrame:
 
 @register("ml_fit_ridge")
 def ml_fit_ridge(spark, sf):
-    return _fitted(prices(spark, sf), "ridge")
+    return rounded(_fitted(prices(spark, sf), "ridge"))
+
+
+@register("ml_ridge_surface")
+def ml_ridge_surface(spark, sf):
+    """Losses of a ridge regression under every combination of the feature defects, from one table of moments."""
+    study = models.model_surface(
+        prices(spark, sf),
+        ffx.default_feature_defects(),
+        models.model_factory("regression", "ridge"),
+        severity=cfg.MODEL_SEVERITY,
+        repeats=cfg.REPEATS,
+        master_seed=cfg.MODEL_MASTER,
+    )
+    return rounded(study.observations.select("repeat", "mask", "coalition_key", "coalition_size", "loss", "train_rows"))
 
 
 @register("ml_fit_logistic")
@@ -773,7 +912,7 @@ def _model_observations(spark, sf) -> DataFrame:
             ffx.default_feature_defects(),
             models.model_factory("classification", "logistic"),
             severity=cfg.MODEL_SEVERITY,
-            repeats=2,
+            repeats=cfg.REPEATS,
             master_seed=cfg.MODEL_MASTER,
         )
         return study.observations
@@ -790,28 +929,54 @@ def ml_risk_surface(spark, sf):
 
 @register("audit_report")
 def audit_report(spark, sf):
-    """The estimates of the audit of the document features."""
-    channels = tuple(d.name for d in ffx.default_feature_defects())
-    observed = _model_observations(spark, sf).select("repeat", "mask", "loss")
-    return game.attribute_debt(observed, channels, bootstrap_samples=cfg.DRAWS, seed=cfg.SEED).estimates
+    """The estimates of the audit of a CSV file of price features, from the file to the report."""
+    folder = f"{shared_folder(spark)}/tarnish/audit-{uuid4().hex}"
+    prices(spark, sf).rows.drop("row_id").write.csv(f"{folder}/data", header=True)
+    report = studies.audit_csv(
+        spark,
+        f"{folder}/data",
+        "label",
+        "regression",
+        f"{folder}/report",
+        model="ridge",
+        severity=cfg.MODEL_SEVERITY,
+        repeats=cfg.REPEATS,
+        test_size=cfg.TEST_SIZE,
+        bootstrap_samples=cfg.DRAWS,
+        seed=cfg.MODEL_MASTER,
+        bootstrap_seed=cfg.SEED,
+    )
+    told = spark.read.text(f"{folder}/report", wholetext=True).selectExpr(f"from_json(value, 'attributions array<struct<{', '.join(f'{c}: {k}' for c, k in ESTIMATES)}>>').attributions AS a")
+    # a report holds one entry for each defect
+    assert len(report["attributions"]) == len(ffx.default_feature_defects())
+    return rounded(told.select(F.inline("a")))
+
+
+@register("model_dose_response")
+def model_dose_response(spark, sf):
+    """Attribution of a ridge regression's loss at several severities."""
+    told = studies.model_dose_response(
+        prices(spark, sf),
+        models.model_factory("regression", "ridge"),
+        severities=cfg.DOSES,
+        repeats=cfg.DOSE_REPEATS,
+        master_seed=cfg.MODEL_MASTER,
+        bootstrap_samples=cfg.DRAWS,
+        seed=cfg.SEED,
+    )
+    return rounded(told)
 
 
 @register("ml_study")
 def ml_study(spark, sf):
-    """Two datasets, one model each, two of the defects."""
+    """Two datasets with a linear model each, all defects: attributions, with each setting's total and ablation."""
     tables = {"prices": prices(spark, sf), "documents": features.document_quality(spark, sf)}
     chosen = {
         "regression": {"ridge": models.model_factory("regression", "ridge")},
         "classification": {"logistic": models.model_factory("classification", "logistic")},
     }
     told = studies.model_study(
-        tables,
-        chosen,
-        severity=cfg.MODEL_SEVERITY,
-        repeats=2,
-        master_seed=cfg.MODEL_MASTER,
-        bootstrap_samples=cfg.DRAWS,
-        seed=cfg.SEED,
-        defects=(ffx.MissingCells(), ffx.TargetNoise()),
+        tables, chosen, severity=cfg.MODEL_SEVERITY, repeats=cfg.REPEATS, master_seed=cfg.MODEL_MASTER, bootstrap_samples=cfg.DRAWS, seed=cfg.SEED
     )
-    return told["attributions"]
+    summary = told["summary"].select("setting", "total_debt", "top_channel", "max_abs_interaction", "median_paired_unpaired_width_ratio")
+    return rounded(told["attributions"].join(summary, "setting"))

@@ -17,6 +17,17 @@ CHANNELS = (
     "duplicate_facts",
 )
 DOSE_CHANNELS = CHANNELS
+#: Six defects more for sampled attribution, in the order of the players, and how many orders are drawn.
+WIDE_CHANNELS = (
+    *CHANNELS,
+    "mild_noise",
+    "cut_prices",
+    "lost_discounts",
+    "unit_mixup",
+    "wrong_refunds",
+    "late_week",
+)
+WIDE_ORDERS = 6
 SCAN_DATES = ("1996-01-01", "1997-01-01")
 SCAN_QUANTITY = (10, 20)
 HASH_SAMPLE = 500

@@ -17,9 +17,7 @@ from pyspark.sql import functions as F
 
 from tarnish.functions.coalitions import (
     all_masks,
-    banzhaf_weights,
     check_players,
-    interaction_weights,
     with_players,
 )
 from tarnish.operators.bootstrap import paired_draws
@@ -86,27 +84,19 @@ def hinted(weights: DataFrame, m: int) -> DataFrame:
     return F.broadcast(weights) if m <= HINT_PLAYERS else weights
 
 
-def _allocate(game: DataFrame, weights: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
-    joined = game.join(weights, "mask")
-    return joined.groupBy(*groups, "idx", "player").agg(F.sum(F.col("weight") * F.col(value)).alias(name))
+def _paired(game: DataFrame, players: Sequence[str], keys: Sequence[str], value: str) -> DataFrame:
+    """(keys..., idx, player, mask, marginal): v(S + i) - v(S) by S, added up from both sides so that equal values leave exactly 0."""
+    sided = with_players(game.select(*keys, "mask", F.col(value).alias("_value")), check_players(players))
+    inside = F.col("mask").bitwiseAND(F.col("bit")) != 0
+    base = F.when(inside, F.col("mask") - F.col("bit")).otherwise(F.col("mask"))
+    signed = F.when(inside, F.col("_value")).otherwise(-F.col("_value"))
+    sides = sided.select(*keys, "idx", "player", base.alias("_base"), signed.alias("_signed"))
+    return sides.groupBy(*keys, "idx", "player", "_base").agg(F.sum("_signed").alias("marginal")).withColumnRenamed("_base", "mask")
 
 
 def paired_marginals(game: DataFrame, players: Sequence[str], keys: Sequence[str], value: str) -> DataFrame:
-    """(keys..., idx, player, size, marginal): v(S + i) - v(S), added up from both sides so that equal values leave exactly 0."""
-    sided = with_players(game.select(*keys, "mask", F.col(value).alias("_value")), check_players(players))
-    inside = F.col("mask").bitwiseAND(F.col("bit")) != 0
-    return (
-        sided.select(
-            *keys,
-            "idx",
-            "player",
-            F.when(inside, F.col("mask") - F.col("bit")).otherwise(F.col("mask")).alias("_base"),
-            F.when(inside, F.col("_value")).otherwise(-F.col("_value")).alias("_signed"),
-        )
-        .groupBy(*keys, "idx", "player", "_base")
-        .agg(F.sum("_signed").alias("marginal"))
-        .select(*keys, "idx", "player", F.bit_count("_base").cast("int").alias("size"), "marginal")
-    )
+    """(keys..., idx, player, size, marginal) of ``_paired``, by the size of S."""
+    return _paired(game, players, keys, value).select(*keys, "idx", "player", F.bit_count("mask").cast("int").alias("size"), "marginal")
 
 
 def _size_weights(m: int) -> Column:
@@ -123,8 +113,10 @@ def shapley_values(game: DataFrame, players: Sequence[str], groups: Sequence[str
 
 
 def banzhaf_values(game: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
+    """Mean marginals over all coalitions (groups..., idx, player, banzhaf); exactly 0 for a player that changes nothing."""
     players = check_players(players)
-    return _allocate(game, hinted(banzhaf_weights(game.sparkSession, players), len(players)), groups, "value", "banzhaf")
+    paired = paired_marginals(game, players, groups, "value")
+    return paired.groupBy(*groups, "idx", "player").agg((F.sum("marginal") / F.lit(float(1 << (len(players) - 1)))).alias("banzhaf"))
 
 
 def marginal_contributions(game: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
@@ -154,12 +146,26 @@ def shapley_by_definition(game: DataFrame, players: Sequence[str], groups: Seque
 
 
 def shapley_interactions(game: DataFrame, players: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """Pairwise interaction index (groups..., left, right, interaction), largest first."""
+    """Pairwise interaction index (groups..., left, right, interaction), largest first.
+
+    What the right player adds to the left one's marginal, in pairs of equal coalitions, so
+    that a player that changes nothing has interactions of exactly 0.
+    """
     players = check_players(players)
-    joined = game.join(hinted(interaction_weights(game.sparkSession, players), len(players)), "mask")
+    m, groups = len(players), list(groups)
+    left = _paired(game, players, groups, "value").select(*groups, F.col("idx").alias("left_idx"), F.col("player").alias("left"), "mask", "marginal")
+    sided = with_players(left, players).where("left_idx < idx")
+    inside = F.col("mask").bitwiseAND(F.col("bit")) != 0
+    base = F.when(inside, F.col("mask") - F.col("bit")).otherwise(F.col("mask"))
+    signed = F.when(inside, F.col("marginal")).otherwise(-F.col("marginal"))
+    pair = [*groups, "left_idx", F.col("idx").alias("right_idx"), "left", F.col("player").alias("right")]
+    added = sided.select(*pair, base.alias("_base"), signed.alias("_signed")).groupBy(*groups, "left_idx", "right_idx", "left", "right", "_base").agg(F.sum("_signed").alias("_added"))
+    # the share of orders of the pair, taken as one, and the others in which so many come before it
+    shares = [math.factorial(s) * math.factorial(m - s - 2) / math.factorial(m - 1) for s in range(m - 1)] or [0.0]
+    weight = F.element_at(F.array(*[F.lit(share) for share in shares]), F.bit_count("_base").cast("int") + 1)
     return (
-        joined.groupBy(*groups, "left_idx", "right_idx", "left", "right")
-        .agg(F.sum(F.col("weight") * F.col("value")).alias("interaction"))
+        added.groupBy(*groups, "left_idx", "right_idx", "left", "right")
+        .agg(F.sum(weight * F.col("_added")).alias("interaction"))
         .orderBy(*groups, F.desc("interaction"), "left_idx", "right_idx")
         .select(*groups, "left", "right", "interaction")
     )

@@ -2,9 +2,11 @@
 
 A choice of n rows is the n smallest rolls of a seeded hash stream. Knowing the
 cut (the n-th smallest pair of roll and id) makes the choice a row-local
-predicate. Finding the cut needs one narrow pass over the ids: rows far below
-the expected cut are only counted, rows far above it are dropped, and only
-about sqrt(N) rows around it are ranked.
+predicate. Finding the cut takes narrow passes over the ids: rows outside the
+range where the cut may lie are only counted. A range of more than RANKED rows is
+counted in PIECES and the pass goes on inside the piece that holds the cut; the rows
+of a smaller one are ranked. The first range is about sqrt(N) rows around the expected
+cut; if the cut lies elsewhere, the side where it lies is the next range.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ RANGE = 1 << 31
 BLOCKS = 4096
 CHUNK = 32768
 DRAWS_PER_TASK = 2_000_000
+#: Rows that one window ranks, and pieces that a range of rolls is counted in.
+RANKED, PIECES = 20_000, 4096
+WIDTH = 8.0
 
 Cut = tuple[int, int]
 NOTHING: Cut = (-1, -1)
@@ -59,70 +64,107 @@ def _bracket(count: int, population: int, width: float) -> tuple[int, int]:
     return low, high
 
 
+def _step(low: int, high: int, rows: float) -> int:
+    """Rolls of a piece of the range, or 0 where its rows are ranked."""
+    return 0 if rows <= RANKED or high - low <= 1 else -(-(high - low) // PIECES)
+
+
+#: SQL values of a rolled row: its piece (or its roll's place) in the range, or the side it lies on; its id where rows are ranked.
+_PIECE = f"CASE WHEN h < low THEN -1L WHEN h >= high THEN {RANGE}L WHEN step = 0 THEN h - low ELSE (h - low) div step END AS piece"
+_RANKED_ID = "if(h >= low AND h < high AND step = 0, k, -1L) AS k"
+
+
+def _holding(rolled: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., piece, k, n): the piece of each stream that holds the wanted rank.
+
+    Rows outside the range fall into one group below and one above it; a filter instead would
+    make the optimizer evaluate the rolls a second time.
+    """
+    counted = rolled.selectExpr(*keys, _PIECE, _RANKED_ID).groupBy(*keys, "piece", "k").agg(F.count("*").alias("n"))
+    # RANKED rows or PIECES counts, and two more
+    upto = F.sum("n").over(W.partitionBy(*keys).orderBy("piece", "k"))
+    return counted.withColumn("upto", upto).where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want"))).drop("upto")
+
+
 def find_cuts(
     ids: DataFrame, key: str, streams: list[Stream], population: int, group: str | None = None
 ) -> list[Cut]:
-    """The cut of every stream, in one pass over the unique integer column ``key``.
+    """The cut of every stream over the unique integer column ``key``, all streams in the same passes.
 
     ``group`` names the column whose text the streams' groups refer to.
     """
     cuts: list[Cut | None] = [None] * len(streams)
     sizes = [population if s.population is None else s.population for s in streams]
+    ranges: dict[int, tuple[int, int, float]] = {}
     for i, s in enumerate(streams):
         if s.count <= 0:
             cuts[i] = NOTHING
         elif s.count >= sizes[i]:
             cuts[i] = EVERYTHING
-    width = 8.0
-    while any(c is None for c in cuts):
-        slots = []
-        for i, s in enumerate(streams):
-            if cuts[i] is None:
-                low, high = _bracket(s.count, sizes[i], width)
-                slots.append((i, s, low, high))
+        else:
+            low, high = _bracket(s.count, sizes[i], WIDTH)
+            ranges[i] = (low, high, sizes[i] * (high - low) / RANGE)
+    while ranges:
+        slots = [(i, streams[i], low, high, _step(low, high, rows)) for i, (low, high, rows) in ranges.items()]
         if group is None:
             fields = ", ".join(
                 f"named_struct('slot', {i}, 'one', {s.seeds[0]}L, 'two', {s.seeds[1]}L,"
-                f" 'low', {low}L, 'high', {high}L, 'want', {s.count}L)"
-                for i, s, low, high in slots
+                f" 'low', {low}L, 'high', {high}L, 'step', {step}L, 'want', {s.count}L)"
+                for i, s, low, high, step in slots
             )
             slotted = ids.selectExpr(f"cast(`{key}` AS bigint) AS k", f"inline(array({fields}))")
         else:
-            rows = [(s.group, i, *s.seeds, low, high, s.count) for i, s, low, high in slots]
-            schema = "g string, slot int, one long, two long, low long, high long, want long"
-            # one row per stream, not per group member
-            table = F.broadcast(small_table(ids.sparkSession, rows, schema))
+            rows = [(s.group, i, *s.seeds, low, high, step, s.count) for i, s, low, high, step in slots]
+            table = small_table(ids.sparkSession, rows, "g string, slot int, one long, two long, low long, high long, step long, want long")
             named = ids.selectExpr(f"cast(`{key}` AS bigint) AS k", f"cast(`{group}` AS string) AS g")
             slotted = named.join(table, "g").drop("g")
         rolled = dice.add_rolls(slotted, {"h": ("k", ("one", "two"))})
-        # rows outside the bracket fall into one group below and one above it; a filter
-        # instead would make the optimizer evaluate the rolls a second time
-        counted = (
-            rolled.selectExpr(
-                "slot",
-                "want",
-                f"CASE WHEN h < low THEN -1L WHEN h < high THEN h ELSE {RANGE}L END AS h",
-                "if(h >= low AND h < high, k, -1L) AS k",
-            )
-            .groupBy("slot", "want", "h", "k")
-            .count()
-        )
-        upto = F.sum("count").over(W.partitionBy("slot").orderBy("h", "k"))
-        found = (
-            counted.withColumn("upto", upto)
-            .filter((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("count") < F.col("want")))
-            .filter(f"h >= 0 AND h < {RANGE}")
-            .select("slot", "h", "k")
-            .collect()
-        )
-        for row in found:
-            cuts[row.slot] = (row.h, row.k)
-        if width > 1e12 and any(c is None for c in cuts):
-            raise ValueError("no cut found: are there fewer ids than the stated population?")
-        width *= 64.0
+        found = {row.slot: row for row in _holding(rolled, ["slot", "want"]).collect()}
+        for i, _, low, high, step in slots:
+            if i not in found:
+                raise ValueError("no cut found: are there fewer ids than the stated population?")
+            row = found[i]
+            if row.piece < 0:
+                ranges[i] = (0, low, row.n)
+            elif row.piece == RANGE:
+                ranges[i] = (high, RANGE, row.n)
+            elif step:
+                ranges[i] = (low + row.piece * step, min(high, low + (row.piece + 1) * step), row.n)
+            else:
+                cuts[i] = (low + row.piece, row.k)
+                del ranges[i]
     return cuts  # type: ignore[return-value]
 
 
+def group_cuts(ids: DataFrame, key: str, group: str, wanted: DataFrame) -> DataFrame:
+    """As ``find_cuts``, for a table of streams: (group, slot, one, two, h, k) for ``wanted`` (group, slot, one, two, size, want).
+
+    Streams and cuts stay tables, so groups may be as many as rows.
+    """
+    whole = wanted.where("want <= 0 OR want >= size").selectExpr(
+        "group", "slot", "one", "two", f"if(want <= 0, {NOTHING[0]}L, {EVERYTHING[0]}L) AS h", f"if(want <= 0, {NOTHING[1]}L, {EVERYTHING[1]}L) AS k"
+    )
+    slack = f"{WIDTH} * (sqrt(want * (1 - want / size)) + 1.0)"
+    ranges = wanted.where("want > 0 AND want < size").selectExpr(
+        "*",
+        f"greatest(0L, cast(floor((want - {slack}) / size * {RANGE}) AS bigint)) AS low",
+        f"least({RANGE}L, cast(ceil((want + {slack}) / size * {RANGE}) AS bigint) + 1) AS high",
+    ).selectExpr("group", "slot", "one", "two", "want", "low", "high", f"size * (high - low) / {RANGE} AS n")
+    step = f"if(n <= {RANKED} OR high - low <= 1, 0L, (high - low + {PIECES - 1}) div {PIECES}) AS step"
+    keys = ["group", "slot", "one", "two", "want", "low", "high", "step"]
+    ranges, done = stored(ranges, "ranges"), whole
+    named = ids.selectExpr(f"cast(`{key}` AS bigint) AS k", f"cast(`{group}` AS string) AS group")
+    while not ranges.isEmpty():
+        rolled = dice.add_rolls(named.join(ranges.selectExpr(*keys[:-1], step), "group"), {"h": ("k", ("one", "two"))})
+        found = stored(_holding(rolled, keys), "holding")
+        ranked = f"step = 0 AND piece >= 0 AND piece < {RANGE}"
+        done = done.unionByName(found.where(ranked).selectExpr("group", "slot", "one", "two", "low + piece AS h", "k"))
+        side = f"CASE WHEN piece < 0 THEN named_struct('low', 0L, 'high', low) WHEN piece = {RANGE} THEN named_struct('low', high, 'high', {RANGE}L) ELSE named_struct('low', low + piece * step, 'high', least(high, low + (piece + 1) * step)) END AS side"
+        ranges = found.where(f"NOT ({ranked})").selectExpr("group", "slot", "one", "two", "want", "n", side)
+        ranges = stored(ranges.selectExpr("group", "slot", "one", "two", "want", "side.low AS low", "side.high AS high", "cast(n AS double) AS n"), "ranges")
+    return done
+
+
 def below(rolled: str, key: str, cut: tuple) -> str:
     """SQL test: is this row among those up to the cut (numbers or expressions)?"""
     high, last = cut
@@ -270,7 +312,7 @@ def dense_ids(df: DataFrame, keys: list[str], name: str = "row_id") -> DataFrame
         starts.append((row._part, total))
         total += row["count"]
     # one row per written partition
-    offsets = F.broadcast(small_table(df.sparkSession, starts, "_part int, _start long"))
+    offsets = small_table(df.sparkSession, starts, "_part int, _start long")
     return (
         placed.withColumn("_part", part)
         .join(offsets, "_part")

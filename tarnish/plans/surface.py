@@ -11,6 +11,11 @@ severity nearly all rows are hit by none or one defect, so the pass costs a few
 contributions per row instead of one per combination, and repeats and
 severities share the scan, the joins and the shuffle. Cells are tiny compared
 with the fact table: groups x 2**(defects that matter to the query).
+
+Where combinations are named, only they are evaluated. Cells then are (H, U): the
+rows hit by exactly H, damaged by U = S & H for a named S; and
+
+    answer(S) = clean answer + sum over H of cell(H, S & H) - cell(H, nothing).
 """
 
 from __future__ import annotations
@@ -32,7 +37,6 @@ from tarnish.operators.defects import (
     Scenario,
     checked,
     copy_draws,
-    damaged_star,
     diagnostics,
     hit_seeds,
     in_order,
@@ -49,6 +53,7 @@ from tarnish.plans.workload import (
     execute_workload,
     keys_of,
     query_weights,
+    run,
     star_workload,
     values_of,
 )
@@ -56,6 +61,8 @@ from tarnish.session import small_table, stored
 from tarnish.sources.star import Star
 
 PLAN_ROW_LIMIT = 200_000
+#: Runs of the direct surface that are written together.
+BATCH = 16
 SCENARIOS_PER_WORD = 60
 
 
@@ -141,7 +148,10 @@ class Surface:
 
 def needed_columns(defects: Sequence[Defect], query: Query) -> set[str]:
     """Columns the answer depends on, directly or through the rewrites of other defects."""
-    needed = query.reads() | {DIMENSION_KEYS[j] for j in query.joins}
+    return _closure(defects, query.reads() | {DIMENSION_KEYS[j] for j in query.joins})
+
+
+def _closure(defects: Sequence[Defect], needed: set[str]) -> set[str]:
     while True:
         more = {c for d in defects if isinstance(d, OrderDefect) and set(d.writes) & needed for c in d.reads}
         if more <= needed:
@@ -192,6 +202,17 @@ def _plan_rows(defects: Sequence[Defect], queries: Sequence[tuple[int, Query]],
     return rows
 
 
+def _deposited(number: str, mask: str, m: int) -> str:
+    """SQL value: the low bits of a number, in order, at the places of the mask's bits."""
+    bits = [f"if(({mask} & {1 << c}L) != 0, shiftleft(shiftright({number}, bit_count({mask} & {(1 << c) - 1}L)) & 1L, {c}), 0L)" for c in range(m)]
+    return " + ".join(bits or ["0L"])
+
+
+def _slots(spark: SparkSession, defects: Sequence[Defect], queries: Sequence[tuple[int, Query]], needs: Mapping[int, int]) -> DataFrame:
+    """(q, rel, need): the defects that matter to each query and the conditions it needs."""
+    return small_table(spark, [(i, relevant_mask(defects, q), needs[i]) for i, q in queries], "q int, rel long, need long")
+
+
 def _contribution_plan(
     spark: SparkSession,
     defects: Sequence[Defect],
@@ -206,25 +227,66 @@ def _contribution_plan(
     ``by_query`` lists only the defects that matter to the query in h.
     """
     m = len(defects)
-    digit = [f"(shiftright(id, {2 * c}) & 3)" for c in range(m)]
+    slots = _slots(spark, defects, queries, needs)
+    span = "rel" if by_query else f"{(1 << m) - 1}L"
+    numbered = slots.selectExpr("q", "need", "rel", f"{span} AS span", f"explode(sequence(0L, shiftleft(1L, 2 * cast(bit_count({span}) AS int)) - 1L)) AS id")
+    # two binary digits for each defect of the span: hit, in T or in U
+    digits = [f"shiftright(id, 2 * cast(bit_count(span & {(1 << c) - 1}L) AS int)) & 3" for c in range(m)]
+    states = ", ".join([f"if((span & {1 << c}L) != 0, {d}, 0L)" for c, d in enumerate(digits)])
+    staged = numbered.selectExpr("q", "need", "rel", f"array({states}) AS d" if m else "cast(array() AS array<bigint>) AS d")
 
     def packed(test: str) -> str:
-        return " + ".join([f"if({d} {test}, {1 << c}L, 0L)" for c, d in enumerate(digit)] or ["0L"])
+        return " + ".join([f"if(d[{c}] {test}, {1 << c}L, 0L)" for c in range(m)] or ["0L"])
 
-    odd = " + ".join([f"if({d} = 2, 1, 0)" for d in digit] or ["0"])
-    slots = ", ".join(
-        f"named_struct('q', {i}, 'rel', {relevant_mask(defects, q)}L, 'need', {needs[i]}L)" for i, q in queries
-    )
-    grid = spark.range(4**m).selectExpr(
+    grid = staged.selectExpr(
         f"{packed('> 0')} AS h",
+        "q",
         f"{packed('> 1')} AS t",
         f"{packed('= 3')} AS u",
-        f"if(({odd}) % 2 = 0, 1.0D, -1.0D) AS sign",
-        f"inline(array({slots}))",
+        "if(size(filter(d, x -> x = 2)) % 2 = 0, 1.0D, -1.0D) AS sign",
+        "need",
+        "rel",
     )
     delta = grid.filter(f"t != 0 AND ({'h' if by_query else 't'} & ~rel) = 0").drop("rel")
-    clean = spark.range(1).selectExpr("-1L AS h", "0L AS t", "0L AS u", "1.0D AS sign", f"inline(array({slots}))")
-    return clean.drop("rel").unionByName(delta)
+    return _clean_plan(slots).unionByName(delta)
+
+
+def _clean_plan(slots: DataFrame) -> DataFrame:
+    return slots.selectExpr("-1L AS h", "q", "0L AS t", "0L AS u", "1.0D AS sign", "need")
+
+
+def _possible_hits(slots: DataFrame, seen: DataFrame, m: int) -> DataFrame:
+    """(q, need, seen, h): every set of a query's defects that may hit a row, and what the query sees of the named combinations."""
+    listed = seen.groupBy("q").agg(F.collect_set("s_mask").alias("seen"))
+    numbered = listed.join(slots, "q").selectExpr("q", "need", "seen", "rel", "explode(sequence(0L, shiftleft(1L, cast(bit_count(rel) AS int)) - 1L)) AS i")
+    return numbered.selectExpr("q", "need", "seen", f"{_deposited('i', 'rel', m)} AS h").where("h != 0")
+
+
+def _named_plan(spark: SparkSession, defects: Sequence[Defect], queries: Sequence[tuple[int, Query]], needs: Mapping[int, int], seen: DataFrame) -> DataFrame:
+    """As ``_contribution_plan``, for named combinations: t is h itself, u what one of them damages of it, or nothing."""
+    slots = _slots(spark, defects, queries, needs)
+    damaged = "explode(array_distinct(array_append(transform(seen, s -> s & h), 0L))) AS u"
+    return _clean_plan(slots).unionByName(_possible_hits(slots, seen, len(defects)).selectExpr("h", "q", "h AS t", damaged, "1.0D AS sign", "need"))
+
+
+def _named_spread(spark: SparkSession, defects: Sequence[Defect], queries: Sequence[tuple[int, Query]], seen: DataFrame) -> DataFrame:
+    """(q, t, u, s_mask, sign): which cells (t, u) make up the answer of each named combination."""
+    slots = _slots(spark, defects, queries, {i: 0 for i, _ in queries})
+    met = _possible_hits(slots, seen, len(defects)).selectExpr("q", "h", "explode(seen) AS s_mask").where("(s_mask & h) != 0")
+    both = "inline(array(named_struct('u', s_mask & h, 'sign', 1.0D), named_struct('u', 0L, 'sign', -1.0D)))"
+    return met.selectExpr("q", "h AS t", "s_mask", both).unionByName(seen.selectExpr("q", "0L AS t", "s_mask", "0L AS u", "1.0D AS sign"))
+
+
+def _lattice_spread(spark: SparkSession, defects: Sequence[Defect], queries: Sequence[tuple[int, Query]]) -> DataFrame:
+    """(q, t, s_mask, sign): the cells t within each combination s of a query's defects, 3**defects for each query."""
+    slots = _slots(spark, defects, queries, {i: 0 for i, _ in queries})
+    numbered = slots.selectExpr("q", "rel", "explode(sequence(0L, cast(round(pow(3, bit_count(rel))) AS bigint) - 1L)) AS id")
+    digits = {c: f"cast(floor(id / pow(3, bit_count(rel & {(1 << c) - 1}L))) AS bigint) % 3" for c in range(len(defects))}
+
+    def packed(least: int) -> str:
+        return " + ".join([f"if((rel & {1 << c}L) != 0 AND {d} >= {least}, {1 << c}L, 0L)" for c, d in digits.items()] or ["0L"])
+
+    return numbered.selectExpr("q", f"{packed(2)} AS t", f"{packed(1)} AS s_mask", "1.0D AS sign")
 
 
 def _scenario_table(defects: Sequence[Defect], scenarios: Sequence[Scenario], master_seed: int) -> str:
@@ -265,8 +327,12 @@ def _sum_cells(
     scenarios: Sequence[Scenario],
     master_seed: int,
     queries: Sequence[tuple[int, Query]],
+    seen: DataFrame | None = None,
 ) -> DataFrame:
-    """Cells (n, q, t, text, day, s, c): signed sums and counts; n = -1, t = 0 is the clean answer."""
+    """Cells (n, q, t, text, day, s, c): signed sums and counts; n = -1, t = 0 is the clean answer.
+
+    With ``seen`` (q, s_mask), the parts of named combinations, cells are (n, q, t, u, text, day, s, c).
+    """
     spark = star.orders.sparkSession
     written = {c for d in defects if not isinstance(d, CopyDefect) for c in d.writes}
     early = sorted({q.where for _, q in queries if q.where and not (q.reads(q.where) & written)})
@@ -315,15 +381,20 @@ def _sum_cells(
     )
     # rows that nothing hits have no partner in the plan; the join drops them
 
-    by_query = _plan_rows(defects, queries, False) > PLAN_ROW_LIMIT
-    plan = _contribution_plan(spark, defects, queries, needs, by_query)
+    by_query = seen is not None or _plan_rows(defects, queries, False) > PLAN_ROW_LIMIT
+    if seen is None:
+        plan = _contribution_plan(spark, defects, queries, needs, by_query)
+        plan_rows = _plan_rows(defects, queries, by_query)
+    else:
+        plan = _named_plan(spark, defects, queries, needs, seen)
+        plan_rows = sum(3 ** relevant_mask(defects, q).bit_count() for _, q in queries)
     meets = (F.col("_h") == F.col("h")) & (F.col("_passed").bitwiseAND(F.col("need")) == F.col("need"))
     if by_query:
         # many defects: look up only those that matter to each query
         slots = ", ".join(f"named_struct('_q', {i}, '_rel', {relevant_mask(defects, q)}L)" for i, q in queries)
         rows = rows.selectExpr("*", f"inline(array({slots}))").withColumn("_h", F.expr("if(n < 0, -1L, _h & _rel)"))
         meets = meets & (F.col("_q") == F.col("q"))
-    if _plan_rows(defects, queries, by_query) <= PLAN_ROW_LIMIT:
+    if plan_rows <= PLAN_ROW_LIMIT:
         # sized by the number of defects and queries, whatever the size of the data
         plan = F.broadcast(plan)
     rows = rows.join(plan, meets)
@@ -374,12 +445,13 @@ def _sum_cells(
     day_key = _by_text(
         {i: q.key for i, q in queries if q.kind == "date"}, lambda k: F.unix_date(F.expr(k).cast("date"))
     )
+    cell = ["n", "q", "t"] if seen is None else ["n", "q", "t", "u"]
     kept = rows.filter(ok & late).select(
-        "n", "q", "t", text_key.cast("string").alias("text"), day_key.cast("int").alias("day"), "w", value.alias("v")
+        *cell, text_key.cast("string").alias("text"), day_key.cast("int").alias("day"), "w", value.alias("v")
     )
     return (
         kept.filter("v IS NOT NULL")
-        .groupBy("n", "q", "t", "text", "day")
+        .groupBy(*cell, "text", "day")
         .agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("c"))
     )
 
@@ -413,25 +485,30 @@ def _subsets(mask: int) -> list[int]:
 
 
 def _sum_losses(
-    cells: DataFrame, defects: Sequence[Defect], queries: Sequence[tuple[int, Query]], n_scenarios: int
+    cells: DataFrame,
+    defects: Sequence[Defect],
+    queries: Sequence[tuple[int, Query]],
+    n_scenarios: int,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
-    """(n, q, s, loss) for s within the query's relevant defects."""
+    """(n, q, s, loss) for s within the query's relevant defects, or for the named ones that it sees."""
     spark = cells.sparkSession
-    spread = []
-    for i, q in queries:
-        for s in _subsets(relevant_mask(defects, q)):
-            spread += [(i, t, s) for t in _subsets(s)]
-    # bounded by 3**defects x queries
-    spread_table = F.broadcast(small_table(spark, spread, "q int, t long, s_mask long"))
+    if seen is None:
+        spread, on = _lattice_spread(spark, defects, queries), ["q", "t"]
+        rows = sum(3 ** relevant_mask(defects, q).bit_count() for _, q in queries)
+        if rows <= PLAN_ROW_LIMIT:
+            spread = F.broadcast(spread)
+    else:
+        spread, on = _named_spread(spark, defects, queries, seen), ["q", "t", "u"]
     # the clean cells join every scenario; one expression, so that the pass over the facts runs once
     numbers = f"explode(if(n < 0, sequence(0, {n_scenarios - 1}), array(n))) AS n"
-    each = cells.selectExpr("q", "t", "text", "day", "s", "c", numbers).join(spread_table, ["q", "t"])
+    each = cells.selectExpr(*on, "text", "day", "s", "c", numbers).join(spread, on)
     is_clean = F.col("t") == 0
     sums = each.groupBy("n", "q", "s_mask", "text", "day").agg(
         F.sum(F.when(is_clean, F.col("s"))).alias("ref_s"),
         F.sum(F.when(is_clean, F.col("c"))).alias("ref_c"),
-        F.sum("s").alias("obs_s"),
-        F.sum("c").alias("obs_c"),
+        F.sum(F.col("sign") * F.col("s")).alias("obs_s"),
+        F.sum(F.col("sign") * F.col("c")).alias("obs_c"),
     )
     averages = [i for i, q in queries if q.aggregate == "avg"]
 
@@ -452,18 +529,21 @@ def _distinct_losses(
     scenarios: Sequence[Scenario],
     master_seed: int,
     queries: Sequence[tuple[int, Query]],
+    seen: Mapping[int, Sequence[int]],
 ) -> DataFrame:
-    """(n, q, s, loss) of distinct customers per customer group.
+    """(n, q, s, loss) of distinct customers per customer group, for the combinations ``seen`` of each query.
 
     A customer drops out of a combination when every one of their orders has
     lost its key. One bit per scenario and AND over a customer's orders decide
-    that for all scenarios with the shuffle of a single distinct count.
+    that for all scenarios with the shuffle of a single distinct count. Answers
+    are the clean counts and the changes: only a customer that drops out or moves
+    in a scenario is listed for it, and only for combinations that this is true of.
     """
     spark = star.orders.sparkSession
     cutters = [(i, d) for i, d in enumerate(defects) if isinstance(d, OrderDefect) and d.unlinks == "customers"]
     movers = [(i, d) for i, d in enumerate(defects) if isinstance(d, CustomerDefect)]
     cutter_mask = sum(1 << i for i, _ in cutters)
-    combos = [c for c in _subsets(cutter_mask) if c]
+    combos = sorted({x & cutter_mask for q_seen in seen.values() for x in q_seen} - {0})
     words = -(-len(scenarios) // SCENARIOS_PER_WORD)
 
     lost = {f"lost_{n}_{i}": (s, d) for n, s in enumerate(scenarios) for i, d in cutters}
@@ -485,7 +565,8 @@ def _distinct_losses(
         present = orders.groupBy("customer_id").agg(*[F.bit_and(name).alias(name) for name in marks])
     else:
         present = orders.distinct()
-    people = present.join(_prepared_customers(star, defects), "customer_id")
+    # read for the clean counts and for the changes
+    people = stored(present.join(_prepared_customers(star, defects), "customer_id"), "counted-customers")
     moved = {f"moved_{n}_{i}": (s, d) for n, s in enumerate(scenarios) for i, d in movers}
     kept = people.columns
     people = struck(people, moved, master_seed, KEYS).selectExpr(
@@ -502,34 +583,33 @@ def _distinct_losses(
         listed = ", ".join(f"{name}_{w}" for w in range(words))
         return f"(shiftright(element_at(array({listed}), cast(n div {SCENARIOS_PER_WORD} AS int) + 1), n % {SCENARIOS_PER_WORD}) & 1L) = 1L"
 
+    def some(names: Sequence[str]) -> str:
+        """SQL test: any scenario's bit is set."""
+        return " OR ".join([f"{name}_{w} != 0" for name in names for w in range(words)] or ["false"])
+
+    struck_out, moved_bits = [f"gone_{c}" for c in combos], [f"moved_{i}" for i, _ in movers]
+    # moves and losses of all scenarios, by the few customers that have any
+    hit = people.where(some([*struck_out, *moved_bits])).selectExpr("*", f"explode(sequence(0, {len(scenarios) - 1})) AS n")
+    hit = hit.where(" OR ".join([bit(name) for name in [*struck_out, *moved_bits]] or ["false"]))
     pieces = None
     for q_index, q in queries:
         rel = relevant_mask(defects, q)
-        subsets = ", ".join(f"{x}L" for x in _subsets(rel))
-        each = people.selectExpr("*", f"explode(sequence(0, {len(scenarios) - 1})) AS n").selectExpr(
-            "*", f"explode(array({subsets})) AS s_mask"
-        )
+        subsets = ", ".join(f"{x}L" for x in seen[q_index])
         here = "true"
-        for combo in _subsets(cutter_mask & rel):
-            if combo:
-                here = f"if((s_mask & {cutter_mask}L) = {combo}L, NOT ({bit(f'gone_{combo}')}), {here})"
+        for combo in sorted({x & cutter_mask for x in seen[q_index]} - {0}):
+            here = f"if((s_mask & {cutter_mask}L) = {combo}L, NOT ({bit(f'gone_{combo}')}), {here})"
         key = q.key
         for i, d in movers:
             if rel >> i & 1:
                 key = f"if((s_mask & {1 << i}L) != 0 AND ({bit(f'moved_{i}')}), {d.damaged(q.key)}, {key})"
-        # one unit for the clean answer, one for the observed one
-        sides = (
-            "inline(array("
-            f"named_struct('k', {q.key}, 'ref', 1.0D, 'obs', 0.0D, 'live', true),"
-            f" named_struct('k', {key}, 'ref', 0.0D, 'obs', 1.0D, 'live', {here})))"
-        )
-        counted = (
-            each.selectExpr("n", f"{q_index} AS q", "s_mask", sides)
-            .filter("live")
-            .groupBy("n", "q", "s_mask", "k")
-            .agg(F.sum("ref").alias("ref"), F.sum("obs").alias("obs"))
-        )
-        loss = counted.groupBy("n", "q", "s_mask").agg(relative_error(F.col("ref"), F.col("obs")).alias("loss"))
+        each = hit.selectExpr("*", f"explode(array({subsets})) AS s_mask").selectExpr("n", "s_mask", f"{q.key} AS was", f"{key} AS now", f"{here} AS live")
+        # one unit less where the customer was, one more where it is now
+        sides = "inline(array(named_struct('k', was, 'obs', -1.0D, 'live', true), named_struct('k', now, 'obs', 1.0D, 'live', live)))"
+        changes = each.where("NOT live OR NOT (was <=> now)").selectExpr("n", "s_mask", sides).filter("live").selectExpr("n", "s_mask", "k", "0.0D AS ref", "obs")
+        clean = people.groupBy(F.expr(q.key).alias("k")).agg(F.count("*").cast("double").alias("ref"))
+        clean = clean.selectExpr("k", "ref", f"explode(sequence(0, {len(scenarios) - 1})) AS n").selectExpr("n", f"explode(array({subsets})) AS s_mask", "k", "ref", "ref AS obs")
+        counted = clean.unionByName(changes).groupBy("n", "s_mask", "k").agg(F.sum("ref").alias("ref"), F.sum("obs").alias("obs"))
+        loss = counted.groupBy("n", F.lit(q_index).alias("q"), "s_mask").agg(relative_error(F.col("ref"), F.col("obs")).alias("loss"))
         pieces = loss if pieces is None else pieces.unionByName(loss)
     return pieces
 
@@ -560,22 +640,28 @@ def risk_surface(
     numbered = list(enumerate(workload))
     additive = [(i, q) for i, q in numbered if q.aggregate != "distinct"]
     distinct = [(i, q) for i, q in numbered if q.aggregate == "distinct"]
-    parts = None
-    if additive:
-        cells = _sum_cells(star, defects, scenarios, master_seed, additive)
-        parts = _sum_losses(cells, defects, additive, len(scenarios))
-    if distinct:
-        more = _distinct_losses(star, defects, scenarios, master_seed, distinct)
-        parts = more if parts is None else parts.unionByName(more)
-    if masks is None:
+    named = masks is not None
+    if not named:
         masks = spark.range(1 << len(defects)).withColumnRenamed("id", "mask")
     # a combination has the answer of its part that the query can see
     sights = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), F.lit(relevant_mask(defects, q)).cast("long").alias("seen")) for i, q in numbered]))
     spread = masks.select(F.col("mask").cast("long").alias("mask")).distinct().select("mask", sights.alias("s")).select("s.q", "mask", F.col("mask").bitwiseAND(F.col("s.seen")).alias("s_mask"))
-    names = F.broadcast(small_table(spark, [(i, q.name) for i, q in numbered], "q int, query string"))
-    pairs = F.broadcast(
-        small_table(spark, [(n, s.severity, s.repeat) for n, s in enumerate(scenarios)], "n int, severity double, repeat int")
-    )
+    if named:  # read by several plans, and possibly the result of random orders
+        spread = stored(spread, "named")
+    seen = spread.select("q", "s_mask").distinct() if named else None
+    parts = None
+    if additive:
+        cells = _sum_cells(star, defects, scenarios, master_seed, additive, seen)
+        parts = _sum_losses(cells, defects, additive, len(scenarios), seen)
+    if distinct:
+        # as many combinations as are named
+        shown = {i: _subsets(relevant_mask(defects, q)) for i, q in distinct}
+        if named:
+            shown = {i: sorted(row["s_mask"] for row in seen.where(F.col("q") == i).collect()) for i, _ in distinct}
+        more = _distinct_losses(star, defects, scenarios, master_seed, [(i, q) for i, q in distinct if shown[i]], shown)
+        parts = more if parts is None or more is None else parts.unionByName(more)
+    names = small_table(spark, [(i, q.name) for i, q in numbered], "q int, query string")
+    pairs = small_table(spark, [(n, s.severity, s.repeat) for n, s in enumerate(scenarios)], "n int, severity double, repeat int")
     losses = parts.join(spread, ["q", "s_mask"]).join(names, "q").join(pairs, "n")
     losses = losses.select("severity", "repeat", "query", "mask", "loss")
     return Surface(
@@ -591,6 +677,55 @@ def risk_surface(
     )
 
 
+def _flagged(star: Star, defects: Sequence[Defect], scenarios: Sequence[Scenario], master_seed: int) -> Star:
+    """The star with what the dice of all scenarios say of each row, written once.
+
+    ``_hit_<scenario>_<defect>`` is a test, or a number of copies; streams are kept where they are needed.
+    """
+    numbered = list(enumerate(defects))
+    on_orders = {f"_hit_{n}_{i}": (s, d) for n, s in enumerate(scenarios) for i, d in numbered if not isinstance(d, CustomerDefect)}
+    on_customers = {f"_hit_{n}_{i}": (s, d) for n, s in enumerate(scenarios) for i, d in numbered if isinstance(d, CustomerDefect)}
+    orders, words = struck(star.orders, on_orders, master_seed, KEYS), {}
+    for n, s in enumerate(scenarios):
+        for i, d in numbered:
+            for stream in d.streams if isinstance(d, OrderDefect) else ():
+                words[f"_{stream}_{n}_{i}"] = ("order_id", stream_seeds(master_seed, s.repeat, d.name, stream))
+    orders = dice.add_rolls(orders, words)
+    orders = orders.withColumns({w: F.when(F.col("_hit_" + "_".join(w.rsplit("_", 2)[1:])), F.col(w)) for w in words})
+    customers = struck(_prepared_customers(star, defects), on_customers, master_seed, KEYS)
+    return star.with_tables(orders=stored(orders, "flagged-orders"), customers=stored(customers, "flagged-customers"))
+
+
+def _assembled(star: Star, flagged: Star, defects: Sequence[Defect], n: int, mask: int) -> Star:
+    """The star of one scenario and combination, row by row from the flags."""
+    orders, customers, copies = flagged.orders, flagged.customers, None
+    for d in in_order(defects):
+        i = list(defects).index(d)
+        hit = F.col(f"_hit_{n}_{i}")
+        if not mask >> i & 1:
+            continue
+        if isinstance(d, OrderDefect):
+            new = d.rewrite({c: F.col(c) for c in star.orders.columns}, {x: F.col(f"_{x}_{n}_{i}") for x in d.streams})
+            orders = orders.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items() if c in star.orders.columns})
+        elif isinstance(d, CustomerDefect):
+            customers = customers.withColumns({c: F.when(hit, F.col(d.damaged(c))).otherwise(F.col(c)) for c in d.writes})
+        else:  # a copy has its order's id, and so its hits
+            copies = hit if copies is None else copies + hit
+    if copies is not None:
+        orders = orders.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies)))
+    return star.with_tables(orders=orders.select(*star.orders.columns), customers=customers.select(*star.customers.columns))
+
+
+def _visible(defects: Sequence[Defect], query: Query | SqlQuery) -> int:
+    """The defects that may change the query's answer."""
+    if isinstance(query, Query):
+        return relevant_mask(defects, query)
+    if query.columns is None:
+        return (1 << len(defects)) - 1
+    needed = _closure(defects, set(query.columns))
+    return sum(1 << i for i, d in enumerate(defects) if isinstance(d, CopyDefect) or set(d.writes) & needed)
+
+
 def direct_surface(
     star: Star,
     defects: Sequence[Defect],
@@ -605,7 +740,9 @@ def direct_surface(
     """The same losses by damaging the star and running the workload once per combination.
 
     For workloads or defects the one-pass form cannot express: raw SQL,
-    re-linked keys, other distinct counts.
+    re-linked keys, other distinct counts. The dice are rolled once, for all repeats, and their
+    results written; a query runs once for all combinations whose damage looks alike to it; and
+    the losses of BATCH runs are computed and written together.
     """
     defects = checked(defects)
     repeats = tuple(range(repeats)) if isinstance(repeats, int) else tuple(repeats)
@@ -616,22 +753,27 @@ def direct_surface(
     workload = tuple(workload or star_workload())
     resolved = query_weights([q.name for q in workload], weights)
     scenarios = plan_scenarios(star, defects, [severity], repeats, master_seed)
+    spark = star.orders.sparkSession
+    named = sorted(set(range(1 << len(defects)) if masks is None else masks))
+    flagged = _flagged(star, defects, scenarios, master_seed)
     # every comparison reads the clean answers
     reference = {name: stored(answer, "answer") for name, answer in execute_workload(star, workload).items()}
-    losses = None
-    for s in scenarios:
-        for mask in range(1 << len(defects)) if masks is None else masks:
-            chosen = [d for i, d in enumerate(defects) if mask >> i & 1]
-            observed = execute_workload(damaged_star(star, chosen, s, master_seed), workload) if chosen else reference
-            for q in workload:
-                loss = answer_loss(reference[q.name], observed[q.name], keys_of(q), values_of(q)).select(
-                    F.lit(s.severity).alias("severity"),
-                    F.lit(s.repeat).alias("repeat"),
-                    F.lit(q.name).alias("query"),
-                    F.lit(mask).cast("long").alias("mask"),
-                    "loss",
-                )
-                losses = loss if losses is None else losses.unionByName(loss)
+    seen = {q.name: _visible(defects, q) for q in workload}
+    runs = [(n, part, q) for q in workload for n in range(len(scenarios)) for part in sorted({m & seen[q.name] for m in named} - {0})]
+    told = spark.sql("SELECT 0 AS n, '' AS query, 0L AS part, 0.0D AS loss WHERE false")
+    for lo in range(0, len(runs), BATCH):
+        batch = None
+        for n, part, q in runs[lo : lo + BATCH]:
+            observed = run(_assembled(star, flagged, defects, n, part), q)
+            loss = answer_loss(reference[q.name], observed, keys_of(q), values_of(q))
+            loss = loss.select(F.lit(n).alias("n"), F.lit(q.name).alias("query"), F.lit(part).cast("long").alias("part"), "loss")
+            batch = loss if batch is None else batch.unionByName(loss)
+        told = told.unionByName(stored(batch, "direct-losses"))
+    clean = [(n, q.name, 0, 0.0) for q in workload for n in range(len(scenarios))]
+    told = told.unionByName(small_table(spark, clean, "n int, query string, part long, loss double"))
+    spread = small_table(spark, [(q.name, m & seen[q.name], m) for q in workload for m in named], "query string, part long, mask long")
+    settings = small_table(spark, [(n, s.severity, s.repeat) for n, s in enumerate(scenarios)], "n int, severity double, repeat int")
+    losses = told.join(spread, ["query", "part"]).join(settings, "n").select("severity", "repeat", "query", "mask", "loss")
     return Surface(
         star,
         losses,

@@ -50,12 +50,17 @@ class Query:
 
 @dataclass(frozen=True)
 class SqlQuery:
-    """Any SQL text over tables named orders, customers and products."""
+    """Any SQL text over tables named orders, customers and products.
+
+    ``columns`` may name all columns that the text uses: combinations that differ only in damage to
+    others are then run once. Without it every combination is run.
+    """
 
     name: str
     sql: str
     keys: tuple[str, ...]
     values: tuple[str, ...]
+    columns: tuple[str, ...] | None = None
 
 
 def star_workload() -> tuple[Query, ...]:

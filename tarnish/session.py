@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
 _written: dict[tuple, str] = {}
+_kept: dict[tuple, object] = {}
 
 
 def local_session(app: str = "tarnish", cores: str = "*", **conf: str) -> SparkSession:
@@ -67,6 +68,14 @@ def stored_once(spark: SparkSession, key: tuple, build) -> DataFrame:
     return spark.read.parquet(_written[full])
 
 
+def kept_once(spark: SparkSession, key: tuple, build):
+    """As ``stored_once``, for what its builder has written already, as tables with dense ids are."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _kept:
+        _kept[full] = build()
+    return _kept[full]
+
+
 def _literal(value) -> str:
     if value is None:
         return "NULL"

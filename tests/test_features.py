@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tarnish.operators import feature_defects as ffx
 from tarnish.operators.loss import prediction_loss
 from tarnish.plans import models, studies
+from tarnish.session import stored
 from tarnish.sources.features import csv_features
 
 
@@ -206,3 +207,17 @@ def test_numbers_do_not_depend_on_files(spark, tmp_path):
         rows.repartition(parts).write.csv(path, header=True)
         numbered.append(sorted(map(tuple, csv_features(spark, path, "y", "regression").rows.collect())))
     assert numbered[0] == numbered[1]
+
+
+def test_a_million_classes_are_split_without_a_list(spark, monkeypatch):
+    """As many classes as there are rows, and one that holds a third of them: nothing of their number comes to the driver."""
+    rows = spark.range(1_200_000).select(F.col("id").alias("row_id"), F.lit(1.0).alias("f0"), F.when(F.col("id") % 6 == 0, -1).otherwise(F.col("id")).cast("long").alias("label"))
+    table = ffx.Features(stored(rows, "many-classes"), ("f0",), "classification")
+    fetched = []
+    collect = type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda self: (fetched.append(len(out := collect(self))), out)[1])
+    told = models.splits(table, 1, 0.25, 3).all().join(rows, "row_id")
+    got = told.groupBy((F.col("label") == -1).alias("hot")).agg(F.sum(F.col("is_test").cast("int")).alias("t"), F.count("*").alias("n"))
+    tested = {r.hot: r.t for r in got.collect()}
+    assert tested[True] == 50_000 and sum(tested.values()) == 300_000
+    assert max(fetched) < 1_000

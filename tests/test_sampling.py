@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tarnish.functions import dice
 from tarnish.operators import sampling
 from tarnish.operators.quantiles import exact_quantiles
+from tarnish.session import stored
 
 
 @pytest.mark.parametrize("n", [0, 1, 37, 500, 999, 1000])
@@ -97,3 +98,42 @@ def test_exact_quantiles_equal_the_builtin(spark, size):
     want = rows.agg(F.percentile("a", listed).alias("a"), F.percentile("b", listed).alias("b")).first()
     assert got["a"] == pytest.approx(want.a) and got["b"] == pytest.approx(want.b)
     assert got["c"] == [None] * 6
+
+
+def test_cuts_where_the_first_range_misses(spark, monkeypatch):
+    """Rolls far from where an even spread would have them, and ranges that are counted piece by piece."""
+    ids = spark.range(60_000)
+    seeds = dice.seed_words("adverse", 1)
+    # only ids with low rolls are left, so that the expected range holds none of them
+    rolled = dice.add_rolls(ids, {"h": ("id", seeds)}).where(F.col("h") < (1 << 27))
+    low = stored(rolled.select("id", "h"), "low-rolls")
+    n = low.count()
+    ranked = [(r.h, r.id) for r in low.orderBy("h", "id").collect()]
+    largest = {}
+    inner = sampling._holding
+
+    def watched(rows, keys):
+        counted = rows.selectExpr(*keys, sampling._PIECE, sampling._RANKED_ID).groupBy(*keys, "piece", "k").count().groupBy(*keys).count()
+        largest["rows"] = max(largest.get("rows", 0), counted.agg(F.max("count")).first()[0])
+        return inner(rows, keys)
+
+    monkeypatch.setattr(sampling, "_holding", watched)
+    monkeypatch.setattr(sampling, "RANKED", 50)
+    monkeypatch.setattr(sampling, "PIECES", 16)
+    for want in (1, 7, n // 2, n - 1):
+        assert sampling.find_cuts(low.select("id"), "id", [sampling.Stream(seeds, want)], n) == [ranked[want - 1]]
+    assert largest["rows"] <= 52
+
+
+def test_group_cuts_agree_with_cuts_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "RANKED", 40)
+    monkeypatch.setattr(sampling, "PIECES", 8)
+    ids = stored(spark.range(9_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g")), "groups")
+    sizes = {r.g: r["count"] for r in ids.groupBy("g").count().collect()}
+    seeds = dice.seed_words("groups", 4)
+    wants = {g: (i * 7) % (n + 1) for i, (g, n) in enumerate(sorted(sizes.items()))} | {"hot": 1234}
+    rows = [(g, 0, *seeds, sizes[g], wants[g]) for g in sizes]
+    wanted = spark.createDataFrame(rows, "group string, slot int, one long, two long, size long, want long")
+    got = {r.group: (r.h, r.k) for r in sampling.group_cuts(ids, "id", "g", wanted).collect()}
+    listed = sampling.find_cuts(ids, "id", [sampling.Stream(seeds, wants[g], g, sizes[g]) for g in sizes], 9_000, "g")
+    assert got == dict(zip(sizes, listed))

@@ -118,3 +118,33 @@ def test_fingerprints_tell_tables_apart(spark):
     one = spark.createDataFrame([(1, 0.5), (2, None)], "x int, y double")
     other = spark.createDataFrame([(None, 2), (0.5, 1)], "y double, x int")
     assert sinks.table_fingerprint(one).first() == sinks.table_fingerprint(other).first()
+
+
+def test_doubles_are_written_by_their_bits(spark):
+    import struct
+
+    numbers = [0.0, -0.0, 1.0, -1.5, 0.1, 1e10, 2e10, 1e308, -1.7976931348623157e308, 2.2250738585072014e-308, 5e-324, 3e-320, float("inf"), float("-inf"), float("nan")]
+    numbers += [2.0**k for k in range(-1074, 1024, 37)] + [float(np_next) for np_next in (0.9999999999999999, 1.0000000000000002, 3.9999999999999996)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    told = {r.i: r.t for r in rows.select("i", sinks.double_text(F.col("x")).alias("t")).collect()}
+    bits = {i: struct.pack(">d", x if x else 0.0) for i, x in enumerate(numbers)}
+    assert all((told[i] == told[j]) == (bits[i] == bits[j]) for i in told for j in told)
+    assert told[2] == f"{1 << 52}p0" and told[0] == told[1] == "0"
+
+    def printed(*values):
+        return sinks.table_fingerprint(spark.createDataFrame([(v,) for v in values], "x double")).first()
+
+    assert printed(1e10, 0.0) != printed(2e10, float("nan"))
+    assert printed(0.1, None) != printed(0.1 + 1e-12, None)
+
+
+def test_large_files_are_hashed_as_streams(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    sizes = {"empty": 0, "small": 1_000, "large": 3 * sinks.PIECE + 17, "nested/also large": 2 * sinks.PIECE}
+    for name, size in sizes.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(bytes(i * 31 % 251 for i in range(997)) * (size // 997) + b"x" * (size % 997))
+    monkeypatch.setattr(sinks, "WHOLE_BYTES", 2_000)
+    got = {r.path.split(str(tmp_path) + "/")[-1].replace("%20", " "): (r.length, r.sha256) for r in sinks.file_hashes(spark, str(tmp_path)).collect()}
+    assert got == {name: (size, hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()) for name, size in sizes.items()}
