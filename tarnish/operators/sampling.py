@@ -27,6 +27,8 @@ CHUNK = 32768
 DRAWS_PER_TASK = 2_000_000
 #: Rows that one window ranks, and pieces that a range of rolls is counted in.
 RANKED, PIECES = 20_000, 4096
+#: Populations up to so many times RANKED trust the expected number of rows in their first range; larger ones count it.
+TRUSTED = 50
 WIDTH = 8.0
 
 Cut = tuple[int, int]
@@ -103,7 +105,7 @@ def find_cuts(
             cuts[i] = EVERYTHING
         else:
             low, high = _bracket(s.count, sizes[i], WIDTH)
-            ranges[i] = (low, high, sizes[i] * (high - low) / RANGE)
+            ranges[i] = (low, high, sizes[i] * (high - low) / RANGE if sizes[i] <= TRUSTED * RANKED else math.inf)
     while ranges:
         slots = [(i, streams[i], low, high, _step(low, high, rows)) for i, (low, high, rows) in ranges.items()]
         if group is None:
@@ -149,7 +151,7 @@ def group_cuts(ids: DataFrame, key: str, group: str, wanted: DataFrame) -> DataF
         "*",
         f"greatest(0L, cast(floor((want - {slack}) / size * {RANGE}) AS bigint)) AS low",
         f"least({RANGE}L, cast(ceil((want + {slack}) / size * {RANGE}) AS bigint) + 1) AS high",
-    ).selectExpr("group", "slot", "one", "two", "want", "low", "high", f"size * (high - low) / {RANGE} AS n")
+    ).selectExpr("group", "slot", "one", "two", "want", "low", "high", f"if(size <= {TRUSTED * RANKED}L, size * (high - low) / {RANGE}, double('infinity')) AS n")
     step = f"if(n <= {RANKED} OR high - low <= 1, 0L, (high - low + {PIECES - 1}) div {PIECES}) AS step"
     keys = ["group", "slot", "one", "two", "want", "low", "high", "step"]
     ranges, done = stored(ranges, "ranges"), whole
