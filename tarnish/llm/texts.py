@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Bytes of text that a task turns into Python objects at a time; a longer text comes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
 #: Java's regular expression and Python's bytes.split() agree on these six characters.
 SPACES = r"[\x20\x09-\x0D]+"

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from tarnish.llm.texts import BYTE_CODES, span_hashes
 
 #: Words whose ids a Python worker remembers between slices, and how many it asks for at a time.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 ASKED = 20_000
 #: Bytes of texts whose words are looked up together, and what sets words at the start of a text apart.
 SLICE, FIRST = 1 << 20, np.uint64(0x5851F42D4C957F2D)
