@@ -565,8 +565,7 @@ def _distinct_losses(
         present = orders.groupBy("customer_id").agg(*[F.bit_and(name).alias(name) for name in marks])
     else:
         present = orders.distinct()
-    # read for the clean counts and for the changes
-    people = stored(present.join(_prepared_customers(star, defects), "customer_id"), "counted-customers")
+    people = present.join(_prepared_customers(star, defects), "customer_id")
     moved = {f"moved_{n}_{i}": (s, d) for n, s in enumerate(scenarios) for i, d in movers}
     kept = people.columns
     people = struck(people, moved, master_seed, KEYS).selectExpr(
@@ -577,6 +576,8 @@ def _distinct_losses(
             for w in range(words)
         ],
     )
+    # read for the clean counts and for the changes; tests on flags that are not written would roll the dice anew
+    people = stored(people, "counted-customers")
 
     def bit(name: str) -> str:
         """SQL test: the bit of scenario n in a packed column."""
