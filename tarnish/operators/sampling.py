@@ -12,8 +12,11 @@ cut; if the cut lies elsewhere, the side where it lies is the next range.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ RANKED, PIECES = 20_000, 4096
 #: Populations up to so many times RANKED trust the expected number of rows in their first range; larger ones count it.
 TRUSTED = 50
 WIDTH = 8.0
+#: Rows of a key that one window numbers; rows of a partition, for tables of more than so many partitions of them.
+HOT, DEALT, FEW_DEALT = 100_000, 200_000, 10
 
 Cut = tuple[int, int]
 NOTHING: Cut = (-1, -1)
@@ -321,3 +326,59 @@ def dense_ids(df: DataFrame, keys: list[str], name: str = "row_id") -> DataFrame
         .withColumn(name, F.col("_start") + F.col("_place").bitwiseAND(F.lit(low)))
         .drop("_part", "_start", "_place")
     )
+
+
+def dealt_by(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The rows dealt by the key, a large table's into so many partitions that the size of one does not grow with it."""
+    if rows <= FEW_DEALT * DEALT:
+        return df
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // DEALT)), key)
+
+
+def _starts(counts: DataFrame, key: str) -> DataFrame:
+    """(key, _n, _start): how many rows the smaller keys have, from (key, _n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            n = batch.column("_n").to_numpy()
+            upto = total + np.cumsum(n)
+            total = int(upto[-1]) if len(upto) else total
+            yield batch.append_column("_before", pa.array(upto - n))
+
+    # written first, as finding the ranges reads the counts twice
+    dealt = stored(counts, "key-counts").repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
+    kind = counts.schema[key].dataType.simpleString()
+    placed = stored(dealt.select(key, "_n", "_part").mapInArrow(run, f"{key} {kind}, _n long, _part int, _before long"), "starts")
+    starts, total = [], 0
+    for row in placed.groupBy("_part").agg(F.sum("_n").alias("n")).orderBy("_part").collect():
+        starts.append((row._part, total))
+        total += row.n
+    offsets = small_table(counts.sparkSession, starts, "_part int, _first long")
+    return placed.join(offsets, "_part").select(key, "_n", (F.col("_first") + F.col("_before")).alias("_start"))
+
+
+def keyed_ids(df: DataFrame, key: str, rest: list[str], name: str, columns: list) -> DataFrame:
+    """``columns`` of the rows numbered 0..N-1 by ``key``, never null, and ``rest``, as ``dense_ids`` numbers them, and written.
+
+    Rows are counted by key, and keys, not rows, are sorted; a row's number is its key's first and its rank
+    among the rows of the key. So whole rows travel once, to their key, and not at all if they
+    are there already. Keys of more than HOT rows are numbered by ``dense_ids``.
+    """
+    starts = _starts(df.groupBy(key).agg(F.count("*").alias("_n")), key)
+    # as many as HOT goes into the rows
+    hot = starts.where(F.col("_n") > HOT).orderBy(key).collect()
+    few = df
+    if hot:
+        firsts, total = [], 0
+        for row in hot:
+            firsts.append((row[key], row._start - total))
+            total += row._n
+        crowded = small_table(df.sparkSession, firsts, f"{key} {starts.schema[key].dataType.simpleString()}, _shift long")
+        few = df.join(crowded, key, "left_anti")
+    rank = F.row_number().over(W.partitionBy(key).orderBy(*rest))
+    numbered = few.join(starts, key).withColumn(name, F.col("_start") + rank - 1).select(name, *columns)
+    if hot:
+        many = dense_ids(df.join(crowded, key), [key, *rest], "_at")
+        numbered = numbered.unionByName(many.withColumn(name, F.col("_at") + F.col("_shift")).select(name, *columns))
+    return stored(numbered, "numbered")

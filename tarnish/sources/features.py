@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tarnish.operators.feature_defects import Features
-from tarnish.operators.sampling import dense_ids
+from tarnish.operators.sampling import dealt_by, dense_ids, keyed_ids
 from tarnish.sources.star import LINE_KEY, read
 
 
 def price_regression(spark: SparkSession, folder: str) -> Features:
     """Extended price from quantity, discount, tax and part attributes; one row per line."""
     part = read(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice")
-    lines = read(spark, folder, "lineitem").withColumn("_tie", F.monotonically_increasing_id())
+    lines = read(spark, folder, "lineitem").select(*LINE_KEY, "l_quantity", "l_discount", "l_tax", F.monotonically_increasing_id().alias("_tie"))
     rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     columns = {
         "quantity": "l_quantity",
@@ -23,11 +23,16 @@ def price_regression(spark: SparkSession, folder: str) -> Features:
         "part_size": "p_size",
         "retail_price": "p_retailprice",
     }
-    picked = rows.select(
-        *LINE_KEY, "_tie", *[F.col(old).cast("double").alias(new) for new, old in columns.items()]
+    # lines without an order come first, with the smallest of its numbers
+    keyed = rows.withColumn("_order", F.coalesce(F.col(LINE_KEY[0]).cast("long"), F.lit(-(1 << 63))))
+    values = {new: F.col(old).cast("double") for new, old in columns.items()}
+    out = keyed_ids(
+        dealt_by(keyed, "_order", lines.count()),
+        "_order",
+        [*LINE_KEY, *values.values(), "_tie"],
+        "row_id",
+        [*[v.alias(c) for c, v in values.items()], F.col("l_extendedprice").cast("double").alias("label")],
     )
-    numbered = dense_ids(picked, [*LINE_KEY, *columns, "_tie"], "row_id")
-    out = numbered.select("row_id", *columns, F.col("l_extendedprice").cast("double").alias("label"))
     return Features(out, tuple(columns), "regression")
 
 

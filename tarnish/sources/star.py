@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnish.functions import dice
-from tarnish.operators.sampling import dense_ids, hash_sample
+from tarnish.operators.sampling import dealt_by, dense_ids, hash_sample, keyed_ids
 from tarnish.session import stored
 
 CUSTOMER_COLUMNS = ("customer_id", "region", "segment")
@@ -86,23 +86,10 @@ def products_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """The fact columns of ``lineitem`` joined with ``orders``, not numbered yet."""
-    lines = read(spark, folder, "lineitem").withColumn("_tie", F.monotonically_increasing_id())
+    """The columns of ``lineitem`` and its orders that facts are made of, dealt by order, not numbered yet."""
+    lines = read(spark, folder, "lineitem").select(*LINE_KEY, "l_quantity", "l_discount", "l_returnflag", F.monotonically_increasing_id().alias("_tie"))
     heads = read(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    return lines.join(heads, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        *LINE_KEY,
-        "_tie",
-        F.col("o_custkey").cast("long").alias("customer_id"),
-        F.col("l_partkey").cast("long").alias("product_id"),
-        F.col("l_shipdate").alias("order_date"),
-        F.col("l_quantity").cast("double").alias("quantity"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
-        F.col("l_discount").cast("double").alias("discount"),
-        F.when(F.col("l_returnflag") == "N", "completed")
-        .when(F.col("l_returnflag") == "R", "refunded")
-        .otherwise("cancelled")
-        .alias("status"),
-    )
+    return dealt_by(lines, "l_orderkey", lines.count()).join(heads, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
 
 
 def line_star(spark: SparkSession, folder: str) -> Star:
@@ -110,15 +97,29 @@ def line_star(spark: SparkSession, folder: str) -> Star:
 
     The customers are written once, so that joins with them are planned by their real size.
     """
-    facts = line_facts(spark, folder)
+    status = F.when(F.col("l_returnflag") == "N", "completed").when(F.col("l_returnflag") == "R", "refunded").otherwise("cancelled")
     # by every column there is: the file layout decides between equal rows only
-    values = [c for c in facts.columns if c not in LINE_KEY and c != "_tie"]
-    numbered = dense_ids(facts, [*LINE_KEY, *values, "_tie"], "order_id")
+    values = [F.col("o_custkey").cast("long"), F.col("l_quantity").cast("double"), F.col("l_discount").cast("double"), status]
+    orders = keyed_ids(
+        line_facts(spark, folder),
+        LINE_KEY[0],
+        [*LINE_KEY[1:], *values, "_tie"],
+        "order_id",
+        [
+            F.col("o_custkey").cast("long").alias("customer_id"),
+            F.col("l_partkey").cast("long").alias("product_id"),
+            F.col("l_shipdate").alias("order_date"),
+            F.col("l_quantity").cast("double").alias("quantity"),
+            (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+            F.col("l_discount").cast("double").alias("discount"),
+            status.alias("status"),
+        ],
+    )
     return Star(
         "retail_lines",
         stored(customers_of(spark, folder), "customers"),
         products_of(spark, folder),
-        numbered.select(*ORDER_COLUMNS),
+        orders.select(*ORDER_COLUMNS),
         "given",
     )
 

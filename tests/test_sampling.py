@@ -137,3 +137,21 @@ def test_group_cuts_agree_with_cuts_of_lists(spark, monkeypatch):
     got = {r.group: (r.h, r.k) for r in sampling.group_cuts(ids, "id", "g", wanted).collect()}
     listed = sampling.find_cuts(ids, "id", [sampling.Stream(seeds, wants[g], g, sizes[g]) for g in sizes], 9_000, "g")
     assert got == dict(zip(sizes, listed))
+
+
+@pytest.mark.parametrize("hot", [sampling.HOT, 50])
+def test_keyed_ids_are_dense_ids_without_sorting_rows(spark, monkeypatch, hot):
+    """Ranks within counted keys, keys above HOT rows apart; only keys are dealt by range."""
+    monkeypatch.setattr(sampling, "HOT", hot)
+    rows = spark.range(1_000).selectExpr("if(id % 3 = 0, -7L, id % 200) AS key", "id * 37 % 11 AS v", "id AS _tie")
+    got = sampling.keyed_ids(rows, "key", ["v", "_tie"], "n", ["key", "v", "_tie"])
+    want = sampling.dense_ids(rows, ["key", "v", "_tie"], "n")
+    assert sorted(got.select("n", "key", "v", "_tie").collect()) == sorted(want.select("n", "key", "v", "_tie").collect())
+    assert sampling.keyed_ids(rows.limit(0), "key", ["v", "_tie"], "n", ["key"]).collect() == []
+
+
+def test_size_of_partitions_does_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "DEALT", 100)
+    rows = spark.range(5_000)
+    assert sampling.dealt_by(rows, "id", 5_000).rdd.getNumPartitions() == 50
+    assert sampling.dealt_by(rows, "id", 900) is rows
