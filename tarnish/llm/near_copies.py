@@ -1,13 +1,16 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of SIMILAR or more.
 
-MinHash bands propose pairs, the sets themselves prove them. With BANDS bands of ROWS minima, a
-pair at the threshold shares no band with probability (1 - 0.8^5)^30 = 7e-6, a closer one less.
-Documents with equal sets are one node throughout. ``similar_sets`` finds the components of what
-shares a band.
+Components of SimHash fingerprints, found by op7's grid join, propose pairs; so do MinHash bands, for the
+similar texts whose fingerprints are further apart. The sets themselves prove them. With BANDS bands of
+ROWS minima, a pair at the threshold shares no band with probability (1 - 0.8^5)^30 = 7e-6, a closer one
+less. Documents with equal sets are one node throughout. ``similar_sets`` finds the components of what
+shares a band or a component of fingerprints.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -58,19 +61,28 @@ def _nodes(texts: list[str]) -> dict:
 def copy_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): each node but one of its component, with that one.
 
-    ``nodes`` has (node, n, bands, one): the key of one document each, whose text is in ``docs`` (text, KEY).
+    ``nodes`` has (node, n, bands, fp, one): the key of one document each, whose text is in ``docs`` (text, KEY),
+    and ``fp`` names the component of its fingerprint.
     """
-    marked = nodes.where("n > 0").withColumnRenamed("bands", "marks")
-    return similar_components(marked, docs, marked.select("node", F.explode("marks").alias("bucket")), Likeness(shingle_set, SIMILAR, (BANDS,)))
+    marked = nodes.where("n > 0").withColumn("marks", F.array_append("bands", F.col("fp")))
+    return similar_components(marked, docs, marked.select("node", F.explode("marks").alias("bucket")), Likeness(shingle_set, SIMILAR, (BANDS + 1,)))
 
 
-def one_of_each(keyed: DataFrame) -> DataFrame:
+def one_of_each(keyed: DataFrame, fingerprints: Callable[[list[str]], np.ndarray], components: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(ka, kb) of one document of each component of ``keyed`` (row, text, KEY): that of the smallest id, null ids last, then of the smallest text hash.
 
-    Texts without words (null, empty, blank) have equal sets and are copies of each other.
+    ``fingerprints`` gives each text's, ``components`` the (fp, root) of distinct ones. Texts without words
+    (null, empty, blank) have equal sets and are copies of each other.
     """
-    marked = stored(per_text(keyed.select("text", *KEY, F.col("row.doc_id").isNull().alias("last")), _nodes, "node long, n long, bands array<long>"), "nodes")
-    nodes = stored(marked.groupBy("node").agg(F.min(F.struct("last", *KEY)).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+
+    def told(texts: list[str]) -> dict:
+        return _nodes(texts) | {"fp": fingerprints(texts)}
+
+    marked = stored(per_text(keyed.select("text", *KEY, F.col("row.doc_id").isNull().alias("last")), told, "node long, n long, bands array<long>, fp long"), "nodes")
+    # one fingerprint for a set of shingles: a candidate more or less
+    nodes = stored(marked.groupBy("node").agg(F.min(F.struct("last", *KEY)).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp")), "nodes")
+    named = stored(components(nodes.where("n > 0").select("fp").distinct()), "components")
+    nodes = nodes.join(named, "fp", "left").withColumn("fp", F.coalesce("root", "fp")).drop("root")
     roots = copy_links(nodes, keyed).select(F.col("a").alias("node"), F.col("b").alias("root"))
     first = nodes.select("node", "one").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("one").alias("one"))
     return first.select("one.ka", "one.kb")

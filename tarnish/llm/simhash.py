@@ -203,9 +203,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def documents_without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, one of each group of near copies (see ``near_copies``): that of the smallest id, null ids last, then of the smallest text hash.
+    """The documents, all columns, one of each group of near copies (see ``near_copies``; fingerprints propose them too): that of the smallest id, null ids last, then of the smallest text hash.
 
     Of rows that repeat both id and text, one stays.
     """
     keyed = with_key(docs, docs.columns)
-    return keyed.join(one_of_each(keyed), KEY, "left_semi").groupBy(*KEY).agg(F.first("row").alias("row")).select("row.*")
+    return keyed.join(one_of_each(keyed, signed, named_components), KEY, "left_semi").groupBy(*KEY).agg(F.first("row").alias("row")).select("row.*")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tarnish.llm import near_copies, similar_sets
+from tarnish.llm import near_copies, similar_sets, simhash
 from test_tables import ROWS, as_key
 
 
@@ -84,3 +84,23 @@ def test_bands_propose_pairs_at_the_threshold():
         x, y = near_copies.band_hashes([np.sort(pool[:90]), np.sort(pool[10:])])
         met += bool((x == y).any())
     assert met == 300
+
+
+def test_fingerprints_propose_copies_that_share_no_band(spark, monkeypatch):
+    """The stage goes through op7's grid join: without a common band its components alone lead to the copy, and the sets still decide."""
+    words = [f"w{i}" for i in range(200)]
+    other = [f"x{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:199], "new"])), (3, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+
+    def together(points):
+        found.append(points.count())
+        return points.selectExpr("fp", "7L AS root")
+
+    apart = near_copies._nodes
+    monkeypatch.setattr(near_copies, "_nodes", lambda texts: apart(texts) | {"bands": [np.array([hash(t) + b for b in range(near_copies.BANDS)], dtype=np.int64) >> 1 for t in texts]})
+    monkeypatch.setattr(simhash, "named_components", together)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert found == [3]
