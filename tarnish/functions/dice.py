@@ -15,6 +15,8 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnish.session import compiled
+
 MASK = (1 << 31) - 1
 MULTIPLIERS = (1103515245, 1566083941, 1812433253, 1597334677)
 SPAN = float(1 << 31)
@@ -47,10 +49,12 @@ def add_rolls(df: DataFrame, rolls: Mapping[str, tuple]) -> DataFrame:
     """Many rolls (name -> (key, seeds)) as columns.
 
     Every step reads the one before it twice; separate projections keep each
-    step evaluated once and the generated code small enough to be compiled.
+    step evaluated once and the generated code small. With many rolls, or long tests of them, a fused
+    loop is too large for the JVM to compile, so such steps are not fused.
     """
     if not rolls:
         return df
+    compiled(df.sparkSession)
     kept = [c for c in df.columns if c not in rolls]
     first = df.selectExpr(*kept, *[f"{_spread(key, seeds[0])} AS `{name}`" for name, (key, seeds) in rolls.items()])
     second = first.selectExpr(*kept, *[f"{_stir(name, seeds[1])} AS `{name}`" for name, (_, seeds) in rolls.items()])

@@ -31,6 +31,17 @@ def local_session(app: str = "tarnish", cores: str = "*", **conf: str) -> SparkS
     return builder.getOrCreate()
 
 
+#: Bytes of a generated method that the JVM still compiles; a larger one is interpreted for every row.
+COMPILED_BYTES = 8_000
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+def compiled(spark: SparkSession) -> None:
+    """Steps whose fused loop the JVM would not compile run operator by operator, unless the session names a limit of its own."""
+    if spark.conf.get(METHOD_LIMIT) == "65535":
+        spark.conf.set(METHOD_LIMIT, str(COMPILED_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 

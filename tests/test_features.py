@@ -221,3 +221,16 @@ def test_a_million_classes_are_split_without_a_list(spark, monkeypatch):
     tested = {r.hot: r.t for r in got.collect()}
     assert tested[True] == 50_000 and sum(tested.values()) == 300_000
     assert max(fetched) < 1_000
+
+
+def test_large_generated_methods_are_not_fused(spark):
+    from tarnish.functions import dice
+    from tarnish.session import METHOD_LIMIT
+
+    spark.conf.unset(METHOD_LIMIT)
+    dice.add_rolls(spark.range(3), {"h": ("id", (1, 2))})
+    assert spark.conf.get(METHOD_LIMIT) == "8000"
+    spark.conf.set(METHOD_LIMIT, "20000")
+    dice.add_rolls(spark.range(3), {"h": ("id", (1, 2))})
+    assert spark.conf.get(METHOD_LIMIT) == "20000"
+    spark.conf.unset(METHOD_LIMIT)
