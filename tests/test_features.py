@@ -234,3 +234,24 @@ def test_large_generated_methods_are_not_fused(spark):
     dice.add_rolls(spark.range(3), {"h": ("id", (1, 2))})
     assert spark.conf.get(METHOD_LIMIT) == "20000"
     spark.conf.unset(METHOD_LIMIT)
+
+
+def test_blocks_hold_the_rows_that_they_are_made_of(spark):
+    from tarnish.plans import marked
+
+    rows = [(i // 700, None if i % 9 == 0 else float(i), i % 3 == 0, i / 7, float(i % 5), -float(i), i % 4) for i in range(1_500)]
+    table = spark.createDataFrame(rows, "repeat int, x0 double, lost0 boolean, noise0 double, y double, shift double, extra long").repartition(3)
+
+    def told(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for repeat, got in marked.from_blocks(batch, 1):
+                n = len(got["y"])
+                flat = [pa.array(got[c].reshape(-1)) for c, _ in marked.KEPT]
+                yield pa.RecordBatch.from_arrays([pa.array([repeat] * n, pa.int32()), *flat], names=["repeat", "x0", "lost0", "noise0", "y", "shift", "extra"])
+
+    back = marked.in_blocks(table, 1).mapInArrow(told, table.schema).collect()
+    plain = lambda x: None if x is None or x != x else x
+    assert sorted((tuple(map(plain, r)) for r in back), key=str) == sorted(rows, key=str)
+    assert marked.in_blocks(table, 1).count() < 30
