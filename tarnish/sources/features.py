@@ -8,6 +8,7 @@ from pyspark.sql.types import NumericType
 
 from tarnish.operators.feature_defects import Features
 from tarnish.operators.sampling import dealt_by, dense_ids, keyed_ids
+from tarnish.session import stored
 from tarnish.sources.star import LINE_KEY, read
 
 
@@ -51,7 +52,7 @@ def embedding_classes(spark: SparkSession, folder: str, *, binary: bool = False)
 
 
 def document_quality(spark: SparkSession, folder: str) -> Features:
-    """Shape of a document's whole text, with its quality label."""
+    """Shape of a document's whole text, with its quality label; written, so that texts are read once."""
     docs = read(spark, folder, "documents").join(read(spark, folder, "labels"), "doc_id")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     letters = F.greatest(F.length("text"), F.lit(1)).cast("double")
@@ -70,7 +71,7 @@ def document_quality(spark: SparkSession, folder: str) -> Features:
         *[c.alias(name) for name, c in columns.items()],
         F.col("quality").cast("int").alias("label"),
     )
-    return Features(out, tuple(columns), "classification")
+    return Features(stored(out, "document-features"), tuple(columns), "classification")
 
 
 def csv_features(spark: SparkSession, path: str, target: str, task: str) -> Features:

@@ -255,3 +255,9 @@ def test_blocks_hold_the_rows_that_they_are_made_of(spark):
     plain = lambda x: None if x is None or x != x else x
     assert sorted((tuple(map(plain, r)) for r in back), key=str) == sorted(rows, key=str)
     assert marked.in_blocks(table, 1).count() < 30
+
+
+def test_document_features_are_read_from_what_was_written(spark, data):
+    from tarnish.sources.features import document_quality
+
+    assert not any("documents.parquet" in f for f in document_quality(spark, data).rows.inputFiles())
