@@ -261,3 +261,16 @@ def test_document_features_are_read_from_what_was_written(spark, data):
     from tarnish.sources.features import document_quality
 
     assert not any("documents.parquet" in f for f in document_quality(spark, data).rows.inputFiles())
+
+
+def test_forests_on_many_rows_are_grown_a_few_trees_at_a_time(spark, monkeypatch):
+    from tarnish.plans import models
+
+    rows = spark.range(400).selectExpr("id AS row_id", "cast(id % 20 AS double) AS a", "cast(id % 7 AS double) AS b", "cast(id % 20 > 9 AS int) AS label")
+    monkeypatch.setattr(models, "TREE_ROWS", 400 * 40)
+    for task in ("classification", "regression"):
+        table = ffx.Features(rows, ("a", "b"), task)
+        fitted = models.fit(table, models.model_factory(task, "forest"), 5)
+        assert len(fitted.model.paths) == 3
+        told = fitted.predict(rows).collect()
+        assert len(told) == 400 and sum(abs(r.prediction - r.label) > 0.2 for r in told) == 0
