@@ -70,8 +70,9 @@ def features(text: str, bits: int) -> np.ndarray:
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
     """Weights per bucket and bias of the scaled hinge-loss model, by dual coordinate descent."""
     size = 1 << settings.bits
-    positive = np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y > 0] or [np.zeros(0, dtype=np.int64)]), minlength=size) + settings.smoothing
-    negative = np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y <= 0] or [np.zeros(0, dtype=np.int64)]), minlength=size) + settings.smoothing
+    positive, negative = np.full(size, settings.smoothing), np.full(size, settings.smoothing)
+    for r, y in zip(rows, labels):
+        (positive if y > 0 else negative)[r] += 1  # a row's buckets are distinct
     ratio = np.log(positive / positive.sum()) - np.log(negative / negative.sum())
     values = [ratio[r] / np.sqrt(len(r)) for r in rows]
     # the rarer class weighs as much as the other one
@@ -168,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("doc_id")
-        model = fitted([np.asarray(b, dtype=np.int64) for b in part["buckets"]], np.where(part["label"].to_numpy() > 0, 1, -1), settings)
+        # four bytes a bucket, as they came in: the documents of the fit are held once
+        model = fitted([np.asarray(b, dtype=np.int32) for b in part["buckets"]], np.where(part["label"].to_numpy() > 0, 1, -1), settings)
         return pd.DataFrame({"weights": [model.weights.astype("<f4").tobytes()], "bias": [model.bias], "slope": [model.slope], "shift": [model.shift]})
 
     one = found.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(learn, "weights binary, bias double, slope double, shift double").collect()
