@@ -27,7 +27,7 @@ from tarnish.session import small_table, stored
 RANGE = 1 << 31
 BLOCKS = 4096
 CHUNK = 32768
-DRAWS_PER_TASK = 2_000_000
+DRAWS_PER_TASK = 500_000
 #: Rows that one window ranks, and pieces that a range of rolls is counted in.
 RANKED, PIECES = 20_000, 4096
 #: Populations up to so many times RANKED trust the expected number of rows in their first range; larger ones count it.
@@ -204,18 +204,14 @@ class Draws:
         return dice.seed_words(*self.label, "rows")
 
 
-def occupancy(spark: SparkSession, draws: list[Draws], population: int) -> list[list[int]]:
-    """For every draw set: how many rows are drawn at least 1, 2, 3, ... times.
+def _places(spark: SparkSession, live: list[tuple[int, Draws]], population: int) -> DataFrame:
+    """(set, block, place) of every draw, about DRAWS_PER_TASK of them in a task; a task holds all draws of its blocks.
 
     Draws are first only counted per block of positions; the places inside a
     block are then drawn where the block's count already sits, so single draws
-    are never shuffled. The answer is a handful of numbers per draw set.
+    are never shuffled.
     """
     blocks = min(population, BLOCKS)
-    live = [(i, d) for i, d in enumerate(draws) if d.count > 0]
-    result: list[list[int]] = [[] for _ in draws]
-    if not live:
-        return result
     words = ", ".join(
         f"named_struct('set', {i}, 'n', {d.count}L, "
         + ", ".join(f"'w{p}{q}', {w}L" for p, pair in enumerate(d.seeds) for q, w in enumerate(pair))
@@ -236,15 +232,25 @@ def occupancy(spark: SparkSession, draws: list[Draws], population: int) -> list[
     # the counts are tiny but the draws they stand for are not: spread them by the draws
     tasks = max(1, min(len(live) * blocks, sum(d.count for _, d in live) // DRAWS_PER_TASK + 1))
     unrolled = (
-        counted.repartition(tasks, "s", "block")
-        .selectExpr("s", "block", "count", f"explode(sequence(0L, (count - 1) div {CHUNK}L)) AS chunk")
-        .selectExpr("s", "block", f"explode(sequence(chunk * {CHUNK}L, least(count, (chunk + 1) * {CHUNK}L) - 1)) AS i")
-        .selectExpr("s", "block", "shiftleft(block, 40) + i AS key", f"{stop} - {start} AS width")
-    )
-    placed = dice.add_rolls(unrolled, place("key", 2)).select(
-        "s", "block", dice.pick(F.col("_0"), F.col("_1"), F.col("width")).alias("place")
+        counted.selectExpr("s.set AS set", "s", "block", "count")
+        .repartition(tasks, "set", "block")
+        .selectExpr("set", "s", "block", "count", f"explode(sequence(0L, (count - 1) div {CHUNK}L)) AS chunk")
+        .selectExpr("set", "s", "block", f"explode(sequence(chunk * {CHUNK}L, least(count, (chunk + 1) * {CHUNK}L) - 1)) AS i")
+        .selectExpr("set", "s", "block", "shiftleft(block, 40) + i AS key", f"{stop} - {start} AS width")
     )
-    times = placed.groupBy("s", "block", "place").count().groupBy("s.set", F.col("count").alias("times")).count()
+    placed = dice.add_rolls(unrolled, place("key", 2))
+    return placed.select("set", "block", dice.pick(F.col("_0"), F.col("_1"), F.col("width")).alias("place"))
+
+
+def occupancy(spark: SparkSession, draws: list[Draws], population: int) -> list[list[int]]:
+    """For every draw set: how many rows are drawn at least 1, 2, 3, ... times. A handful of numbers per draw set."""
+    live = [(i, d) for i, d in enumerate(draws) if d.count > 0]
+    result: list[list[int]] = [[] for _ in draws]
+    if not live:
+        return result
+    placed = _places(spark, live, population)
+    # a task counts its places by short keys; the seed words are not among them
+    times = placed.groupBy("set", "block", "place").count().groupBy("set", F.col("count").alias("times")).count()
     for row in times.collect():
         levels = result[row.set]
         levels.extend([0] * (row.times - len(levels)))

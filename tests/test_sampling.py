@@ -155,3 +155,15 @@ def test_size_of_partitions_does_not_grow_with_the_rows(spark, monkeypatch):
     rows = spark.range(5_000)
     assert sampling.dealt_by(rows, "id", 5_000).rdd.getNumPartitions() == 50
     assert sampling.dealt_by(rows, "id", 900) is rows
+
+
+def test_places_of_draws_are_dealt_to_small_tasks(spark):
+    draws = [sampling.Draws(("dealt", i), 900_000) for i in range(2)]
+    placed = sampling._places(spark, list(enumerate(draws)), 2_000_000)
+    # short keys only: a task counts its draws by them
+    assert placed.columns == ["set", "block", "place"]
+    dealt = placed.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in dealt) == 1_800_000 and max(r["count"] for r in dealt) < 600_000
+    levels = sampling.occupancy(spark, draws, 2_000_000)
+    assert [sum(counts) for counts in levels] == [900_000, 900_000]
+    assert all(a >= b for counts in levels for a, b in zip(counts, counts[1:]))
