@@ -82,13 +82,18 @@ def risk_game(spark: SparkSession, sf: str) -> DataFrame:
 def r(column, digits: int = 6) -> Column:
     """Rounded so that the order of additions cannot show."""
     value = F.col(column) if isinstance(column, str) else column
-    rounded = F.round(value, digits)
-    # no negative zeros
-    return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
+    # no negative zeros; a sum, so that the value is rounded once
+    return F.round(value, digits) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[r(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    def short(c: str) -> Column:
+        # numbers of at most 15 digits that end in time are what their rounding gives; others go through decimal numbers
+        x, scale = F.col(c), 10.0**digits
+        ends = (F.abs(x) < 1e15 / scale) & (F.rint(x * scale) / scale == x)
+        return F.when(ends, x + F.lit(0.0)).otherwise(r(c, digits)).alias(c)
+
+    return df.select(*[short(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def day(column: str = "order_date") -> Column:

@@ -38,7 +38,9 @@ class Features:
 
     def cells(self) -> DataFrame:
         width = len(self.columns)
-        return self.rows.selectExpr(f"explode(transform(sequence(0, {width - 1}), j -> {self.key} * {width}L + j)) AS cell")
+        # an array of its elements is compiled; a lambda over a sequence is not
+        listed = ", ".join(f"{self.key} * {width}L + {j}L" for j in range(width))
+        return self.rows.selectExpr(f"explode(array({listed})) AS cell")
 
 
 class Dice:

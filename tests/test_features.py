@@ -274,3 +274,24 @@ def test_forests_on_many_rows_are_grown_a_few_trees_at_a_time(spark, monkeypatch
         assert len(fitted.model.paths) == 3
         told = fitted.predict(rows).collect()
         assert len(told) == 400 and sum(abs(r.prediction - r.label) > 0.2 for r in told) == 0
+
+
+def test_cells_are_numbered_without_a_lambda(grid):
+    cells = grid.cells()
+    assert sorted(r.cell for r in cells.collect()) == list(range(30 * 4))
+    assert "lambda" not in cells._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounding_goes_through_decimals_only_where_it_matters(spark):
+    from registry.queries import rounded
+
+    odd = [None, 0.0, -0.0, float("nan"), float("inf"), float("-inf"), 1e300, 1e11, 123456789.12345, 0.00005, 1.00005, -2.5e-5, 2.675, 17.0, 0.07, 0.29, 99999.99, 90909.90909]
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "id int, x double").unionByName(
+        spark.range(2000).selectExpr("cast(id + 100 AS int) AS id", "if(id % 2 = 0, sin(id) * pow(10, id % 13), round(sin(id) * 1000, 3)) AS x")
+    )
+    plain = table.select("id", F.round("x", 4).alias("x")).select("id", F.when(F.col("x") == 0, F.lit(0.0)).otherwise(F.col("x")).alias("x"))
+    got = rounded(table, 4)
+    assert [(r.id, repr(r.x)) for r in got.orderBy("id").collect()] == [(r.id, repr(r.x)) for r in plain.orderBy("id").collect()]
+    # a value is rounded once
+    once = rounded(spark.range(5).selectExpr("rand(1) AS x"), 4)
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("round(") == 1
