@@ -12,10 +12,12 @@ contributions per row instead of one per combination, and repeats and
 severities share the scan, the joins and the shuffle. Cells are tiny compared
 with the fact table: groups x 2**(defects that matter to the query).
 
-Where combinations are named, only they are evaluated. Cells then are (H, U): the
-rows hit by exactly H, damaged by U = S & H for a named S; and
+That takes 3**|H| contributions of a row. Where defects are few enough to list all pairs (H, U),
+cells are the rows hit by exactly H, damaged by U within H, which takes 2**|H| of them; and
 
     answer(S) = clean answer + sum over H of cell(H, S & H) - cell(H, nothing).
+
+Where combinations are named, only they are evaluated, with U = S & H for a named S.
 """
 
 from __future__ import annotations
@@ -251,6 +253,19 @@ def _contribution_plan(
     return _clean_plan(slots).unionByName(delta)
 
 
+def _pair_rows(defects: Sequence[Defect], queries: Sequence[tuple[int, Query]]) -> int:
+    """Pairs of a set of hits and a combination, over all queries."""
+    return sum(4 ** relevant_mask(defects, q).bit_count() for _, q in queries)
+
+
+def _hit_plan(spark: SparkSession, defects: Sequence[Defect], queries: Sequence[tuple[int, Query]], needs: Mapping[int, int]) -> DataFrame:
+    """As ``_contribution_plan``, but t is all that hits a row of a query's defects, and u any part of it."""
+    m, slots = len(defects), _slots(spark, defects, queries, needs)
+    hits = slots.selectExpr("*", f"explode(sequence(0L, {(1 << m) - 1}L)) AS h").where("(h & rel) != 0").selectExpr("h", "q", "h & rel AS t", "need")
+    parts = hits.selectExpr("*", "explode(sequence(0L, shiftleft(1L, cast(bit_count(t) AS int)) - 1L)) AS i")
+    return _clean_plan(slots).unionByName(parts.selectExpr("h", "q", "t", f"{_deposited('i', 't', m)} AS u", "1.0D AS sign", "need"))
+
+
 def _clean_plan(slots: DataFrame) -> DataFrame:
     return slots.selectExpr("-1L AS h", "q", "0L AS t", "0L AS u", "1.0D AS sign", "need")
 
@@ -290,29 +305,42 @@ def _lattice_spread(spark: SparkSession, defects: Sequence[Defect], queries: Seq
 
 
 def _scenario_table(defects: Sequence[Defect], scenarios: Sequence[Scenario], master_seed: int) -> str:
-    """SQL text: the clean pass (n = -1) and all scenarios as one array of seeds and cuts."""
+    """SQL text: the clean pass (n = -1) and all scenarios as one array of seeds."""
 
     def fields(n: int, s: Scenario | None) -> str:
         out = [f"'n', {n}"]
         for i, d in enumerate(defects):
             if isinstance(d, CopyDefect):
                 seeds = copy_draws(master_seed, s.repeat, d.name, 1).row_seeds if s else (0, 0)
-                cuts = (s.copies[d.name] if s else ()) or (NOTHING,)
-                first = cuts[0]
-                more = ", ".join(f"named_struct('h', {h}L, 'k', {k}L)" for h, k in (*cuts[1:], NOTHING))
-                out.append(f"'more{i}', array({more})")
             else:
                 seeds = hit_seeds(master_seed, s.repeat, d.name) if s else (0, 0)
-                first = s.cuts[d.name] if s else NOTHING
                 for stream in d.streams if isinstance(d, OrderDefect) else ():
                     a, b = stream_seeds(master_seed, s.repeat, d.name, stream) if s else (0, 0)
                     out.append(f"'{stream}{i}_a', {a}L, '{stream}{i}_b', {b}L")
-            out.append(f"'a{i}', {seeds[0]}L, 'b{i}', {seeds[1]}L, 'h{i}', {first[0]}L, 'k{i}', {first[1]}L")
+            out.append(f"'a{i}', {seeds[0]}L, 'b{i}', {seeds[1]}L")
         return f"named_struct({', '.join(out)})"
 
     return f"array({', '.join([fields(-1, None), *[fields(n, s) for n, s in enumerate(scenarios)]])})"
 
 
+def _cut_table(defects: Sequence[Defect], scenarios: Sequence[Scenario]) -> str:
+    """SQL text: the cuts of the clean pass, which nothing is below, and of all scenarios."""
+
+    def fields(s: Scenario | None) -> str:
+        out = []
+        for i, d in enumerate(defects):
+            if isinstance(d, CopyDefect):
+                first, *more = (s.copies[d.name] if s else ()) or (NOTHING,)
+                listed = ", ".join(f"named_struct('h', {h}L, 'k', {k}L)" for h, k in (*more, NOTHING))
+                out.append(f"'more{i}', array({listed})")
+            else:
+                first = s.cuts[d.name] if s else NOTHING
+            out.append(f"'h{i}', {first[0]}L, 'k{i}', {first[1]}L")
+        return f"named_struct({', '.join(out)})"
+
+    return f"array({', '.join([fields(None), *map(fields, scenarios)])})"
+
+
 def _prepared_customers(star: Star, defects: Sequence[Defect]) -> DataFrame:
     customers = star.customers
     for d in defects:
@@ -329,9 +357,10 @@ def _sum_cells(
     queries: Sequence[tuple[int, Query]],
     seen: DataFrame | None = None,
 ) -> DataFrame:
-    """Cells (n, q, t, text, day, s, c): signed sums and counts; n = -1, t = 0 is the clean answer.
+    """Cells (n, q, t, u, text, day, s, c): sums and counts by hits and damage; n = -1, t = 0 is the clean answer.
 
-    With ``seen`` (q, s_mask), the parts of named combinations, cells are (n, q, t, u, text, day, s, c).
+    ``seen`` (q, s_mask) are the parts of named combinations. Without it, and with too many pairs of hits and
+    combinations, cells are signed sums (n, q, t, text, day, s, c).
     """
     spark = star.orders.sparkSession
     written = {c for d in defects if not isinstance(d, CopyDefect) for c in d.writes}
@@ -363,26 +392,27 @@ def _sum_cells(
         for stream in d.streams if isinstance(d, OrderDefect) else ():
             rolls[f"_{stream}{i}"] = (keys[i], (f"z.{stream}{i}_a", f"z.{stream}{i}_b"))
     rows = dice.add_rolls(rows, rolls)
-    bits, extra = "0L", "0L"
+    # between the rolls and the tests rows are written out: the scenarios' numbers stay behind, and their cuts are looked up
+    copied = [f"_r{i}" for i in range(len(defects))]
+    rows = rows.selectExpr(*[c for c in rows.columns if c != "z"], "z.n AS n")
+    cuts, bits, extra = f"element_at({_cut_table(defects, scenarios)}, n + 2)", "0L", "0L"
     for i, d in enumerate(defects):
-        first = below(f"_r{i}", keys[i], (f"z.h{i}", f"z.k{i}"))
+        first = below(f"_r{i}", keys[i], (f"{cuts}.h{i}", f"{cuts}.k{i}"))
         bits += f" + if({first}, {1 << i}L, 0L)"
         if isinstance(d, CopyDefect):
             # an interpreted array filter: it runs on hit rows only, and as it stays out of the
             # fused loop, the roll half and the aggregation half are compiled as separate methods
-            again = f"filter(z.more{i}, c -> {below(f'_r{i}', keys[i], ('c.h', 'c.k'))})"
+            again = f"filter({cuts}.more{i}, c -> {below(f'_r{i}', keys[i], ('c.h', 'c.k'))})"
             extra = f"if({first}, 1L + size({again}), 0L)"
-    kept = [c for c in rows.columns if c not in rolls or c.strip("_0123456789") not in ("r",)]
-    rows = rows.selectExpr(
-        *[c for c in kept if c != "z"],
-        "z.n AS n",
-        f"if(z.n < 0, -1L, {bits}) AS _h",
-        f"{extra} AS _extra",
-    )
+    rows = rows.selectExpr(*[c for c in rows.columns if c not in copied], f"if(n < 0, -1L, {bits}) AS _h", f"{extra} AS _extra")
     # rows that nothing hits have no partner in the plan; the join drops them
 
-    by_query = seen is not None or _plan_rows(defects, queries, False) > PLAN_ROW_LIMIT
-    if seen is None:
+    paired = seen is not None or _pair_rows(defects, queries) <= PLAN_ROW_LIMIT
+    by_query = seen is not None or not paired and _plan_rows(defects, queries, False) > PLAN_ROW_LIMIT
+    if seen is None and paired:
+        plan = _hit_plan(spark, defects, queries, needs)
+        plan_rows = sum(3 ** k << len(defects) - k for k in (relevant_mask(defects, q).bit_count() for _, q in queries))
+    elif seen is None:
         plan = _contribution_plan(spark, defects, queries, needs, by_query)
         plan_rows = _plan_rows(defects, queries, by_query)
     else:
@@ -445,7 +475,7 @@ def _sum_cells(
     day_key = _by_text(
         {i: q.key for i, q in queries if q.kind == "date"}, lambda k: F.unix_date(F.expr(k).cast("date"))
     )
-    cell = ["n", "q", "t"] if seen is None else ["n", "q", "t", "u"]
+    cell = ["n", "q", "t", "u"] if paired else ["n", "q", "t"]
     kept = rows.filter(ok & late).select(
         *cell, text_key.cast("string").alias("text"), day_key.cast("int").alias("day"), "w", value.alias("v")
     )
@@ -493,7 +523,12 @@ def _sum_losses(
 ) -> DataFrame:
     """(n, q, s, loss) for s within the query's relevant defects, or for the named ones that it sees."""
     spark = cells.sparkSession
-    if seen is None:
+    if seen is None and _pair_rows(defects, queries) <= PLAN_ROW_LIMIT:
+        # few combinations: all of them, as if they were named
+        parts = [(i, s) for i, q in queries for s in _subsets(relevant_mask(defects, q))]
+        every = small_table(spark, parts, "q int, s_mask long")
+        spread, on = F.broadcast(_named_spread(spark, defects, queries, every)), ["q", "t", "u"]
+    elif seen is None:
         spread, on = _lattice_spread(spark, defects, queries), ["q", "t"]
         rows = sum(3 ** relevant_mask(defects, q).bit_count() for _, q in queries)
         if rows <= PLAN_ROW_LIMIT:

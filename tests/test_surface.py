@@ -153,6 +153,24 @@ def test_many_defects_use_the_narrow_plan(star, monkeypatch):
     assert losses(narrow) == pytest.approx(expected, abs=1e-12)
 
 
+def test_a_row_adds_a_part_of_its_hits_at_most_once(spark, star, monkeypatch):
+    chosen = [dfx.missing_measures(), dfx.value_noise(), dfx.orphan_foreign_keys(), dfx.dimension_drift(), dfx.duplicate_facts()]
+    queries = list(enumerate(q for q in workload.star_workload() if q.aggregate != "distinct"))
+    plan = sf._hit_plan(spark, chosen, queries, {i: 0 for i, _ in queries})
+    full = plan.where(f"h = {(1 << len(chosen)) - 1}")
+    # 2 ** k contributions of a row that k defects hit, not 3 ** k
+    assert full.count() == sum(2 ** sf.relevant_mask(chosen, q).bit_count() for _, q in queries)
+    seen = []
+    inner = sf._sum_cells
+    monkeypatch.setattr(sf, "_sum_cells", lambda *args: seen.append(inner(*args)) or seen[-1])
+    pairs = losses(sf.risk_surface(star, chosen, severities=[0.3], repeats=2, master_seed=4))
+    assert "u" in seen[0].columns
+    monkeypatch.setattr(sf, "_pair_rows", lambda *_: sf.PLAN_ROW_LIMIT + 1)
+    signed = losses(sf.risk_surface(star, chosen, severities=[0.3], repeats=2, master_seed=4))
+    assert "u" not in seen[1].columns
+    assert pairs == pytest.approx(signed, abs=1e-12)
+
+
 def test_distinct_counts_under_two_cutters(star):
     def cutter(name, priority):
         return dfx.OrderDefect(
