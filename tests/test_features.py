@@ -295,3 +295,83 @@ def test_rounding_goes_through_decimals_only_where_it_matters(spark):
     # a value is rounded once
     once = rounded(spark.range(5).selectExpr("rand(1) AS x"), 4)
     assert once._jdf.queryExecution().optimizedPlan().toString().count("round(") == 1
+
+
+def test_a_grown_tree_is_that_of_a_plain_search():
+    import numpy as np
+
+    from tarnish.plans import forest
+
+    draw = np.random.default_rng(3)
+    codes, w = draw.integers(0, 6, (300, 3)).astype(np.uint8), draw.integers(1, 4, 300).astype(float)
+    for classes in (3, 0):
+        y = ((codes[:, 0] > 2) + (codes[:, 1] > 3) + (draw.random(300) < 0.2)) % 3.0 if classes else codes[:, 0] + draw.random(300)
+        rules = forest.Rules(classes, 3, 3, 6, 5, 3, 1)
+
+        def impurity(y, w):
+            return sum(w) - sum(sum(w[y == c]) ** 2 for c in range(3)) / sum(w) if classes else sum(w * y * y) - sum(w * y) ** 2 / sum(w)
+
+        def plain(rows, depth):
+            best = (1e-9, None)
+            for j in range(3):
+                for cut in range(5):
+                    sides = [rows[codes[rows, j] <= cut], rows[codes[rows, j] > cut]]
+                    if min(w[s].sum() for s in sides) >= 3:
+                        gain = impurity(y[rows], w[rows]) - sum(impurity(y[s], w[s]) for s in sides)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, sides)
+            shares = [w[rows][y[rows] == c].sum() / w[rows].sum() for c in range(3)] if classes else [(w * y)[rows].sum() / w[rows].sum()]
+            if depth < 5 and best[1]:
+                left, right = (plain(s, depth + 1) for s in best[1])
+                same = isinstance(left, list) and isinstance(right, list) and (np.argmax(left) == np.argmax(right) if classes else left == right)
+                return shares if same else (best[1][0], left, best[1][1], right)
+            return shares
+
+        told = np.zeros((300, 3 if classes else 1))
+
+        def fill(rows, tree):
+            if isinstance(tree, list):
+                told[rows] = tree
+            else:
+                fill(tree[0], tree[1])
+                fill(tree[2], tree[3])
+
+        fill(np.arange(300), plain(np.arange(300), 0))
+        feature, cut, child, value = forest.grow(rules, codes, y, w, 0, draw)
+        assert len(value) > 5 and np.allclose(value[child[forest.walk(feature, cut, child, codes)]], told)
+
+
+def test_forests_are_the_same_however_their_trees_are_parted(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from tarnish.plans import forest
+
+    def never(*_):
+        raise AssertionError("MLlib holds all nodes of a forest in the driver")
+
+    rows = spark.range(900).selectExpr("id AS row_id", "sin(id * 1.7) AS a", "cast(id % 3 AS double) AS b", "if(id % 5 = 0, NULL, cos(id)) AS c", "cast(2 * abs(sin(id * 1.7)) + id % 3 AS int) AS label")
+    monkeypatch.setattr(models, "FEW_ROWS", 0)
+    for kind, task in ((RandomForestClassifier, "classification"), (RandomForestRegressor, "regression")):
+        monkeypatch.setattr(kind, "fit", never)
+        told = {}
+        for part, held in ((500_000, 2_000_000), (300, 20)):
+            monkeypatch.setattr(forest, "PART", part)
+            monkeypatch.setattr(forest, "HELD", held)
+            table = ffx.Features(rows.repartition(2 if held == 20 else 5), ("a", "b", "c"), task)
+            fitted = models.fit(table, lambda seed, n, spread: kind(numTrees=2, minInstancesPerNode=3, maxDepth=4, featureSubsetStrategy="all", seed=seed), 5)  # noqa: B023
+            (path,) = fitted.model.paths
+            assert (spark.read.parquet(path).count() > 4) == (part == 300)
+            told[part] = sorted((r.label, r.prediction) for r in fitted.predict(rows).collect())
+            wrong = sum(abs(a - b) > 0.5 for a, b in told[part])
+            assert wrong < 90, wrong
+        assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(told[300], told[500_000], strict=True))
+
+
+def test_bins_end_between_few_values_and_at_quantiles_of_many(spark):
+    from tarnish.plans import forest
+
+    rows = spark.range(3000).selectExpr("cast(0 AS double) AS label", "array(cast(id % 3 AS double), if(id < 1500, 0.0, cast(id AS double)), 7.0) AS x")
+    few, many, none = forest.thresholds(rows, 3, 3000, 32)
+    assert list(few) == [0.5, 1.5] and list(none) == []
+    assert many[0] == 0.0 and len(many) == 31 and 30 < min(b - a for a, b in zip(many[1:], many[2:])) and many[-1] < 2999
