@@ -375,3 +375,26 @@ def test_bins_end_between_few_values_and_at_quantiles_of_many(spark):
     few, many, none = forest.thresholds(rows, 3, 3000, 32)
     assert list(few) == [0.5, 1.5] and list(none) == []
     assert many[0] == 0.0 and len(many) == 31 and 30 < min(b - a for a, b in zip(many[1:], many[2:])) and many[-1] < 2999
+
+
+def _told(study):
+    return sorted((r.repeat, r.mask, r.train_rows, round(r.loss, 9), str(sorted(r.diagnostics.items()))) for r in study.observations.collect())
+
+
+def test_severities_share_splits_and_rows(spark, monkeypatch):
+    from tarnish.plans import marked
+
+    rows = spark.range(300).selectExpr("id AS row_id", "sin(id) AS a", "if(id % 11 = 0, NULL, cast(id % 7 AS double)) AS b", "3 * sin(id) + cos(id * 5) AS label")
+    table, calls, given = ffx.Features(rows, ("a", "b"), "regression"), [], models.splits
+    monkeypatch.setattr(models, "splits", lambda *a: calls.append(a) or given(*a))
+    chosen = {"repeats": 2, "master_seed": 3}
+    factory = models.model_factory("regression", "ridge")
+    both = models.model_surfaces(table, ffx.default_feature_defects(), factory, severities=(0.05, 0.3), **chosen)
+    assert len(calls) == 1
+    alone = [models.model_surface(table, ffx.default_feature_defects(), factory, severity=s, **chosen) for s in (0.05, 0.3)]
+    assert [_told(s) for s in both] == [_told(s) for s in alone] and _told(both[0]) != _told(both[1])
+    # where the medians are looked for first does not show
+    monkeypatch.setattr(marked, "HINT", 10)
+    for around in (0.2, 0.0):
+        monkeypatch.setattr(marked, "AROUND", around)
+        assert _told(models.model_surface(table, ffx.default_feature_defects(), factory, severity=0.3, **chosen)) == _told(alone[1])

@@ -167,3 +167,21 @@ def test_places_of_draws_are_dealt_to_small_tasks(spark):
     levels = sampling.occupancy(spark, draws, 2_000_000)
     assert [sum(counts) for counts in levels] == [900_000, 900_000]
     assert all(a >= b for counts in levels for a, b in zip(counts, counts[1:]))
+
+
+def test_choices_of_equal_seeds_share_the_rolls_of_rows(spark, monkeypatch):
+    n, seeds, others = 4_000, (11, 12), (13, 14)
+    ids = spark.range(n).selectExpr("id * 3 AS id")
+    ranked = {s: sorted((r.h, r.id) for r in sampling.dice.add_rolls(ids, {"h": ("id", s)}).collect()) for s in (seeds, others)}
+    wants = [(seeds, w) for w in (1, 2, 3, 200, 1200, 1201, 3999)] + [(others, 400), (seeds, 0), (others, n)]
+    streams = [sampling.Stream(s, w) for s, w in wants]
+    right = [sampling.NOTHING if w == 0 else sampling.EVERYTHING if w == n else ranked[s][w - 1] for s, w in wants]
+    assert sampling.find_cuts(ids, "id", streams, n) == right
+    monkeypatch.setattr(sampling, "RANKED", 40)
+    monkeypatch.setattr(sampling, "WIDTH", 0.0)
+    assert sampling.find_cuts(ids, "id", streams, n) == right
+    apart = [(i, sampling.Stream(seeds, w), low, high, 0) for i, (w, low, high) in enumerate([(10, 100, 200), (20, 300, 400)])]
+    seen = []
+    monkeypatch.setattr(sampling.dice, "add_rolls", lambda df, rolls, given=sampling.dice.add_rolls: seen.append(df.count()) or given(df, rolls))
+    sampling._located(ids, "id", apart)
+    assert seen == [n]
